@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldglass.functions.binding import let
+
 # The characters a browser's String.trim removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r \u00a0\u1680"
@@ -58,11 +60,13 @@ def number_or_null(text: Column) -> Column:
     """The number a text spells, or null. Rejects ``1d``, ``NaN``, ``Infinity``."""
     t = trimmed(text)
     radix = lambda base: F.conv(F.substring(t, 3, 64), base, 10).cast("double")
-    return (
+    # Numbers start with a character from "+" to "9"; most texts end here.
+    return F.when(
+        (t >= "+") & (t < ":"),
         F.when(t.rlike(DECIMAL_LITERAL), finite_or_null(t.try_cast("double")))
         .when(t.rlike(HEX_LITERAL), radix(16))
         .when(t.rlike(OCTAL_LITERAL), radix(8))
-        .when(t.rlike(BINARY_LITERAL), radix(2))
+        .when(t.rlike(BINARY_LITERAL), radix(2)),
     )
 
 
@@ -75,15 +79,19 @@ def timestamp_or_null(text: Column) -> Column:
 
 def number_text(number: Column) -> Column:
     """A double printed as a script engine prints it: ``17``, ``0.05``, ``1e+21``."""
-    d = number.cast("double")
-    size = F.abs(d)
+    d = number.cast("double") + F.lit(0.0)
     java = d.cast("string")
+    whole = F.when(java.endswith(".0"), F.substring(java, F.lit(1), F.length(java) - 2)).otherwise(java)
+    # Small and large magnitudes are rare; binding them keeps the common path short.
+    return F.when(F.contains(java, F.lit("E")), let(d, _scaled_text)).otherwise(whole)
+
+
+def _scaled_text(d: Column) -> Column:
+    size, java = F.abs(d), d.cast("string")
     stripped = lambda c: F.regexp_replace(c, r"\.?0+$", "")
     exponent = F.regexp_replace(F.regexp_replace(java, r"(\.0)?E(?=\d)", "e+"), r"(\.0)?E-", "e-")
     return (
-        F.when(size == 0, F.lit("0"))
-        .when((size >= 1e-3) & (size < 1e7), F.regexp_replace(java, r"\.0$", ""))
-        .when((size >= 1e7) & (size < 1e21), stripped(java.try_cast("decimal(38,15)").cast("string")))
+        F.when((size >= 1e7) & (size < 1e21), stripped(java.try_cast("decimal(38,15)").cast("string")))
         .when((size >= 1e-6) & (size < 1e-3), stripped(java.try_cast("decimal(38,30)").cast("string")))
         .otherwise(exponent)
     )
@@ -133,7 +141,8 @@ def natural_key(text: Column) -> Column:
             run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
         ).otherwise(run)
 
-    return F.array_join(F.transform(runs, encode), "")
+    spelled = F.array_join(F.transform(runs, encode), "")
+    return F.when(text.rlike("[0-9]"), spelled).otherwise(F.lower(text))
 
 
 def collated(key: Column) -> Column:

@@ -39,17 +39,22 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     is a number. One scan with partial aggregation feeds all columns.
     """
     names = columns or df.columns
-    aggs = []
+    cells, aggs = [], []
     for i, name in enumerate(names):
         blank, number = _views(df, name)
-        aggs += [
-            F.count_if(~blank).alias(f"f{i}"),
-            F.count(number).alias(f"n{i}"),
-            F.sum(number).alias(f"s{i}"),
-            F.min(number).alias(f"lo{i}"),
-            F.max(number).alias(f"hi{i}"),
-        ]
-    totals = df.agg(F.count(F.lit(1)).alias("total"), *aggs)
+        counted = isinstance(df.schema[name].dataType, (T.StringType, T.FloatType, T.DoubleType))
+        cells.append(number.alias(f"v{i}"))
+        if counted:
+            cells.append(F.when(~blank, True).alias(f"b{i}"))
+            aggs += [F.count(f"b{i}").alias(f"f{i}"), F.count(f"v{i}").alias(f"n{i}")]
+        else:
+            # Here a cell that is not null is filled, and numeric if its type is.
+            cells.append(F.when(~blank, True).alias(f"b{i}"))
+            filled = F.count(f"b{i}")
+            numeric = isinstance(df.schema[name].dataType, NUMERIC_TYPES)
+            aggs += [filled.alias(f"f{i}"), (filled if numeric else F.lit(0).cast("long")).alias(f"n{i}")]
+        aggs += [F.sum(f"v{i}").alias(f"s{i}"), F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}")]
+    totals = df.select(*cells).agg(F.count(F.lit(1)).alias("total"), *aggs)
 
     def line(i: int, name: str) -> Column:
         filled, numbers, total = F.col(f"f{i}"), F.col(f"n{i}"), F.col("total")

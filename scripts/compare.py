@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import fnmatch
+import functools
 import os
 import sys
 import time
@@ -20,6 +21,9 @@ from fieldglass.plans import catalog  # noqa: E402
 from fieldglass.plans.registry import TABLES  # noqa: E402
 
 
+print = functools.partial(print, flush=True)
+
+
 def normal(v):
     if isinstance(v, float):
         return repr(round(v, 9))

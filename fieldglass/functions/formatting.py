@@ -110,6 +110,11 @@ def hex_dump(content: Column, limit: int = 4096) -> Column:
     return F.array_join(F.concat(lines, F.coalesce(note, F.array().cast("array<string>"))), "\n")
 
 
+def utf8_text(content: Column) -> Column:
+    """Bytes as UTF-8 text; invalid sequences become replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def looks_like_text(content: Column) -> Column:
     """No zero byte and at most two percent control bytes in the probe window."""
     probe = F.decode(F.substring(content, 1, 8192), "ISO-8859-1")

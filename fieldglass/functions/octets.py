@@ -16,7 +16,10 @@ def _col(x: Column | int) -> Column:
 
 def digits(hexed: Column, offset: Column | int, size: Column | int) -> Column:
     """The hex digits of ``size`` bytes at a byte offset."""
-    return F.substring(hexed, _col(offset) * 2 + 1, _col(size) * 2)
+    if isinstance(offset, int):
+        return F.substring(hexed, F.lit(offset * 2 + 1), _col(size) * 2)
+    # An offset read from damaged data may leave the integer range: null then.
+    return F.substring(hexed, (offset * 2 + 1).try_cast("int"), _col(size) * 2)
 
 
 def _number(hex_digits: Column, size: int) -> Column:

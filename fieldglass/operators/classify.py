@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions.binding import let
 from fieldglass.functions.cells import WHITESPACE
-from fieldglass.functions.formatting import extension_of, looks_like_text
+from fieldglass.functions.formatting import extension_of, looks_like_text, utf8_text
 from fieldglass.functions.json_text import json_kind, strict_json
 from fieldglass.functions.octets import digits, i32le, u8, u16be, u16le, u32be, u32le
 from fieldglass.sources.delimited import sniff_delimiter
@@ -166,7 +166,10 @@ def archive_format(name: Column, head: Column | None = None) -> Column:
 
 
 def archive_magic(head: Column) -> Column:
-    hexed = F.hex(F.substring(head, 1, 300))
+    return let(F.hex(F.substring(head, 1, 300)), archive_magic_of)
+
+
+def archive_magic_of(hexed: Column) -> Column:
     return reduce(
         lambda case, rule: case.when(digits(hexed, rule[1], len(rule[2]) // 2) == rule[2], rule[0]),
         ARCHIVE_MAGIC,
@@ -176,51 +179,83 @@ def archive_magic(head: Column) -> Column:
 
 def _arrow_message(h: Column) -> Column:
     """A schema message opens an Arrow stream, with or without the continuation mark."""
+
+    def body(prefix: int, length: Column) -> Column:
+        end = F.least(F.length(h) / 2, prefix + length)
+        sound = (length >= 16) & (length <= 16 * 1024 * 1024)
+
+        def in_table(table: Column) -> Column:
+            return let(table - i32le(h, table), lambda vtable: in_vtable(table, vtable))
+
+        def in_vtable(table: Column, vtable: Column) -> Column:
+            fits = (table >= prefix + 4) & (table + 4 <= end) & (vtable >= prefix + 4) & (vtable + 8 <= end)
+            return fits & let(
+                u16le(h, vtable + 6),
+                lambda field: (field >= 4) & (table + field < end) & (u8(h, table + field) == 1),
+            )
+
+        return sound & let(prefix + u32le(h, prefix), in_table)
+
     marked = digits(h, 0, 4) == "FFFFFFFF"
-    prefix = F.when(marked, 8).otherwise(4)
-    length = F.when(marked, u32le(h, 4)).otherwise(u32le(h, 0))
-    end = F.least(F.length(h) / 2, prefix + length)
-    table = prefix + u32le(h, prefix)
-    vtable = table - i32le(h, table)
-    field = u16le(h, vtable + 6)
-    return (
-        (length >= 16) & (length <= 16 * 1024 * 1024)
-        & (table >= prefix + 4) & (table + 4 <= end)
-        & (vtable >= prefix + 4) & (vtable + 8 <= end)
-        & (field >= 4) & (table + field < end)
-        & (u8(h, table + field) == 1)
-    )
+    found = F.when(marked, body(8, u32le(h, 4))).otherwise(body(4, u32le(h, 0)))
+    return F.coalesce(found, F.lit(False))
 
 
 def _font_directory(h: Column, size: Column, woff: bool) -> Column:
+    """A font's table directory: printable unique tags, tables inside the file."""
     head, stride = (44, 20) if woff else (12, 16)
-    count = u16be(h, 12 if woff else 4)
-    ends = head + count * stride
-    seen = F.least(count, F.floor((F.length(h) / 2 - head) / stride))
-
-    def entry(i: Column) -> Column:
-        at = i * stride + head
-        stored = u32be(h, at + (8 if woff else 12))
-        full = u32be(h, at + 12) if woff else stored
-        start = u32be(h, at + (4 if woff else 8))
-        tag_ok = F.decode(F.unhex(digits(h, at, 4)), "ISO-8859-1").rlike(r"^[\x20-\x7e]{4}$")
-        return tag_ok & (start >= ends) & (start + stored <= size) & (stored <= full) & ((stored > 0) | (full == 0))
-
-    index = F.sequence(F.lit(0), (seen - 1).cast("int"))
-    tags = F.transform(index, lambda i: digits(h, i * stride + head, 4))
-    ok = (count > 0) & (count <= 4096) & (ends <= size) & (seen > 0)
-    listed = F.when(ok, F.forall(index, entry) & (F.size(F.array_distinct(tags)) == F.size(tags)))
+
+    def directory(count: Column) -> Column:
+        ends = head + count * stride
+        seen = F.least(count, F.floor((F.length(h) / 2 - head) / stride))
+        sound = (count > 0) & (count <= 4096) & (ends <= size) & (seen > 0)
+        entries = F.transform(F.sequence(F.lit(0), (seen - 1).cast("int")), lambda i: entry(i * stride + head))
+        return F.when(sound, let(entries, lambda e: F.forall(e, lambda t: fits(t, ends)) & unique(e)))
+
+    def entry(at: Column) -> Column:
+        return F.struct(
+            digits(h, at, 4).alias("tag"),
+            u32be(h, at + (4 if woff else 8)).alias("start"),
+            u32be(h, at + (8 if woff else 12)).alias("stored"),
+            u32be(h, at + 12).alias("full"),
+        )
+
+    def fits(t: Column, ends: Column) -> Column:
+        printable = F.decode(F.unhex(t["tag"]), "ISO-8859-1").rlike(r"^[\x20-\x7e]{4}$")
+        inside = (t["start"] >= ends) & (t["start"] + t["stored"] <= size)
+        return printable & inside & (t["stored"] <= t["full"]) & ((t["stored"] > 0) | (t["full"] == 0))
+
+    def unique(entries: Column) -> Column:
+        tags = F.transform(entries, lambda t: t["tag"])
+        return F.size(F.array_distinct(tags)) == F.size(tags)
+
+    listed = let(u16be(h, 12 if woff else 4), directory)
     if woff:
         flavors = ["00010000", _ascii("OTTO"), _ascii("true")]
         listed = F.when((u32be(h, 8) == size) & (u16be(h, 14) == 0) & digits(h, 4, 4).isin(flavors), listed)
     return F.coalesce(listed, F.lit(False))
 
 
-def signature_rules(name: Column, head: Column, tail: Column, size: Column) -> list[tuple[str, str, Column]]:
+def signature(name: Column, head: Column, tail: Column, size: Column) -> Column:
+    """``struct(kind, reason)`` by leading bytes, null when no rule holds.
+
+    What the rules look at is computed once per file and bound; the rules are
+    then evaluated one after the other until one holds.
+    """
+    view = F.struct(
+        extension_of(name).alias("ext"),
+        F.hex(F.substring(head, 1, 4096)).alias("h"),
+        F.decode(head, "ISO-8859-1").alias("latin"),
+        F.hex(tail).alias("tail"),
+        size.alias("size"),
+    )
+    return let(view, lambda v: first_match(signature_rules(v["ext"], v["h"], v["latin"], v["tail"], v["size"])))
+
+
+def signature_rules(
+    ext: Column, h: Column, latin: Column, tail: Column, size: Column
+) -> list[tuple[str, str, Column]]:
     """Rules on leading bytes, in the order in which they decide."""
-    ext = extension_of(name)
-    h = F.hex(F.substring(head, 1, 4096))
-    latin = F.decode(head, "ISO-8859-1")
     at = lambda offset, hexes: digits(h, offset, len(hexes) // 2) == hexes.upper()
     word = lambda text, offset=0: at(offset, _ascii(text))
     byte0, byte1 = u8(h, 0), u8(h, 1)
@@ -270,7 +305,7 @@ def signature_rules(name: Column, head: Column, tail: Column, size: Column) -> l
         ("video", "transport stream", (byte0 == 0x47) & (u8(h, 188) == 0x47) & (u8(h, 376) == 0x47) & (size >= 564)),
         ("video", "FLV container", at(0, "464C5601")),
         ("video", "ASF container", at(0, "3026B2758E66CF11A6D900AA0062CE6C")),
-        ("parquet", "Parquet magic at both ends", word("PAR1") & (F.hex(tail) == _ascii("PAR1")) & (size >= 12)),
+        ("parquet", "Parquet magic at both ends", word("PAR1") & (tail == _ascii("PAR1")) & (size >= 12)),
         ("keras", "HDF5 signature, Keras name", at(0, "894844460D0A1A0A") & (ext == ".keras")),
         ("hdf5", "HDF5 signature", at(0, "894844460D0A1A0A")),
         ("numpy", "NumPy magic", at(0, "934E554D5059")),
@@ -316,7 +351,7 @@ def signature_rules(name: Column, head: Column, tail: Column, size: Column) -> l
         ("pt2", "ZIP, exported program members", is_zip & (member("archive_format") | member("serialized_exported_program.json"))),
         ("coreml", "ZIP, Core ML members", is_zip & member("Manifest.json") & member("Data/com.apple.CoreML/")),
         ("archive", "ZIP signature", is_zip),
-        ("archive", "archive signature", archive_magic(head).isNotNull()),
+        ("archive", "archive signature", archive_magic_of(h).isNotNull()),
     ]
     return rules
 
@@ -345,15 +380,15 @@ def classify_files(files: DataFrame) -> DataFrame:
     """
     name, head, size = F.col("name"), F.col("head"), F.col("size")
     named = with_extension_kind(files, name)
-    found = first_match(signature_rules(name, head, F.col("tail"), size))
-    text = F.when(looks_like_text(head), text_kind(F.decode(head, "UTF-8")))
+    found = signature(name, head, F.col("tail"), size)
+    text = F.when(looks_like_text(head), text_kind(utf8_text(head)))
     return (
         named.withColumn("_found", F.when(size > 0, found))
         .withColumn(
             "kind",
             F.coalesce(
                 F.col("_found.kind"),
-                F.when(F.col("ext_kind").isin("json", "xml"), document_dialect(F.decode(head, "UTF-8"))),
+                F.when(F.col("ext_kind").isin("json", "xml"), document_dialect(utf8_text(head))),
                 F.col("ext_kind"),
                 text,
                 F.lit("unknown"),
@@ -443,16 +478,16 @@ def _own(value: Column, path: str, dtype: str) -> Column:
 def json_dialect_of(value: Column) -> Column:
     """Dialect of a parsed JSON document by its own members, else ``json``."""
     kind = F.try_variant_get(value, "$.type", "string")
-    has = lambda path: F.variant_get(value, path, "variant").isNotNull()
+    has = lambda key: F.array_contains(F.map_keys(value.try_cast("map<string,variant>")), key)
     geometry = kind.isin("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
     return (
         F.when(_own(value, "$.log.entries", "array<variant>"), "har")
-        .when((F.try_variant_get(value, "$.nbformat", "long") == 4) & _own(value, "$.cells", "array<variant>"), "notebook")
+        .when((F.try_variant_get(value, "$.nbformat", "bigint") == 4) & _own(value, "$.cells", "array<variant>"), "notebook")
         .when(_own(value, "$.runs", "array<variant>") & _own(value, "$.version", "string"), "sarif")
         .when(F.try_variant_get(value, "$.bomFormat", "string") == "CycloneDX", "sbom")
         .when(_own(value, "$.traceEvents", "array<variant>"), "trace")
         .when((kind == "FeatureCollection") & _own(value, "$.features", "array<variant>"), "geojson")
-        .when((kind == "Feature") & has("$.geometry") & has("$.properties"), "geojson")
+        .when((kind == "Feature") & has("geometry") & has("properties"), "geojson")
         .when((kind == "GeometryCollection") & _own(value, "$.geometries", "array<variant>"), "geojson")
         .when(geometry & _own(value, "$.coordinates", "array<variant>"), "geojson")
         .when(is_container(value), "json")
@@ -546,9 +581,12 @@ def _text_kind(text: Column, lines: Column) -> Column:
 
 def media_magic(content: Column) -> Column:
     """Media type by leading bytes, null for anything else."""
-    h = F.hex(F.substring(content, 1, 16))
+    return let(F.hex(F.substring(content, 1, 16)), lambda h: _media_magic(content, h))
+
+
+def _media_magic(content: Column, h: Column) -> Column:
     at = lambda offset, hexes: digits(h, offset, len(hexes) // 2) == hexes
-    start = F.lower(F.ltrim(F.regexp_replace(F.decode(F.substring(content, 1, 512), "UTF-8"), "^\ufeff", ""), F.lit(WHITESPACE)))
+    start = F.lower(F.ltrim(F.regexp_replace(utf8_text(F.substring(content, 1, 512)), "^\ufeff", ""), F.lit(WHITESPACE)))
     svg = F.when(start.startswith("<?xml"), F.contains(start, F.lit("<svg"))).otherwise(start.startswith("<svg"))
     return F.when(
         F.length(content) >= 4,
@@ -574,7 +612,12 @@ def _by_extension(ext: Column, table: dict[str, str]) -> Column:
 
 def preview_kind(name: Column, content: Column) -> Column:
     """``struct(kind, mime)``: image, audio, video, text, too-large or binary."""
-    ext, size, magic = extension_of(name), F.length(content), media_magic(content)
+    seen = F.struct(extension_of(name).alias("ext"), media_magic(content).alias("magic"))
+    return let(seen, lambda s: _preview_kind(s["ext"], s["magic"], content))
+
+
+def _preview_kind(ext: Column, magic: Column, content: Column) -> Column:
+    size = F.length(content)
     verdict = lambda kind, mime: F.struct(F.lit(kind).alias("kind"), mime.alias("mime"))
     none = F.lit(None).cast("string")
     case = F.when(size == 0, verdict("text", none))

@@ -39,28 +39,7 @@ def _levels(df: DataFrame, depth: int) -> tuple[DataFrame, Column]:
     )
     df = df.withColumn("_l0", F.when(F.col("_doc").isNotNull(), F.array(root)))
     for level in range(1, depth + 1):
-
-        def children(n: Column, level: int = level) -> Column:
-            def child(m: Column, i: Column, count: Column) -> Column:
-                step = F.replace(F.replace(m["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-                return F.struct(
-                    F.concat(n["path"], F.lit("/"), step).alias("path"),
-                    n["path"].alias("parent_path"),
-                    m["key"].alias("key"),
-                    m["within"].alias("parent_kind"),
-                    F.lit(level).alias("depth"),
-                    i.cast("int").alias("ordinal"),
-                    (i == count - 1).alias("is_last"),
-                    F.concat(n["place"], F.lit("."), F.lpad(i.cast("string"), 9, "0")).alias("place"),
-                    m["value"].alias("value"),
-                )
-
-            nodes = let(
-                members(n["value"]), lambda kids: F.transform(kids, lambda m, i: child(m, i, F.size(kids)))
-            )
-            return F.coalesce(nodes, F.array().cast(_NODE_ARRAY))
-
-        df = df.withColumn(f"_l{level}", F.flatten(F.transform(f"_l{level - 1}", children)))
+        df = df.withColumn(f"_l{level}", F.flatten(F.transform(f"_l{level - 1}", _children_at(level))))
     return df, F.concat(*[F.col(f"_l{i}") for i in range(depth + 1)])
 
 
@@ -70,6 +49,32 @@ _NODE_ARRAY = (
 )
 
 
+def _children_at(level: int):
+    """The function from a node to its children, which are on ``level``."""
+
+    def child(n: Column, m: Column, i: Column, count: Column) -> Column:
+        step = F.replace(F.replace(m["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        return F.struct(
+            F.concat(n["path"], F.lit("/"), step).alias("path"),
+            n["path"].alias("parent_path"),
+            m["key"].alias("key"),
+            m["within"].alias("parent_kind"),
+            F.lit(level).alias("depth"),
+            i.cast("int").alias("ordinal"),
+            (i == count - 1).alias("is_last"),
+            F.concat(n["place"], F.lit("."), F.lpad(i.cast("string"), 9, "0")).alias("place"),
+            m["value"].alias("value"),
+        )
+
+    def children(n: Column) -> Column:
+        nodes = let(
+            members(n["value"]), lambda kids: F.transform(kids, lambda m, i: child(n, m, i, F.size(kids)))
+        )
+        return F.coalesce(nodes, F.array().cast(_NODE_ARRAY))
+
+    return children
+
+
 def node_table(df: DataFrame, keys: list[str], text: Column, depth: int | None = None) -> DataFrame:
     """One row per node: path, parent, key, kind, scalar text, depth, place.
 
@@ -276,8 +281,9 @@ def _csv_of(doc: Column) -> Column:
 def line_and_column(text: Column, offset: Column) -> Column:
     """1-based ``(line, col)`` of a 0-based offset; ``(1, 1)`` outside the text."""
     before = F.substring(text, F.lit(1), offset)
-    line = F.regexp_count(before, F.lit(r"\r\n|\r|\n")) + 1
-    column = F.length(F.regexp_extract(before, r"([^\r\n]*)\z", 1)) + 1
+    lines = F.split(before, r"\r\n|\r|\n")
+    line = F.size(lines)
+    column = F.length(F.element_at(lines, -1)) + 1
     inside = (offset >= 0) & (offset <= F.length(text))
     return F.struct(
         F.when(inside, line).otherwise(1).alias("line"), F.when(inside, column).otherwise(1).alias("col")

@@ -322,8 +322,8 @@ def text_decode(spark, sf):
 
 _SIZE = (
     "CASE WHEN {b} = 0 THEN '0 B' WHEN {b} < 1024 THEN concat(CAST({b} AS BIGINT), ' B') WHEN {b} < 1048576 THEN "
-    "printf('%.1f KB', {b} / 1024.0) WHEN {b} < 1073741824 THEN printf('%.1f MB', {b} / 1048576.0) "
-    "ELSE printf('%.1f GB', {b} / 1073741824.0) END"
+    "printf('%.1f KB', floor({b} / 1024.0 * 10 + 0.5) / 10) WHEN {b} < 1073741824 THEN printf('%.1f MB', floor({b} / 1048576.0 * 10 + 0.5) / 10) "
+    "ELSE printf('%.1f GB', floor({b} / 1073741824.0 * 10 + 0.5) / 10) END"
 )
 _STAT = "regexp_replace(printf('%.4f', {x}), '\\.?0+$', '')"
 
@@ -336,7 +336,7 @@ _STAT = "regexp_replace(printf('%.4f', {x}), '\\.?0+$', '')"
     + _STAT.format(x="value")
     + " AS stat, concat(regexp_replace(printf('%.1f', (event_id % 1000) / 10.0), '\\.0$', ''), '%') AS percent, "
     "CASE WHEN event_id * event_id * 37 >= 157286400 THEN 'blocked' WHEN event_id * event_id * 37 >= 52428800 THEN 'limited' "
-    "ELSE 'small' END AS bucket, round(event_id / 2.0 / 16000, 6) AS pcm_seconds FROM events",
+    "ELSE 'small' END AS bucket, CAST(event_id AS DOUBLE) / 2 / 16000 AS pcm_seconds FROM events",
 )
 def scalar_pack_events(spark, sf):
     size = F.col("event_id") * F.col("event_id") * 37
@@ -346,7 +346,7 @@ def scalar_pack_events(spark, sf):
         fmt.format_stat(F.col("value")).alias("stat"),
         fmt.format_percent((F.col("event_id") % 1000) / 1000).alias("percent"),
         fmt.size_bucket(size).alias("bucket"),
-        F.round(fmt.pcm_seconds(F.col("event_id")), 6).alias("pcm_seconds"),
+        fmt.pcm_seconds(F.col("event_id")).alias("pcm_seconds"),
     )
 
 
@@ -415,9 +415,9 @@ def scalar_pack_orders(spark, sf):
     "hex_dump",
     "WITH d AS (SELECT doc_id, lower(hex(encode(text))) AS h FROM documents), "
     "n AS (SELECT doc_id, h, length(h) // 2 AS size, least(length(h) // 2, 256) AS shown FROM d) "
-    "SELECT doc_id, concat(array_to_string(list_transform(range(0, CAST(ceil(shown / 16.0) AS BIGINT)), i -> concat("
+    "SELECT doc_id, concat(array_to_string(list_transform(range(0, CAST(ceil(shown / 16.0) AS BIGINT)), lambda i: concat("
     "lpad(lower(to_hex(i * 16)), 8, '0'), '  ', rpad(rtrim(regexp_replace(substr(h, i * 32 + 1, least(32, shown * 2 - i * 32)), "
-    "'(..)', '\\1 ', 'g')), 47, ' '), '  ', array_to_string(list_transform(range(0, least(16, shown - i * 16)), j -> CASE WHEN "
+    "'(..)', '\\1 ', 'g')), 47, ' '), '  ', array_to_string(list_transform(range(0, least(16, shown - i * 16)), lambda j: CASE WHEN "
     "substr(h, i * 32 + j * 2 + 1, 2) BETWEEN '20' AND '7e' THEN decode(unhex(substr(h, i * 32 + j * 2 + 1, 2))) ELSE '.' END), ''))), "
     "chr(10)), CASE WHEN size > 256 THEN concat(chr(10), '... (', size - 256, ' more bytes)') ELSE '' END) AS dump FROM n",
 )
@@ -442,23 +442,23 @@ def _texts(spark, sf):
 
 
 _WS = "'" + WHITESPACE + "'"
-_ANY_LINE = "len(list_filter(top30, x -> regexp_matches(x, '{p}'))) > 0"
+_ANY_LINE = "len(list_filter(top30, lambda x: regexp_matches(x, '{p}'))) > 0"
 _SNIFFED = " OR ".join(
-    f"len(list_filter(top10, x -> contains(regexp_replace(x, '\"[^\"]*(\"|$)', '\"', 'g'), '{c}'))) > 0" for c in (",", ";", "\t", "|")
+    f"len(list_filter(top10, lambda x: contains(regexp_replace(x, '\"[^\"]*(\"|$)', '\"', 'g'), '{c}'))) > 0" for c in (",", ";", "\t", "|")
 )
 _HTML = "(?is)^\\s*(?:<!--.*?-->\\s*)*(<!doctype\\s+html[\\s>\\[]|<html[\\s>])"
 
 
 @query(
     "text_kind",
-    "WITH t AS (SELECT *, list_filter(list_transform(string_split_regex(body, '\\r?\\n'), x -> trim(x, " + _WS + ")), x -> x <> '') "
+    "WITH t AS (SELECT *, list_filter(list_transform(string_split_regex(body, '\\r?\\n'), lambda x: trim(x, " + _WS + ")), lambda x: x <> '') "
     "AS lines FROM " + _TEXTS_SQL + " s), u AS (SELECT *, trim(body, " + _WS + ") AS b, lines[1:10] AS top10, lines[1:20] AS top20, "
-    "lines[1:30] AS top30, list_filter(lines, x -> NOT starts_with(x, '%%'))[1] AS code FROM t) "
+    "lines[1:30] AS top30, list_filter(lines, lambda x: NOT starts_with(x, '%%'))[1] AS code FROM t) "
     "SELECT origin, id, CASE WHEN len(lines) = 0 THEN NULL "
-    "WHEN regexp_matches(b, '^[{\\[]') AND len(lines) >= 2 AND len(list_filter(top10, x -> NOT (json_valid(x) AND "
+    "WHEN regexp_matches(b, '^[{\\[]') AND len(lines) >= 2 AND len(list_filter(top10, lambda x: NOT (json_valid(x) AND "
     "regexp_matches(x, '^[{\\[]')))) = 0 THEN 'jsonl' WHEN regexp_matches(b, '^[{\\[]') AND json_valid(b) THEN 'json' "
     "WHEN regexp_matches(body, '" + _HTML + "') THEN 'html' "
-    "WHEN len(list_filter(top20, x -> NOT regexp_matches(x, '^\\[\\[?[A-Za-z0-9_.\\-\"''\\s]+\\]?\\]$') AND "
+    "WHEN len(list_filter(top20, lambda x: NOT regexp_matches(x, '^\\[\\[?[A-Za-z0-9_.\\-\"''\\s]+\\]?\\]$') AND "
     "regexp_matches(x, '^[A-Za-z0-9_.\\-\"'']+\\s*='))) >= 3 THEN 'toml' "
     "WHEN " + _ANY_LINE.format(p="^\\\\documentclass\\s*(\\[|\\{)") + " THEN 'latex' "
     "WHEN coalesce(regexp_matches(code, '^(" + "|".join(classify.MERMAID_WORDS) + ")\\b'), false) THEN 'mermaid' "
@@ -472,17 +472,17 @@ def text_kind(spark, sf):
 
 # One JSON or XML dialect per remainder of the event key.
 _DIALECTS = [
-    ("har", '{{"log": {{"version": "1.2", "entries": [{props}]}}}}'),
-    ("notebook", '{{"cells": [], "nbformat": 4, "metadata": {props}}}'),
-    ("sarif", '{{"version": "2.1.0", "runs": [{props}]}}'),
-    ("sbom", '{{"bomFormat": "CycloneDX", "components": [{props}]}}'),
-    ("trace", '{{"traceEvents": [{props}]}}'),
-    ("geojson", '{{"type": "FeatureCollection", "features": [{props}]}}'),
-    ("geojson", '{{"type": "Feature", "geometry": null, "properties": {props}}}'),
-    ("geojson", '{{"type": "Point", "coordinates": [1, 2], "x": {props}}}'),
-    ("json", '{{"meta": {{"log": {{"entries": [{props}]}}}}}}'),
-    ("json", '{{"traceEvents": {props}}}'),
-    ("json", "[{props}]"),
+    ("har", '{"log": {"version": "1.2", "entries": [@]}}'),
+    ("notebook", '{"cells": [], "nbformat": 4, "metadata": @}'),
+    ("sarif", '{"version": "2.1.0", "runs": [@]}'),
+    ("sbom", '{"bomFormat": "CycloneDX", "components": [@]}'),
+    ("trace", '{"traceEvents": [@]}'),
+    ("geojson", '{"type": "FeatureCollection", "features": [@]}'),
+    ("geojson", '{"type": "Feature", "geometry": null, "properties": @}'),
+    ("geojson", '{"type": "Point", "coordinates": [1, 2], "x": @}'),
+    ("json", '{"meta": {"log": {"entries": [@]}}}'),
+    ("json", '{"traceEvents": @}'),
+    ("json", "[@]"),
     ("gps", '<?xml version="1.0"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"/>'),
     ("gps", '<!-- k --><k:kml xmlns:k="http://www.opengis.net/kml/2.2"></k:kml>'),
     ("xml", '<kml xmlns="http://www.opengis.net/kml/2.3"></kml>'),
@@ -504,8 +504,7 @@ def json_dialect(spark, sf):
     events = table(spark, sf, "events")
 
     def body(pattern: str):
-        parts = pattern.replace("{{", "\x01").replace("}}", "\x02").split("{props}")
-        parts = [F.lit(p.replace("\x01", "{").replace("\x02", "}")) for p in parts]
+        parts = [F.lit(p) for p in pattern.split("@")]
         return parts[0] if len(parts) == 1 else F.concat(parts[0], F.col("props"), parts[1])
 
     texts = F.array(*[body(p) for _, p in _DIALECTS])

@@ -1 +1,398 @@
+"""Files: listings, signatures, delimited and line files, archives, columnar footers."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from fieldglass.operators import classify, integrity, search
+from fieldglass.plans import shapes
+from fieldglass.plans.registry import TABLES, query, table
+from fieldglass.sources import archives, columnar, delimited, lines
+from fieldglass.sources.scratch import new_folder
+
+_NAMES = "(VALUES " + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") f(name)"
+
+
+@query("file_inventory", f"SELECT name, '.parquet' AS ext, true AS filled, 'parquet' AS kind FROM {_NAMES}")
+def file_inventory(spark, sf):
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf)
+    listed = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "length", "modificationTime")
+    kinds = classify.with_extension_kind(listed, F.col("name"))
+    return kinds.select(
+        "name", classify.extension_of(F.col("name")).alias("ext"), (F.col("length") > 0).alias("filled"), F.col("ext_kind").alias("kind")
+    )
+
+
+@query(
+    "file_signature",
+    f"SELECT name, 'parquet' AS kind, 'Parquet magic at both ends' AS reason, true AS by_signature FROM {_NAMES}",
+)
+def file_signature(spark, sf):
+    heads = classify.read_file_heads(spark, sf, "*.parquet")
+    return classify.classify_files(heads).select("name", "kind", "reason", "by_signature")
+
+
+# Contents by remainder of the document key: (name, leading bytes, kind, ...).
+_CONTENTS = [
+    ("a.bin", "89504E470D0A1A0A", "image", None, "image"),
+    ("b.bin", "FFD8FF", "image", None, "image"),
+    ("c.zip", "377ABCAF271C", "archive", "sevenZip", "binary"),
+    ("d.tar.gz", "1F8B0800", "archive", "gz", "binary"),
+    ("e.xz", "FD377A585A00", "archive", "xz", "binary"),
+    ("f.rar", "526172211A0700", "archive", "rar", "binary"),
+    ("g.rar", "526172211A070100", "archive", "rar", "binary"),
+    ("h.bin", "425A6839", "archive", "bz2", "text"),
+    ("i.pdf", "255044462D312E37", "pdf", None, "text"),
+    ("j.dat", "664C6143", "audio", None, "audio"),
+    ("k.mp4", "000000186674797069736F6D", "video", None, "video"),
+    ("l.bin", "53514C69746520666F726D6174203300", "db3", None, "binary"),
+    ("m.cap", "D4C3B2A10200040000000000", "pcap", None, "binary"),
+    ("n.cap", "0A0D0D0A1C0000004D3C2B1A", "pcapng", None, "binary"),
+    ("o.npz", "504B0304", "numpy", "zip", "binary"),
+    ("p.docx", "504B0304", "word", "zip", "binary"),
+    ("q.apk", "504B0304", "archive", "zip", "binary"),
+    ("r.h5", "894844460D0A1A0A", "hdf5", None, "binary"),
+    ("s.bin", "4F626A01", "avro", None, "text"),
+    ("t.bin", "4C4F4747", "automotive", None, "text"),
+    ("u.png", "20", "image", None, "image"),
+    ("v.md", "20", "markdown", None, "text"),
+    ("w.wav", "524946460000000057415645", "audio", None, "audio"),
+    ("x.doc", "D0CF11E0A1B11AE1", "word", None, "binary"),
+]
+
+
+def _contents(spark, sf):
+    """A file per document: a signature in front of the document's text."""
+    k = (F.col("doc_id") % len(_CONTENTS)).cast("int")
+    names = F.array(*[F.lit(c[0]) for c in _CONTENTS])
+    heads = F.array(*[F.lit(c[1]) for c in _CONTENTS])
+    binary = F.array(*[F.lit("0001" if c[4] == "binary" else "") for c in _CONTENTS])
+    body = F.concat(F.unhex(F.get(heads, k)), F.unhex(F.get(binary, k)), F.encode("text", "UTF-8"))
+    return table(spark, sf, "documents").select("doc_id", F.get(names, k).alias("name"), body.alias("content"))
+
+
+def _pick(i: int) -> str:
+    values = ", ".join("NULL" if c[i] is None else f"'{c[i]}'" for c in _CONTENTS)
+    return f"([{values}])[doc_id % {len(_CONTENTS)} + 1]"
+
+
+@query("file_signature_contents", f"SELECT doc_id, {_pick(0)} AS name, {_pick(2)} AS kind FROM documents")
+def file_signature_contents(spark, sf):
+    files = _contents(spark, sf).select(
+        "doc_id",
+        "name",
+        F.length("content").alias("size"),
+        F.substring("content", 1, classify.HEAD_BYTES).alias("head"),
+        F.substring("content", -4, 4).alias("tail"),
+    )
+    return classify.classify_files(files).select("doc_id", "name", "kind")
+
+
+@query(
+    "archive_format",
+    f"SELECT doc_id, {_pick(3)} AS format FROM documents WHERE {_pick(3)} IS NOT NULL",
+)
+def archive_format(spark, sf):
+    files = _contents(spark, sf)
+    found = files.select("doc_id", classify.archive_format(F.col("name"), F.col("content")).alias("format"))
+    return found.where("format IS NOT NULL")
+
+
+@query(
+    "preview_kind",
+    f"SELECT doc_id, CASE WHEN {_pick(4)} = 'text' AND octet_length(encode(text)) + 12 > 262144 THEN 'too-large' "
+    f"ELSE {_pick(4)} END AS kind FROM documents",
+)
+def preview_kind(spark, sf):
+    kinds = _contents(spark, sf).select("doc_id", classify.preview_kind(F.col("name"), F.col("content")).alias("p"))
+    return kinds.select("doc_id", F.col("p.kind").alias("kind"))
+
+
+_SIZE_SQL = (
+    "octet_length(encode(text)) + (["
+    + ", ".join(str(len(c[1]) // 2 + (2 if c[4] == "binary" else 0)) for c in _CONTENTS)
+    + f"])[doc_id % {len(_CONTENTS)} + 1]"
+)
+
+
+@query(
+    "corpus_report",
+    "SELECT kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, round(sum(size) / (SELECT sum("
+    + _SIZE_SQL
+    + ") FROM documents), 6) AS byte_share FROM (SELECT "
+    + _pick(2)
+    + " AS kind, "
+    + _SIZE_SQL
+    + " AS size FROM documents) d GROUP BY 1",
+)
+def corpus_report(spark, sf):
+    files = _contents(spark, sf).select(
+        "name",
+        F.length("content").alias("size"),
+        F.substring("content", 1, classify.HEAD_BYTES).alias("head"),
+        F.substring("content", -4, 4).alias("tail"),
+    )
+    report = classify.corpus_report(classify.classify_files(files))
+    return report.select("kind", "files", "bytes", F.round("byte_share", 6).alias("byte_share"))
+
+
+_EXTENSIONS = [(e, k) for k, es in classify.EXTENSION_KINDS.items() for e in es.split()]
+
+
+@query(
+    "file_types_by_extension",
+    "WITH n AS (SELECT p_partkey, concat('Part.', p_partkey, upper((["
+    + ", ".join(f"'{e}'" for e, _ in _EXTENSIONS)
+    + f"])[p_partkey % {len(_EXTENSIONS)} + 1])) AS name FROM part) SELECT p_partkey, name, (["
+    + ", ".join(f"'{k}'" for _, k in _EXTENSIONS)
+    + f"])[p_partkey % {len(_EXTENSIONS)} + 1] AS ext_kind FROM n",
+)
+def file_types_by_extension(spark, sf):
+    exts = F.array(*[F.lit(e.upper()) for e, _ in _EXTENSIONS])
+    name = F.concat(
+        F.lit("Part."), F.col("p_partkey").cast("string"), F.get(exts, (F.col("p_partkey") % len(_EXTENSIONS)).cast("int"))
+    )
+    parts = table(spark, sf, "part").select("p_partkey", name.alias("name"))
+    return classify.with_extension_kind(parts, F.col("name"))
+
+
+_FILE_LIST = (
+    "SELECT concat('d', p_partkey // 3) AS dir, CASE WHEN p_partkey % 3 = 0 THEN concat('m', p_partkey // 3, '.SHP') "
+    "WHEN p_partkey % 3 = 1 THEN concat(CASE WHEN p_partkey % 2 = 0 THEN 'm' ELSE 'x' END, p_partkey // 3, '.dbf') "
+    "ELSE concat('y', p_partkey // 3, CASE WHEN p_partkey % 5 = 0 THEN '.dbf' ELSE '.prj' END) END AS name FROM part"
+)
+
+
+@query(
+    "companions",
+    f"WITH f AS ({_FILE_LIST}), m AS (SELECT dir, name, regexp_replace(lower(name), '\\.[^.]*$', '') AS stem FROM f "
+    "WHERE lower(name) LIKE '%.shp'), s AS (SELECT dir, name, regexp_replace(lower(name), '\\.[^.]*$', '') AS stem FROM f "
+    "WHERE lower(name) LIKE '%.dbf'), r AS (SELECT m.dir, m.name, (SELECT min(s.name) FROM s WHERE s.dir = m.dir AND s.stem = m.stem) AS a, "
+    "(SELECT CASE WHEN count(*) = 1 THEN min(s.name) END FROM s WHERE s.dir = m.dir) AS b FROM m) "
+    "SELECT dir, name, coalesce(a, b) AS companion, CASE WHEN a IS NOT NULL THEN 'stem' WHEN b IS NOT NULL THEN 'only' ELSE 'none' END "
+    "AS rule FROM r",
+)
+def companions(spark, sf):
+    table(spark, sf, "part").createOrReplaceTempView("part")
+    return integrity.companions(spark.sql(_FILE_LIST.replace("p_partkey // 3", "p_partkey div 3")), ".shp", ".dbf")
+
+
+# -------------------------------------------------------------- delimited files
+
+
+@query(
+    "delimited_scan",
+    "SELECT CAST(p_partkey AS VARCHAR) AS \"key\", concat(p_name, ' \"x\", ', p_brand, chr(10), 'next') AS \"name, quoted\", "
+    "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type END AS type FROM part",
+)
+def delimited_scan(spark, sf):
+    """Parts written as quoted CSV with line breaks inside cells, and read back."""
+    folder = new_folder(spark, "delimited")
+    parts = table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("key"),
+        F.concat("p_name", F.lit(' "x", '), "p_brand", F.lit("\nnext")).alias("name, quoted"),
+        F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_type")).alias("type"),
+    )
+    parts.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
+    return delimited.read_delimited(spark, folder)
+
+
+@query(
+    "delimited_ragged",
+    "SELECT CAST(p_partkey AS VARCHAR) AS \"Column 1\", CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END AS \"Column 2\", "
+    "CASE WHEN p_partkey % 5 = 0 AND p_partkey % 3 <> 0 THEN 'more' ELSE '' END AS \"Column 3\" FROM part",
+)
+def delimited_ragged(spark, sf):
+    """Rows of one, two and three cells without a header."""
+    folder = new_folder(spark, "ragged")
+    k = F.col("p_partkey")
+    cells = F.concat_ws(
+        "|",
+        k.cast("string"),
+        F.when(k % 3 != 0, F.col("p_brand")),
+        F.when((k % 5 == 0) & (k % 3 != 0), F.lit("more")),
+    )
+    table(spark, sf, "part").select(cells).write.text(folder)
+    return delimited.read_delimited(spark, folder, "|", has_header=False, multiline=False)
+
+
+_DELIMITERS_SQL = "([',', chr(9), ';', '|'])"
+
+
+def _delimited_docs(spark, sf):
+    """Documents of twenty rows, the delimiter by document, other delimiters in quotes."""
+    k = F.col("p_partkey")
+    d = F.get(F.array(*[F.lit(c) for c in delimited.CANDIDATES]), (F.floor(k / 20) % 4).cast("int"))
+    line = F.when(k % 6 == 0, F.concat(F.lit('"a;b|c,d"'), d, k.cast("string"))).otherwise(
+        F.concat(k.cast("string"), d, "p_name", d, "p_brand")
+    )
+    return shapes.joined(table(spark, sf, "part"), F.floor(k / 20), "p_partkey", line, "\n")
+
+
+_DELIMITED_SQL = (
+    "(SELECT p_partkey // 20 AS doc_id, array_agg(CASE WHEN p_partkey % 6 = 0 THEN concat('x', d, p_partkey) "
+    "ELSE concat(p_partkey, d, p_name, d, p_brand) END ORDER BY p_partkey)[1:10] AS lines FROM "
+    f"(SELECT *, {_DELIMITERS_SQL}[p_partkey // 20 % 4 + 1] AS d FROM part) p GROUP BY 1)"
+)
+
+
+@query(
+    "delimiter_detect",
+    "WITH c AS (SELECT doc_id, prio, cand, list_transform(lines, lambda x: length(x) - length(replace(x, cand, ''))) AS counts "
+    f"FROM {_DELIMITED_SQL} l, (VALUES (0, ','), (1, chr(9)), (2, ';'), (3, '|')) v(prio, cand)), "
+    "h AS (SELECT *, list_filter(counts, lambda n: n > 0) AS hits FROM c), "
+    "s AS (SELECT doc_id, prio, cand, CASE WHEN len(hits) = 0 THEN 0 ELSE list_avg(hits) * pow(len(hits) / len(counts), 2) END AS score FROM h), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, prio) AS rank FROM s) "
+    "SELECT a.doc_id, a.cand AS delimiter, round((a.score - b.score) / (a.score + b.score), 6) AS confidence "
+    "FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.rank = 1 AND b.rank = 2",
+)
+def delimiter_detect(spark, sf):
+    docs = _delimited_docs(spark, sf)
+    found = docs.select("doc_id", delimited.detect_delimiter(F.col("body")).alias("d"))
+    return found.select("doc_id", "d.delimiter", F.round("d.confidence", 6).alias("confidence"))
+
+
+@query(
+    "delimiter_sniff",
+    f"SELECT doc_id, {_DELIMITERS_SQL}[doc_id % 4 + 1] AS delimiter FROM (SELECT DISTINCT p_partkey // 20 AS doc_id FROM part) p",
+)
+def delimiter_sniff(spark, sf):
+    docs = _delimited_docs(spark, sf)
+    return docs.select("doc_id", delimited.sniff_delimiter(F.slice(F.split("body", "\n"), 1, 10)).alias("delimiter"))
+
+
+# ------------------------------------------------------------------ line files
+
+
+def _numbered(spark, sf, whole_file_bytes: int):
+    folder = new_folder(spark, "lines")
+    shapes.event_lines(spark, sf).select("raw").write.text(folder)
+    numbered = lines.numbered_lines(spark, folder, whole_file_bytes)
+    per_file = numbered.groupBy("path").agg(
+        F.count(F.lit(1)).alias("lines"), F.countDistinct("line_no").alias("places"), F.max("line_no").alias("last")
+    )
+    return per_file.agg(
+        F.sum("lines").alias("lines"), F.sum("places").alias("places"), F.sum("last").alias("last_places")
+    )
+
+
+_NUMBERED_SQL = "SELECT count(*) AS lines, count(*) AS places, count(*) AS last_places FROM events"
+
+
+@query("numbered_lines", _NUMBERED_SQL)
+def numbered_lines(spark, sf):
+    return _numbered(spark, sf, lines.WHOLE_FILE_BYTES)
+
+
+@query("numbered_lines_split", _NUMBERED_SQL)
+def numbered_lines_split(spark, sf):
+    """The same through file splits, as for files too large for one row."""
+    return _numbered(spark, sf, 0)
+
+
+# -------------------------------------------------------------------- columnar
+
+
+@query(
+    "parquet_footer_profile",
+    " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS num_rows, true AS has_groups FROM {t}" for t in TABLES),
+)
+def parquet_footer_profile(spark, sf):
+    footers = columnar.footer_profile(spark, sf)
+    return footers.select(
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "num_rows", (F.col("row_groups") > 0).alias("has_groups")
+    )
+
+
+_LABELS = {"n": "INT64", "d": "DOUBLE", "s": "STRING", "t": "TIMESTAMP(MICROS)"}
+_LABELLED_COLUMNS = [
+    ("orders", 0, "o_orderkey", "INT64"), ("orders", 1, "o_custkey", "INT64"), ("orders", 2, "o_orderstatus", "STRING"),
+    ("orders", 3, "o_totalprice", "DOUBLE"), ("orders", 4, "o_orderdate", "TIMESTAMP(MICROS)"),
+    ("orders", 5, "o_orderpriority", "STRING"), ("region", 0, "r_regionkey", "INT32"), ("region", 1, "r_name", "STRING"),
+]
+
+
+@query(
+    "parquet_column_types",
+    "SELECT name, CAST(i AS INTEGER) AS column_index, column_name, type_label FROM (VALUES "
+    + ", ".join(f"('{t}.parquet', {i}, '{c}', '{k}')" for t, i, c, k in _LABELLED_COLUMNS)
+    + ") v(name, i, column_name, type_label)",
+)
+def parquet_column_types(spark, sf):
+    footers = columnar.footer_profile(spark, sf, "{orders,region}.parquet")
+    return columnar.footer_columns(footers).select(
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "column_index", "column_name", "type_label"
+    )
+
+
+@query("arrow_source", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def arrow_source(spark, sf):
+    """Customers written as Arrow IPC files by the tasks, and read back."""
+    folder = new_folder(spark, "arrow")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    columnar.write_arrow(customers, folder)
+    return columnar.read_arrow(spark, folder, customers.schema)
+
+
+# -------------------------------------------------------------------- archives
+
+
+def _zip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import io
+    import zipfile
+
+    for batch in batches:
+        out = []
+        for members in batch["members"]:
+            stream = io.BytesIO()
+            with zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(zipfile.ZipInfo("texts/"), "")
+                for m in members:
+                    z.writestr(zipfile.ZipInfo(m["path"]), m["text"])
+            out.append(stream.getvalue())
+        yield pd.DataFrame({"archive": batch["archive"], "content": out})
+
+
+def _archives(spark, sf):
+    """ZIP archives of twenty conversation turns each."""
+    turns = table(spark, sf, "conversations")
+    path = F.concat(F.lit("texts/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".txt"))
+    packed = turns.groupBy(
+        F.concat(F.lit("a"), F.floor(F.col("conv_id") / 20).cast("string"), F.lit(".zip")).alias("archive"), "turn"
+    ).agg(F.collect_list(F.struct(path.alias("path"), F.col("text"))).alias("members"))
+    named = packed.withColumn("archive", F.concat_ws("/", F.col("turn").cast("string"), "archive")).drop("turn")
+    return named.mapInPandas(_zip, "archive string, content binary")
+
+
+_ARCHIVES_SQL = (
+    "(SELECT concat(turn, '/a', conv_id // 20, '.zip') AS archive, concat('texts/', conv_id, '-', turn, '.txt') AS entry_path, "
+    "octet_length(encode(text)) AS size, false AS is_directory FROM conversations UNION ALL "
+    "SELECT DISTINCT concat(turn, '/a', conv_id // 20, '.zip'), 'texts/', 0, true FROM conversations)"
+)
+
+
+@query("archive_members", f"SELECT archive, entry_path, size, is_directory FROM {_ARCHIVES_SQL} m")
+def archive_members(spark, sf):
+    return archives.list_members(_archives(spark, sf)).drop("problem")
+
+
+@query(
+    "archive_members_search",
+    f"SELECT archive, entry_path FROM {_ARCHIVES_SQL} m WHERE contains(lower(entry_path), '-1.txt')",
+)
+def archive_members_search(spark, sf):
+    members = archives.list_members(_archives(spark, sf))
+    return search.path_contains(members, F.col("entry_path"), " -1.TXT ").select("archive", "entry_path")
+
+
+@query(
+    "archive_totals",
+    "SELECT archive, count(*) AS entries, CAST(sum(size) AS BIGINT) AS expanded_bytes, "
+    "count(*) FILTER (WHERE is_directory) AS directories, false AS too_many, false AS too_large, CAST(NULL AS VARCHAR) AS problem "
+    f"FROM {_ARCHIVES_SQL} m GROUP BY 1",
+)
+def archive_totals(spark, sf):
+    return archives.archive_totals(archives.list_members(_archives(spark, sf)))

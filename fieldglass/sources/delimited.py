@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldglass.functions.binding import let
+
 # Delimiter candidates, first wins a tie.
 CANDIDATES = (",", "\t", ";", "|")
 # The order in which the plain sniffing score tries candidates.
@@ -32,20 +34,21 @@ def sample_lines(text: Column, size: int = SAMPLE_LINES) -> Column:
 
 
 def _score(lines: Column, delimiter: str, priority: int) -> Column:
-    # A literal split keeps the count exact for every candidate.
     counts = F.transform(lines, lambda s: F.length(s) - F.length(F.replace(s, F.lit(delimiter), F.lit(""))))
-    hits = F.filter(counts, lambda n: n > 0)
-    n_hits = F.size(hits)
-    total = F.aggregate(hits, F.lit(0.0), lambda a, n: a + n)
-    mean = F.when(n_hits > 0, total / n_hits).otherwise(0.0)
-    spread = F.aggregate(hits, F.lit(0.0), lambda a, n: a + (n - mean) * (n - mean)) / n_hits
-    share = n_hits / F.size(lines)
-    return F.struct(
-        F.coalesce(mean * share * share, F.lit(0.0)).alias("score"),
-        F.when(n_hits > 0, -spread).otherwise(float("-inf")).alias("steadiness"),
-        F.lit(-priority).alias("priority"),
-        F.lit(delimiter).alias("delimiter"),
-    )
+
+    def of_hits(hits: Column) -> Column:
+        n = F.size(hits)
+        mean = F.try_divide(F.aggregate(hits, F.lit(0.0), lambda a, c: a + c), n)
+        spread = F.try_divide(F.aggregate(hits, F.lit(0.0), lambda a, c: a + (c - mean) * (c - mean)), n)
+        share = n / F.size(lines)
+        return F.struct(
+            F.coalesce(mean * share * share, F.lit(0.0)).alias("score"),
+            F.coalesce(-spread, F.lit(float("-inf"))).alias("steadiness"),
+            F.lit(-priority).alias("priority"),
+            F.lit(delimiter).alias("delimiter"),
+        )
+
+    return let(F.filter(counts, lambda c: c > 0), of_hits)
 
 
 def detect_delimiter(text: Column, name: Column | None = None, size: int = SAMPLE_LINES) -> Column:
@@ -55,19 +58,26 @@ def detect_delimiter(text: Column, name: Column | None = None, size: int = SAMPL
     times the squared share of such lines; ties go to the steadier one, then
     to the earlier one. A ``.tsv`` name settles it.
     """
-    lines = sample_lines(text, size)
-    ranked = F.reverse(F.array_sort(F.array(*[_score(lines, d, i) for i, d in enumerate(CANDIDATES)])))
-    best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    nothing = F.struct(F.lit(",").alias("delimiter"), F.lit(0.0).alias("confidence"))
-    found = F.struct(
-        best["delimiter"].alias("delimiter"),
-        ((best["score"] - second["score"]) / (best["score"] + second["score"])).alias("confidence"),
-    )
-    by_text = F.when((F.size(lines) <= 0) | lines.isNull() | (best["score"] == 0), nothing).otherwise(found)
+    found = let(sample_lines(text, size), _detect)
     if name is None:
-        return by_text
+        return found
     tsv = F.struct(F.lit("\t").alias("delimiter"), F.lit(1.0).alias("confidence"))
-    return F.when(F.lower(name).endswith(".tsv"), tsv).otherwise(by_text)
+    return F.when(F.lower(name).endswith(".tsv"), tsv).otherwise(found)
+
+
+def _detect(lines: Column) -> Column:
+    ranked = F.reverse(F.array_sort(F.array(*[_score(lines, d, i) for i, d in enumerate(CANDIDATES)])))
+
+    def verdict(r: Column) -> Column:
+        best, second = F.get(r, F.lit(0)), F.get(r, F.lit(1))
+        confidence = F.try_divide(best["score"] - second["score"], best["score"] + second["score"])
+        return F.when(
+            (F.size(lines) > 0) & (best["score"] > 0),
+            F.struct(best["delimiter"].alias("delimiter"), confidence.alias("confidence")),
+        )
+
+    nothing = F.struct(F.lit(",").alias("delimiter"), F.lit(0.0).alias("confidence"))
+    return F.coalesce(let(ranked, verdict), nothing)
 
 
 def sniff_delimiter(lines: Column) -> Column:

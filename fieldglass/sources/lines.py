@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldglass.functions.formatting import utf8_text
 from fieldglass.sources.scratch import use_checkpoints
 
 # Files up to this size are read whole, one row per file.
@@ -69,7 +70,7 @@ def decoded_text(content: Column) -> Column:
     text = (
         F.when(head.startswith("FFFE"), F.decode(content, "UTF-16LE"))
         .when(head.startswith("FEFF"), F.decode(content, "UTF-16BE"))
-        .otherwise(F.decode(content, "UTF-8"))
+        .otherwise(utf8_text(content))
     )
     return F.regexp_replace(text, "^\ufeff", "")
 

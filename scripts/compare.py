@@ -90,8 +90,9 @@ def main() -> int:
             print(f"COLS {name}: {sorted(df.columns)} vs {sorted(cols)}")
         elif a != b:
             bad += 1
-            only_a = [x for x in a if x not in set(b)][:2]
-            only_b = [x for x in b if x not in set(a)][:2]
+            sa, sb = set(a), set(b)
+            only_a = [x for x in a if x not in sb][:2]
+            only_b = [x for x in b if x not in sa][:2]
             print(f"DIFF {name}: {len(a)} vs {len(b)} rows\n   spark {[x[:600] for x in only_a]}\n   sql   {[x[:600] for x in only_b]}")
         else:
             print(f"ok   {name}: {len(a)} rows {took:.2f}s")

@@ -414,7 +414,7 @@ def dbc_docs(spark, sf):
     line = F.expr(
         "concat('BO_ ', p_partkey, ' Frame', p_partkey, ': ', p_size % 9, ' ECM\\n SG_ Speed : 0|16@1+ (0.125,0) [0|8031.875] \"rpm\" BCM,Tester\\n', "
         "' SG_ State m1 : 8|8@0- (1,-', p_size, ') [0|3] \"\" ', if(p_partkey % 2 = 0, 'Tester', 'Gate'), "
-        "'\\nCM_ BO_ ', p_partkey, ' \"frame ', p_name, '\";\\nCM_ SG_ ', p_partkey, ' State \"a \\\\\\\\\"b\\\\\\\\\"\";\\n', "
+        "'\\nCM_ BO_ ', p_partkey, ' \"frame ', p_name, '\";\\nCM_ SG_ ', p_partkey, ' State \"a \\\\\"b\\\\\"\";\\n', "
         "'VAL_ ', p_partkey, if(p_partkey % 7 = 0, ' Lost', ' State'), ' 0 \"Off\" 1 \"On\";')"
     )
     return _part_docs(spark, sf, line, 'VERSION "Demo"\nBU_: ECM BCM Tester Gate\n', "\n", "\n")
@@ -702,7 +702,7 @@ def pcapng_docs(spark, sf):
     )
     docs = joined(events, F.floor(F.col("event_id") / 100), "event_id", enhanced, "")
     section = "0A0D0D0A1C0000004D3C2B1A01000000FFFFFFFFFFFFFFFF1C000000"
-    interface = lambda link: f"0100000014000000{link}0000000004000014000000"
+    interface = lambda link: f"0100000014000000{link}00000000040014000000"
     content = F.unhex(F.concat(F.lit(section + interface("0100") + interface("0100")), "body"))
     return docs.select(F.concat(F.lit("g"), "doc_id").alias("capture"), content.alias("content"))
 

@@ -451,7 +451,7 @@ def looks_like_html(text: Column) -> Column:
 
 def looks_like_xml(text: Column) -> Column:
     root = F.lower(F.regexp_extract(text, XML_START, 1))
-    return ~looks_like_html(text) & (root != "") & (root != "html")
+    return text.rlike(r"^\x{FEFF}?\s*<") & ~looks_like_html(text) & ~root.isin("", "html")
 
 
 def looks_like_toml(lines: Column) -> Column:
@@ -494,8 +494,20 @@ def json_dialect_of(value: Column) -> Column:
     )
 
 
+# A document without one of these keys, or an escape that could spell one,
+# belongs to no dialect.
+DIALECT_KEYS = r'"(log|nbformat|runs|bomFormat|traceEvents|type)"|\\u'
+
+
 def json_dialect(text: Column) -> Column:
-    return let(strict_json(F.btrim(text, F.lit(WHITESPACE))), json_dialect_of)
+    """Dialect of a JSON document, ``json`` for any other one, null for non-JSON and scalars."""
+
+    def of_body(body: Column) -> Column:
+        special = F.when(body.rlike(DIALECT_KEYS), let(strict_json(body), json_dialect_of))
+        plain = F.when(strict_json(body).isNotNull(), "json")
+        return F.when(body.rlike(r"^[\{\[]"), F.coalesce(special, plain))
+
+    return let(F.btrim(text, F.lit(WHITESPACE)), of_body)
 
 
 # Root elements and namespaces of the map dialects.
@@ -555,7 +567,7 @@ def text_kind(text: Column) -> Column:
 
 
 def _text_kind(text: Column, lines: Column) -> Column:
-    braced = F.btrim(text, F.lit(WHITESPACE)).rlike(r"^[\{\[]")
+    braced = F.get(lines, F.lit(0)).rlike(r"^[\{\[]")
     jsonl = (F.size(lines) >= 2) & F.forall(F.slice(lines, 1, 10), lambda s: is_container(strict_json(s)))
     guesses = (
         F.when(looks_like_toml(lines), "toml")

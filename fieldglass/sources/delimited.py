@@ -28,9 +28,13 @@ def _unquoted(text: Column) -> Column:
 
 
 def sample_lines(text: Column, size: int = SAMPLE_LINES) -> Column:
-    """The first non-empty logical lines; quoted line breaks do not end a line."""
+    """The delimiters of the first non-empty logical lines.
+
+    Quoted line breaks do not end a line, and quoted delimiters do not count.
+    """
     lines = F.split(_unquoted(_normalized(text)), "\n")
-    return F.slice(F.filter(lines, lambda line: line != ""), 1, size)
+    first = F.slice(F.filter(lines, lambda line: line != ""), 1, size)
+    return F.transform(first, lambda line: F.regexp_replace(line, r"[^,;\t|]+", ""))
 
 
 def _score(lines: Column, delimiter: str, priority: int) -> Column:
@@ -80,19 +84,25 @@ def _detect(lines: Column) -> Column:
     return F.coalesce(let(ranked, verdict), nothing)
 
 
+def _marks(line: Column) -> Column:
+    """Only the candidate delimiters of a line, those in quotes left out."""
+    outside = F.when(F.contains(line, F.lit('"')), _unquoted(line)).otherwise(line)
+    return F.regexp_replace(outside, r"[^,;\t|]+", "")
+
+
 def sniff_delimiter(lines: Column) -> Column:
     """The plain score used when a text's kind is guessed: 100 per line that
     holds the candidate plus its occurrences; null when no line holds any."""
 
-    def scored(delimiter: str, i: int) -> Column:
-        bare = F.transform(lines, _unquoted)
-        counts = F.transform(bare, lambda s: F.length(s) - F.length(F.replace(s, F.lit(delimiter), F.lit(""))))
-        hits = F.filter(counts, lambda n: n > 0)
-        score = F.size(hits) * 100 + F.aggregate(hits, F.lit(0), lambda a, n: a + n)
+    def scored(marks: Column, delimiter: str, i: int) -> Column:
+        counts = F.transform(marks, lambda s: F.length(s) - F.length(F.replace(s, F.lit(delimiter), F.lit(""))))
+        score = F.aggregate(counts, F.lit(0), lambda a, n: a + n + F.when(n > 0, 100).otherwise(0))
         return F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(delimiter).alias("delimiter"))
 
-    best = F.array_max(F.array(*[scored(d, i) for i, d in enumerate(SNIFF_CANDIDATES)]))
-    return F.when(best["score"] > 0, best["delimiter"])
+    def best(marks: Column) -> Column:
+        return F.array_max(F.array(*[scored(marks, d, i) for i, d in enumerate(SNIFF_CANDIDATES)]))
+
+    return let(let(F.transform(lines, _marks), best), lambda b: F.when(b["score"] > 0, b["delimiter"]))
 
 
 # Marks a missing cell while reading; empty cells stay empty.

@@ -68,7 +68,7 @@ def typed_sort_keys(
     else:
         text = trimmed(cell) if isinstance(dtype, T.StringType) else cell_text(cell, dtype, "")
         blank = F.coalesce(text, F.lit("")) == ""
-        key = collated(natural_key(text))
+        key = F.when(~blank, collated(natural_key(text)))
     ties = [SortKey(F.col(f"`{c}`")) for c in tie_breakers]
     return [SortKey(blank), SortKey(key, direction == "asc"), *ties]
 

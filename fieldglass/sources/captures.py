@@ -97,9 +97,13 @@ def pcapng_blocks(captures: DataFrame) -> DataFrame:
 
 
 def truncated_captures(captures: DataFrame, records: DataFrame) -> DataFrame:
-    """Captures whose last complete record ends before the file does."""
+    """Captures whose last complete record ends before the file does.
+
+    Files that do not start like a capture are left out.
+    """
     ends = records.groupBy("capture").agg(F.max(F.col("record_offset") + 16 + F.col("cap_len")).alias("_end"))
-    sized = captures.select("capture", F.length("content").alias("size"))
+    known = F.hex(F.substring("content", 1, 4)).isin([m.hex().upper() for m in MAGICS])
+    sized = captures.where(known).select("capture", F.length("content").alias("size"))
     joined = sized.join(ends, "capture", "left")
     stop = F.coalesce("_end", F.least(F.lit(24), F.col("size")))
     return joined.where(stop != F.col("size")).select("capture", "size", stop.cast("long").alias("stopped_at"))

@@ -168,9 +168,14 @@ def read_delimited(
         # Every file starts with the header line; the reader drops it per file.
         options["header"] = True
     rows = spark.read.options(**options).schema(schema).csv(path)
-    return rows.select(
-        *[
-            F.coalesce(F.col(f"_c{i}"), F.lit("")).alias(f"Column {i + 1}" if n is None else n)
-            for i, n in enumerate(names)
-        ]
-    )
+
+    def cell(i: int) -> Column:
+        """Line breaks as line feeds; the one that ended the row is not part of it."""
+        text = F.col(f"_c{i}")
+        ends_row = F.col(f"_c{i + 1}").isNull() if i + 1 < width else F.lit(True)
+        kept = F.when(ends_row, F.regexp_replace(text, r"\r\z", "")).otherwise(text)
+        unified = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(kept, r"\r\n?", "\n")).otherwise(text)
+        return F.coalesce(unified, F.lit(""))
+
+    titled = [f"Column {i + 1}" if n is None else n.rstrip("\r") for i, n in enumerate(names)]
+    return rows.select(*[cell(i).alias(n) for i, n in enumerate(titled)])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions.binding import let
@@ -653,5 +653,5 @@ def corpus_report(classified: DataFrame) -> DataFrame:
         F.count_if(F.col("by_signature")).alias("by_signature"),
         F.count_if(F.col("ext_kind").isNotNull() & (F.col("ext_kind") != F.col("kind"))).alias("mismatches"),
     )
-    total = by_kind.agg(F.sum("bytes").alias("_all"))
-    return by_kind.crossJoin(F.broadcast(total)).withColumn("byte_share", F.col("bytes") / F.col("_all")).drop("_all")
+    # One row per kind is left here, a few dozen at most.
+    return by_kind.withColumn("byte_share", F.col("bytes") / F.sum("bytes").over(Window.partitionBy()))

@@ -135,14 +135,15 @@ def marker_counts(df: DataFrame, text: Column, markers: list[str], keys: list[st
 def raw_payload(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
     """Every row with its cells in declared order beside the table's name and size.
 
-    The count is an aggregate joined back as one row, so the table itself is
-    never shuffled.
+    The size is one number from a count that reads no column.
     """
     cells = F.array(*[cell_text(F.col(f"`{c}`"), df.schema[c].dataType, "") for c in columns])
-    totals = df.agg(F.count(F.lit(1)).alias("total_rows"))
     return df.select(
-        F.lit(name).alias("name"), F.to_json(cells).alias("cells"), F.lit(len(columns)).alias("total_columns")
-    ).crossJoin(F.broadcast(totals))
+        F.lit(name).alias("name"),
+        F.to_json(cells).alias("cells"),
+        F.lit(len(columns)).alias("total_columns"),
+        F.lit(df.count()).cast("long").alias("total_rows"),
+    )
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -282,8 +282,8 @@ _POINTS = (
 
 @query(
     "track_summary",
-    "SELECT doc_id, 0 AS track, count(*) AS points, round(coalesce(sum(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - plat) / 2), 2) "
-    "+ cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))))), 0), 2) AS length_m, "
+    "SELECT doc_id, 0 AS track, count(*) AS points, round(coalesce(sum(CASE WHEN plat IS NOT NULL THEN 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - plat) / 2), 2) "
+    "+ cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2)))) END), 0), 2) AS length_m, "
     "(max(ms) - min(ms)) / 1000.0 AS elapsed_s, min(ele) AS min_ele, max(ele) AS max_ele, "
     "coalesce(sum(CASE WHEN pele IS NOT NULL THEN greatest(ele - pele, 0) END), 0) AS gain_m FROM ("
     "SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(ele) OVER w AS pele "

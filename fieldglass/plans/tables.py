@@ -527,20 +527,22 @@ def json_records_ragged(spark, sf):
 
 @query(
     "pretty_records",
-    "SELECT n_nationkey, concat('{', chr(10), '  \"n_nationkey\": ', n_nationkey, ',', chr(10), '  \"n_name\": \"', n_name, '\"', "
-    "chr(10), '}') AS record FROM nation",
+    "SELECT c_custkey, concat('{', chr(10), '  \"c_custkey\": ', c_custkey, ',', chr(10), '  \"c_name\": \"', c_name, '\"', "
+    "chr(10), '}') AS record FROM customer",
 )
 def pretty_records(spark, sf):
-    nation = table(spark, sf, "nation")
-    return nation.select("n_nationkey", export.pretty_record(nation, ["n_nationkey", "n_name"]).alias("record"))
+    customer = table(spark, sf, "customer")
+    return customer.select("c_custkey", export.pretty_record(customer, ["c_custkey", "c_name"]).alias("record"))
 
 
 @query(
     "column_text",
-    "SELECT n_regionkey, string_agg(n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY 1",
+    "SELECT c_custkey // 200 AS page, string_agg(c_name, chr(10) ORDER BY c_custkey) AS text FROM customer GROUP BY 1",
 )
 def column_text(spark, sf):
-    return export.column_text(table(spark, sf, "nation"), "n_name", ["n_nationkey"], ["n_regionkey"])
+    """A column's cells as text, one text per page of two hundred rows."""
+    customer = table(spark, sf, "customer").withColumn("page", F.floor(F.col("c_custkey") / 200).cast("long"))
+    return export.column_text(customer, "c_name", ["c_custkey"], ["page"])
 
 
 @query(

@@ -238,15 +238,18 @@ def track_summary(points: DataFrame, keys: list[str], hot_rows: int = HOT_GROUP_
     Steps are taken within a segment; a gap between segments adds no length.
     """
     steps = previous_in_group(points, [*keys, "track", "segment"], ["idx"], ["lat", "lon", "ele"], hot_rows)
-    length = _haversine(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon"))
-    climb = F.greatest(F.col("ele") - F.col("prev_ele"), F.lit(0.0))
+    # Guarded, because least() inside the formula would skip over nulls.
+    known = F.col("prev_lat").isNotNull() & F.col("prev_lon").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    length = F.when(known, _haversine(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")))
+    rise = F.col("ele") - F.col("prev_ele")
+    climb = F.when(rise > 0, rise)
     return steps.groupBy(*keys, "track").agg(
         F.count(F.lit(1)).alias("points"),
         F.coalesce(F.sum(length), F.lit(0.0)).alias("length_m"),
         ((F.max("at_us") - F.min("at_us")) / 1e6).alias("elapsed_s"),
         F.min("ele").alias("min_ele"),
         F.max("ele").alias("max_ele"),
-        F.coalesce(F.sum(F.when(F.col("prev_ele").isNotNull(), climb)), F.lit(0.0)).alias("gain_m"),
+        F.coalesce(F.sum(climb), F.lit(0.0)).alias("gain_m"),
     )
 
 

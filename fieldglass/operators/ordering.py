@@ -119,22 +119,28 @@ def clamp_page(page: int, total: int, size: int) -> int:
 
 
 def page_slice(
-    df: DataFrame, keys: list[SortKey], page: int, size: int = PAGE_SIZE, total: int | None = None
+    df: DataFrame,
+    keys: list[SortKey],
+    page: int,
+    size: int = PAGE_SIZE,
+    total: int | None = None,
+    top_k_rows: int = TOP_K_ROWS,
 ) -> DataFrame:
     """The rows of one 1-based page; the page number is clamped to what exists.
 
-    Pages near the start are a top-k sort, pages near the end a top-k sort of
-    the reversed order; anything in between is cut by global position.
+    Pages within ``top_k_rows`` of the start are a top-k sort, pages as near to
+    the end a top-k sort of the reversed order; anything in between is cut by
+    global position.
     """
     total = df.count() if total is None else total
     start = (clamp_page(page, total, size) - 1) * size
     keyed, plain = _keyed(df, keys)
     kept = [F.col(f"`{c}`") for c in df.columns]
     forward = [k.forward() for k in plain]
-    if start + size <= TOP_K_ROWS:
+    if start + size <= top_k_rows:
         return keyed.orderBy(*forward).offset(start).limit(size).select(*kept)
     tail = total - start
-    if tail <= TOP_K_ROWS:
+    if tail <= top_k_rows:
         last = keyed.orderBy(*[k.backward() for k in plain]).limit(tail)
         return last.orderBy(*forward).limit(size).select(*kept)
     placed = with_positions(df, keys, "_pos")

@@ -410,10 +410,9 @@ def page_slice_search(spark, sf):
 
 @query("page_slice_deep", page_sql("11"))
 def page_slice_deep(spark, sf):
-    """The same page through global positions, as for a page far from both ends."""
+    """A page cut by global positions, as one far from both ends is."""
     df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    placed = ordering.with_positions(df, _order_keys())
-    return placed.where((F.col("pos") >= 2000) & (F.col("pos") < 2200)).drop("pos")
+    return ordering.page_slice(df, _order_keys(), 11, top_k_rows=0)
 
 
 @query(

@@ -60,10 +60,9 @@ def test_positions_with_a_hot_value(spark, partitions):
 
 @pytest.mark.parametrize("page, expected", [(1, (0, 7)), (3, (14, 21)), (4, (21, 25)), (99, (21, 25)), (-5, (0, 7))])
 @pytest.mark.parametrize("top_k", [100_000, 0])
-def test_pages(spark, monkeypatch, page, expected, top_k):
-    monkeypatch.setattr(ordering, "TOP_K_ROWS", top_k)
+def test_pages(spark, page, expected, top_k):
     df = spark.range(25).select(F.col("id").alias("i"))
-    got = [r.i for r in ordering.page_slice(df, [ordering.SortKey(F.col("i"))], page, 7).collect()]
+    got = [r.i for r in ordering.page_slice(df, [ordering.SortKey(F.col("i"))], page, 7, top_k_rows=top_k).collect()]
     assert got == list(range(*expected))
 
 

@@ -356,8 +356,8 @@ def signature_rules(
     return rules
 
 
-def read_file_heads(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
-    """``(path, name, size, head, tail)`` of files; the body is cut off at the scan."""
+def read_files(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
+    """``(path, name, size, content)`` of files."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
@@ -368,32 +368,25 @@ def read_file_heads(spark: SparkSession, path: str | list[str], pattern: str = "
         "path",
         F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
         F.col("length").alias("size"),
-        F.substring("content", 1, HEAD_BYTES).alias("head"),
-        F.substring("content", -4, 4).alias("tail"),
+        "content",
     )
 
 
 def classify_files(files: DataFrame) -> DataFrame:
-    """Add ``kind``, ``reason``, ``by_signature`` and ``ext_kind`` to file heads.
+    """``kind``, ``reason``, ``by_signature`` and ``ext_kind`` in place of the content.
 
-    Leading bytes decide first, then the extension, then the text of the head.
+    Leading bytes decide first, then the extension, then the text. Signatures
+    look at the first 64 KiB; texts are read whole. The only join is with the
+    small extension table, so contents are dropped in the task that read them.
     """
-    name, head, size = F.col("name"), F.col("head"), F.col("size")
+    name, content, size = F.col("name"), F.col("content"), F.col("size")
     named = with_extension_kind(files, name)
-    found = signature(name, head, F.col("tail"), size)
-    text = F.when(looks_like_text(head), text_kind(utf8_text(head)))
+    found = signature(name, F.substring(content, 1, HEAD_BYTES), F.substring(content, -4, 4), size)
+    text = F.when(looks_like_text(content), text_kind(utf8_text(content)))
+    dialect = F.when(F.col("ext_kind").isin("json", "xml"), document_dialect(utf8_text(content)))
     return (
         named.withColumn("_found", F.when(size > 0, found))
-        .withColumn(
-            "kind",
-            F.coalesce(
-                F.col("_found.kind"),
-                F.when(F.col("ext_kind").isin("json", "xml"), document_dialect(utf8_text(head))),
-                F.col("ext_kind"),
-                text,
-                F.lit("unknown"),
-            ),
-        )
+        .withColumn("kind", F.coalesce(F.col("_found.kind"), dialect, F.col("ext_kind"), text, F.lit("unknown")))
         .withColumn(
             "reason",
             F.coalesce(
@@ -404,7 +397,7 @@ def classify_files(files: DataFrame) -> DataFrame:
             ),
         )
         .withColumn("by_signature", F.col("_found").isNotNull())
-        .drop("_found")
+        .drop("_found", "content")
     )
 
 

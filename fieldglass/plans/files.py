@@ -31,8 +31,8 @@ def file_inventory(spark, sf):
     f"SELECT name, 'parquet' AS kind, 'Parquet magic at both ends' AS reason, true AS by_signature FROM {_NAMES}",
 )
 def file_signature(spark, sf):
-    heads = classify.read_file_heads(spark, sf, "*.parquet")
-    return classify.classify_files(heads).select("name", "kind", "reason", "by_signature")
+    files = classify.read_files(spark, sf, "*.parquet")
+    return classify.classify_files(files).select("name", "kind", "reason", "by_signature")
 
 
 # Contents by remainder of the document key: (name, leading bytes, kind, ...).
@@ -81,13 +81,7 @@ def _pick(i: int) -> str:
 
 @query("file_signature_contents", f"SELECT doc_id, {_pick(0)} AS name, {_pick(2)} AS kind FROM documents")
 def file_signature_contents(spark, sf):
-    files = _contents(spark, sf).select(
-        "doc_id",
-        "name",
-        F.length("content").alias("size"),
-        F.substring("content", 1, classify.HEAD_BYTES).alias("head"),
-        F.substring("content", -4, 4).alias("tail"),
-    )
+    files = _contents(spark, sf).withColumn("size", F.length("content"))
     return classify.classify_files(files).select("doc_id", "name", "kind")
 
 
@@ -131,12 +125,7 @@ _SIZE_SQL = (
     + " AS size FROM documents) d GROUP BY 1",
 )
 def corpus_report(spark, sf):
-    files = _contents(spark, sf).select(
-        "name",
-        F.length("content").alias("size"),
-        F.substring("content", 1, classify.HEAD_BYTES).alias("head"),
-        F.substring("content", -4, 4).alias("tail"),
-    )
+    files = _contents(spark, sf).withColumn("size", F.length("content"))
     report = classify.corpus_report(classify.classify_files(files))
     return report.select("kind", "files", "bytes", F.round("byte_share", 6).alias("byte_share"))
 

@@ -215,9 +215,17 @@ def test_file_signatures(spark):
         ("m.m4a", bytes(4) + b"ftypM4A " + bytes(4), "audio"),
         ("z.zip", b"PK\x03\x04" + b"word/document.xml", "word"),
         ("noise", bytes([1, 2, 3, 4, 5]), "unknown"),
+        ("long", b'{"traceEvents":[' + b"0," * 60000 + b"0]}", "trace"),
     ]
     df = spark.createDataFrame([(n, bytearray(c), len(c)) for n, c, _ in cases], "name string, content binary, size long")
-    heads = df.select("name", "size", F.col("content").alias("head"), F.substring("content", -4, 4).alias("tail"))
-    got = {r["name"]: (r["kind"], r["by_signature"]) for r in classify.classify_files(heads).collect()}
+    got = {r["name"]: (r["kind"], r["by_signature"]) for r in classify.classify_files(df).collect()}
     assert {n: got[n][0] for n, _, _ in cases} == {n: k for n, _, k in cases}
     assert got["x.parquet"][1] and not got["broken.parquet"][1]
+
+
+def test_ordered_lines_file(spark, tmp_path):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("line_no")).withColumn("raw", F.concat(F.lit("l"), "line_no"))
+    target = tmp_path / "out"
+    export.write_ordered_lines(df, ["line_no"], "raw", str(target))
+    text = "".join(p.read_text() for p in sorted(target.glob("part-*")))
+    assert text.split() == [f"l{i}" for i in range(500)]

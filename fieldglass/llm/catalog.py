@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from fieldglass.llm import (  # noqa: F401  (registration)
     chat,
+    credentials,
+    packing,
     sharding,
+    token_counts,
 )
 from fieldglass.llm.register import ORACLES, QUERIES
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from fieldglass.llm import (  # noqa: F401  (registration)
     chat,
     credentials,
+    near_dedup,
     packing,
+    quality,
     sharding,
     token_counts,
 )

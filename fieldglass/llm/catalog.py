@@ -5,8 +5,10 @@ from __future__ import annotations
 from fieldglass.llm import (  # noqa: F401  (registration)
     chat,
     credentials,
+    decontaminate,
     near_dedup,
     packing,
+    paragraph_dedup,
     quality,
     sharding,
     token_counts,

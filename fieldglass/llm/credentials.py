@@ -20,11 +20,10 @@ apart by their place in the written table. Very long texts are read whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldglass.llm.register import query, table
 from fieldglass.llm.shared import stage
@@ -77,36 +76,41 @@ def parts_of(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            parts = parts_of(text or "")
-            out.append(
-                {"doc_id": doc_id, "parts": [{"kind": k, "start": a, "end": b} for k, a, b in parts]}
-            )
-        yield pd.DataFrame(out, columns=["doc_id", "parts"])
+PARTS = "__credential_parts"
+SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def scan_parts(docs: DataFrame) -> DataFrame:
-    """``doc_id, parts`` of every document, in a written table."""
-    schema = "doc_id long, parts array<struct<kind:string,start:int,end:int>>"
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stage(given.mapInPandas(_scan, schema), "credential-parts")
+    """The rows with all parts of their texts as a further column."""
 
+    def scan(batches):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            found = [[{"kind": k, "start": a, "end": b} for k, a, b in parts_of(t or "")] for t in texts]
+            yield batch.append_column(PARTS, pa.array(found, kind))
+
+    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(PARTS, T._parse_datatype_string(SPANS))]))
+
+
+def _weak(parts: str = PARTS) -> Column:
+    return F.exists(parts, lambda p: p.kind.startswith("weak"))
 
-def link_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``doc_id, spans`` for every document: strong parts, and weak parts with a partner in scope.
 
-    ``scanned`` is a written table of :func:`scan_parts`.
-    """
-    keyed = scanned.select("doc_id", "parts", F.concat_ws(":", "_metadata.file_name", "_metadata.row_index").alias("_row"))
+def _row() -> Column:
+    """A row's place in the written table."""
+    return F.concat_ws(":", "_metadata.file_name", "_metadata.row_index")
+
+
+def link_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """``_row, _linked``: the weak parts that have a partner in scope, by row of a written table."""
     role = F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), F.col("kind"))
     # Documents without a weak part need no join.
-    weak_in = F.exists("parts", lambda p: p.kind.startswith("weak"))
     parts = (
-        keyed.where(weak_in)
-        .select("_row", F.inline("parts"))
+        scanned.where(_weak())
+        .select(_row().alias("_row"), F.inline(PARTS))
         .select("_row", "kind", "start", "end", role.alias("role"), F.floor(F.col("start") / scope).alias("block"))
     )
     # Partners of a role, by block: the first and the last start there.
@@ -114,14 +118,15 @@ def link_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     # All starts of one block lie in one scope.
     weak = parts.where(F.col("kind").startswith("weak"))
     wanted = F.when(F.col("role") == "secret", "name").otherwise("secret")
-    around = weak.select("*", wanted.alias("wanted"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("near"))
+    blocks = F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)
+    around = weak.select("*", wanted.alias("wanted"), F.explode(blocks).alias("near"))
     other = edges.select("_row", F.col("block").alias("near"), F.col("role").alias("wanted"), "_first", "_last")
     close = (
         (F.col("near") == F.col("block"))
         | ((F.col("near") < F.col("block")) & (F.col("start") - F.col("_last") <= scope))
         | ((F.col("near") > F.col("block")) & (F.col("_first") - F.col("start") <= scope))
     )
-    linked = (
+    return (
         around.join(other, ["_row", "near", "wanted"])
         .where(close)
         .select("_row", "kind", "start", "end")
@@ -129,18 +134,65 @@ def link_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
         .groupBy("_row")
         .agg(F.collect_list(F.struct("kind", "start", "end")).alias("_linked"))
     )
-    strong = F.filter("parts", lambda p: ~p.kind.startswith("weak"))
-    return keyed.join(linked, "_row", "left").select(
-        "doc_id", F.concat(strong, F.coalesce("_linked", F.array().cast(linked.schema["_linked"].dataType))).alias("spans")
-    )
+
+
+def _strong(parts: str = PARTS) -> Column:
+    return F.filter(parts, lambda p: ~p.kind.startswith("weak"))
+
+
+def _with_spans(scanned: DataFrame, scope: int) -> DataFrame:
+    """A written table of scanned rows with the spans that are reported."""
+    linked = F.coalesce("_linked", F.array().cast(SPANS))
+    plain = scanned.where(~_weak()).withColumn("spans", _strong())
+    joined = scanned.where(_weak()).withColumn("_row", _row()).join(link_parts(scanned, scope), "_row", "left")
+    return plain.unionByName(joined.withColumn("spans", F.concat(_strong(), linked)).drop("_row", "_linked")).drop(PARTS)
 
 
 def find_credentials(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Every document with its spans: ``doc_id, spans``."""
-    return link_parts(scan_parts(docs), scope)
+    """``doc_id, spans`` of every document: strong parts, and weak ones with a partner in scope."""
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _with_spans(stage(scan_parts(given).drop("text"), "credential-parts"), scope)
+
+
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each span replaced by its kind in brackets; overlapping spans become one."""
+    out, at = [], 0
+    for start, end, kind in sorted(spans):
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def mask(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """The documents with their credentials masked; other columns stay; a column ``n_chars`` follows a changed text."""
+    found = _with_spans(stage(scan_parts(docs), "credential-parts"), scope).withColumnRenamed("spans", PARTS)
+
+    def replace(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index(PARTS)).to_pylist()
+            new = [
+                masked(t, [(s["start"], s["end"], s["kind"]) for s in found]) if found else t
+                for t, found in zip(texts, spans, strict=True)
+            ]
+            at = batch.schema.get_field_index("text")
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+            if "n_chars" in batch.schema.names:
+                at = batch.schema.get_field_index("n_chars")
+                counts = [
+                    len(t) if found else n
+                    for n, t, found in zip(batch.column(at).to_pylist(), new, spans, strict=True)
+                ]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(counts, batch.schema.field(at).type))
+            yield batch.select([n for n in batch.schema.names if n != PARTS])
+
+    return found.mapInArrow(replace, docs.schema)
 
 
-def _joined(spans, kinds: tuple[str, ...]):
+def _joined(spans: Column, kinds: tuple[str, ...]) -> Column:
     """``kind:start:end`` by start, then kind in the order given."""
     rank = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))])
     ordered = F.sort_array(F.transform(spans, lambda p: F.struct(p.start, F.element_at(rank, p.kind).alias("rank"), p.end, p.kind)))
@@ -198,7 +250,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_credentials(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda p: p.kind.isin(*BASE_KINDS))
 
-    def of(kind: str):
+    def of(kind: str) -> Column:
         return F.size(F.filter("spans", lambda p: p.kind == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(

@@ -145,9 +145,7 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame,
     shared = shared_buckets(signed)
     wanted = shared.select("item").distinct()
     grams = stage(
-        given.select("item", "text").join(wanted, "item", "left_semi").dropDuplicates(["item"]).mapInPandas(
-            _grams, "item long, grams binary"
-        ),
+        texts.join(wanted, "item", "left_semi").mapInPandas(_grams, "item long, grams binary"),
         "grams",
     )
     return given.select("doc_id", "item"), link(shared, grams, least)

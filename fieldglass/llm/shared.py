@@ -31,3 +31,19 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
 def whole_text(column: str = "text") -> Column:
     """The text with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def where_text(docs: DataFrame, decide, column: str = "text") -> DataFrame:
+    """The documents for whose texts ``decide(texts)`` gives true; every column stays as it is.
+
+    ``decide`` runs in the tasks on the texts of one batch.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+            yield batch.filter(pa.array([bool(x) for x in decide(texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,6 +6,7 @@ from fieldglass.llm import (  # noqa: F401  (registration)
     chat,
     credentials,
     decontaminate,
+    media,
     near_dedup,
     packing,
     paragraph_dedup,

@@ -17,7 +17,7 @@ large. Work and output grow with the bucket size times its groups, not its squar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,17 +58,23 @@ def shared_buckets(items: DataFrame) -> DataFrame:
     return stage(members.join(counts, "band"), "buckets")
 
 
-def verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
-    """The pairs ``a, b`` whose grams have a Jaccard similarity of at least ``least``."""
+def overlap_of(least: float) -> Callable[[bytes, bytes], bool]:
+    """Whether two packed gram sets have a Jaccard similarity of at least ``least``."""
+
+    def alike(x: bytes, y: bytes) -> bool:
+        return min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(unpack_grams(x), unpack_grams(y)) >= least
+
+    return alike
+
+
+def verified(pairs: DataFrame, grams: DataFrame, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs ``a, b`` whose grams are alike."""
     first = grams.select(F.col("item").alias("a"), F.col("grams").alias("_ga"))
     second = grams.select(F.col("item").alias("b"), F.col("grams").alias("_gb"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = [
-                min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(unpack_grams(x), unpack_grams(y)) >= least
-                for x, y in zip(batch["_ga"], batch["_gb"], strict=True)
-            ]
+            good = [alike(x, y) for x, y in zip(batch["_ga"], batch["_gb"], strict=True)]
             yield batch.loc[np.array(good, dtype=bool), ["a", "b"]]
 
     return pairs.join(second, "b").join(first, "a").mapInPandas(compare, "a long, b long")
@@ -101,12 +107,12 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link(shared: DataFrame, grams: DataFrame, least: float) -> DataFrame:
+def link(shared: DataFrame, grams: DataFrame, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
     """``item, group`` of all items that a chain of links joins to another."""
     tested = stage(
         shared.where("item <> first").select(*_pair(F.col("item"), F.col("first"))).distinct(), "pairs"
     )
-    edges = stage(verified(tested, grams, least), "links")
+    edges = stage(verified(tested, grams, alike), "links")
     while True:
         groups = connected(edges)
         degree = (
@@ -134,7 +140,7 @@ def link(shared: DataFrame, grams: DataFrame, least: float) -> DataFrame:
             .select(*_pair(F.col("item"), F.col("hub")))
         )
         fresh = stage(across.unionByName(starred).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stage(verified(fresh, grams, least), "links")
+        found = stage(verified(fresh, grams, alike), "links")
         if found.isEmpty():
             return groups
         tested = tested.unionByName(fresh)

@@ -28,9 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.linking import link, pack_grams, shared_buckets
+from fieldglass.llm import words
+from fieldglass.llm.linking import link, overlap_of, pack_grams, shared_buckets
 from fieldglass.llm.register import query, table
 from fieldglass.llm.shared import stage, whole_text
+from fieldglass.llm.words import U64, mix
 
 SIMILARITY = 0.8
 #: 24 bands of 6 registers miss a pair at the threshold once in about 1,500 times.
@@ -42,8 +44,6 @@ DRAWS = (1, 1, 2, 4, 8, 16, 32)
 
 def bags(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text: their hashes, their text numbers and how often each occurs."""
-    from fieldglass.llm import words
-
     hashes, counts = words.shingle_hashes(data)
     owner = np.repeat(np.arange(len(data)), counts)
     order = np.lexsort((hashes, owner))
@@ -56,8 +56,6 @@ def bags(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def registers(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray, n: int, size: int = REGISTERS) -> np.ndarray:
     """The earliest counted point of each register, one row per text."""
-    from fieldglass.llm.words import U64, mix
-
     out = np.full(n * size, np.inf)
     # One process per shingle and level that its weight reaches.
     deepest = np.ceil(np.log2(np.maximum(weights, 1))).astype(int)
@@ -94,8 +92,6 @@ def registers(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray, n: int
 
 def band_keys(found: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key per text and band."""
-    from fieldglass.llm.words import U64, mix
-
     bits = np.ascontiguousarray(found).view(U64).reshape(len(found), bands, rows)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=U64), (len(found), bands)).copy()
     for i in range(rows):
@@ -104,8 +100,6 @@ def band_keys(found: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from fieldglass.llm import words
-
     for batch in batches:
         bands: list = []
         for _, data in words.chunks(words.lowered(batch["text"])):
@@ -117,8 +111,6 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from fieldglass.llm import words
-
     for batch in batches:
         grams: list[bytes] = []
         for _, data in words.chunks(words.lowered(batch["text"])):
@@ -148,7 +140,7 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame,
         texts.join(wanted, "item", "left_semi").mapInPandas(_grams, "item long, grams binary"),
         "grams",
     )
-    return given.select("doc_id", "item"), link(shared, grams, least)
+    return given.select("doc_id", "item"), link(shared, grams, overlap_of(least))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -25,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm.linking import link, pack_grams, shared_buckets
+from fieldglass.llm import words
+from fieldglass.llm.linking import link, overlap_of, pack_grams, shared_buckets
 from fieldglass.llm.register import query, table
 from fieldglass.llm.shared import stage
+from fieldglass.llm.words import U64, mix
 
 SIMILARITY = 0.8
 LEAST_WORDS = 40
@@ -69,8 +71,6 @@ def judged(texts) -> Iterator[tuple[list[int], list[int], list[int], list[str]]]
 
 def content_keys(words_in: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A hash of the word sequence of each line."""
-    from fieldglass.llm.words import U64, mix
-
     at = np.arange(len(words_in)) - np.repeat(np.cumsum(counts) - counts, counts)
     marked = mix(words_in + mix(at.astype(U64) + U64(1)))
     sums = np.zeros(len(words_in) + 1, dtype=U64)
@@ -100,8 +100,6 @@ def signatures(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
-    from fieldglass.llm.words import U64, mix
-
     rows = found.reshape(len(found), BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), (len(found), BANDS)).copy()
     for i in range(ROWS):
@@ -111,8 +109,6 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The judged paragraphs with their place, content key, bands and shingles."""
-    from fieldglass.llm import words
-
     for batch in batches:
         ids = batch["doc_id"].to_numpy()
         for owner, starts, ends, lines in judged(batch["text"].tolist()):
@@ -152,7 +148,7 @@ def repeated_passages(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Equal paragraphs meet before the join, so a very common one is one row there.
     wanted = shared.select("item").distinct()
     grams = stage(read.select("item", "grams").dropDuplicates(["item"]).join(wanted, "item", "left_semi"), "grams")
-    groups = link(shared, grams, least)
+    groups = link(shared, grams, overlap_of(least))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "start", "_metadata.file_name", "_metadata.row_index")
     placed = stage(
         read.select("doc_id", "start", "end", "n_words", "item", place.alias("_place"))

@@ -76,7 +76,8 @@ def parts_of(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-PARTS = "__credential_parts"
+#: Columns that the operator adds to documents while it works.
+PARTS, ROW, LINKED = "__credential_parts", "__credential_row", "__credential_linked"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -141,17 +142,19 @@ def _strong(parts: str = PARTS) -> Column:
 
 
 def _with_spans(scanned: DataFrame, scope: int) -> DataFrame:
-    """A written table of scanned rows with the spans that are reported."""
-    linked = F.coalesce("_linked", F.array().cast(SPANS))
-    plain = scanned.where(~_weak()).withColumn("spans", _strong())
-    joined = scanned.where(_weak()).withColumn("_row", _row()).join(link_parts(scanned, scope), "_row", "left")
-    return plain.unionByName(joined.withColumn("spans", F.concat(_strong(), linked)).drop("_row", "_linked")).drop(PARTS)
+    """A written table of scanned rows, its parts cut down to the spans that are reported."""
+    linked = F.coalesce(LINKED, F.array().cast(SPANS))
+    plain = scanned.where(~_weak()).withColumn(PARTS, _strong())
+    found = link_parts(scanned, scope).select(F.col("_row").alias(ROW), F.col("_linked").alias(LINKED))
+    joined = scanned.where(_weak()).withColumn(ROW, _row()).join(found, ROW, "left")
+    return plain.unionByName(joined.withColumn(PARTS, F.concat(_strong(), linked)).drop(ROW, LINKED))
 
 
 def find_credentials(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``doc_id, spans`` of every document: strong parts, and weak ones with a partner in scope."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(stage(scan_parts(given).drop("text"), "credential-parts"), scope)
+    found = _with_spans(stage(scan_parts(given).drop("text"), "credential-parts"), scope)
+    return found.withColumnRenamed(PARTS, "spans")
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -166,7 +169,7 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def mask(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The documents with their credentials masked; other columns stay; a column ``n_chars`` follows a changed text."""
-    found = _with_spans(stage(scan_parts(docs), "credential-parts"), scope).withColumnRenamed("spans", PARTS)
+    found = _with_spans(stage(scan_parts(docs), "credential-parts"), scope)
 
     def replace(batches):
         import pyarrow as pa

@@ -38,6 +38,8 @@ SIMILARITY = 0.8
 #: 24 bands of 6 registers miss a pair at the threshold once in about 1,500 times.
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
+#: A column that the choice of kept rows adds while it works.
+MARK = "__near_mark"
 #: Points drawn at once per process, round by round.
 DRAWS = (1, 1, 2, 4, 8, 16, 32)
 
@@ -164,14 +166,14 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     rows, groups = near_groups(docs, least)
     mark = F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in docs.columns])
-    marked = docs.withColumn("_mark", mark)
+    marked = docs.withColumn(MARK, mark)
     own = marked.select(
-        F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("item"), "_mark"
+        F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("item"), MARK
     ).join(groups, "item", "left")
     kept = own.groupBy(F.coalesce("group", "item").alias("group")).agg(
-        F.min(F.struct(F.col("_id").isNull(), "_id", "_mark"))["_mark"].alias("_mark")
+        F.min(F.struct(F.col("_id").isNull(), "_id", MARK))[MARK].alias(MARK)
     )
-    return marked.join(kept.select("_mark"), "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
+    return marked.join(kept.select(MARK), MARK, "left_semi").dropDuplicates([MARK]).drop(MARK)
 
 
 @query("op10_near_dedup")

@@ -39,10 +39,10 @@ BANDS, ROWS = 10, 3
 HASHES = BANDS * ROWS
 
 
-def paragraphs(text: str | None) -> list[tuple[int, int]]:
+def paragraphs(text: str) -> list[tuple[int, int]]:
     """Start and end of each line of a text, in characters."""
     out, at = [], 0
-    for line in (text or "").split("\n"):
+    for line in text.split("\n"):
         out.append((at, at + len(line)))
         at += len(line) + 1
     return out
@@ -52,6 +52,7 @@ def judged(texts) -> Iterator[tuple[list[int], list[int], list[int], list[str]]]
     """Lines with enough words, in groups of bounded size: text numbers, starts, ends, lower-cased lines."""
     owner, starts, ends, lines, size = [], [], [], [], 0
     for i, text in enumerate(texts):
+        text = text or ""
         for a, b in paragraphs(text):
             line = text[a:b]
             # A line with enough words has at least one character and one gap for each.

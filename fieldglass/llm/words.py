@@ -90,7 +90,7 @@ def shingles_of(words: np.ndarray, counts: np.ndarray, width: int = WIDTH) -> tu
         return np.empty(0, dtype=U64), np.zeros(len(counts), dtype=np.int64)
     total = np.zeros(n, dtype=U64)
     left = np.repeat(np.cumsum(counts), counts) - np.arange(n)  # words from here to the end of the text
-    for k in range(width):
+    for k in range(min(width, n)):
         part = np.zeros(n, dtype=U64)
         part[: n - k] = words[k:] if k else words
         # Past the end of a short text nothing is added.

@@ -20,9 +20,9 @@ WHITESPACE = (
 
 # Number literals accepted as numeric text.
 DECIMAL_LITERAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-HEX_LITERAL = r"^0[xX][0-9a-fA-F]{1,15}$"
-OCTAL_LITERAL = r"^0[oO][0-7]{1,20}$"
-BINARY_LITERAL = r"^0[bB][01]{1,62}$"
+HEX_LITERAL = r"^0[xX][0-9a-fA-F]+$"
+OCTAL_LITERAL = r"^0[oO][0-7]+$"
+BINARY_LITERAL = r"^0[bB][01]+$"
 
 # A date-like text holds one of these characters.
 DATE_SHAPE = r"[-/:T]"
@@ -59,7 +59,12 @@ def finite_or_null(number: Column) -> Column:
 def number_or_null(text: Column) -> Column:
     """The number a text spells, or null. Rejects ``1d``, ``NaN``, ``Infinity``."""
     t = trimmed(text)
-    radix = lambda base: F.conv(F.substring(t, 3, 64), base, 10).cast("double")
+
+    def radix(base: int) -> Column:
+        digits = F.split(F.substring(t, F.lit(3), F.length(t)), "")
+        value = lambda d: F.conv(d, 16, 10).cast("double")
+        return finite_or_null(F.aggregate(digits, F.lit(0.0), lambda total, d: total * base + value(d)))
+
     # Numbers start with a character from "+" to "9"; most texts end here.
     return F.when(
         (t >= "+") & (t < ":"),
@@ -116,6 +121,9 @@ def cell_text(cell: Column, dtype: T.DataType, null_text: str = "null") -> Colum
     elif isinstance(dtype, T.BinaryType):
         text = hex_preview(cell)
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        # An instant is shown in UTC, whatever the session's zone is.
+        if isinstance(dtype, T.TimestampType):
+            cell = F.to_utc_timestamp(cell, F.current_timezone())
         text = F.date_format(cell, "\"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\"")
     elif isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
         text = F.to_json(cell, {"ignoreNullFields": "false"})
@@ -129,7 +137,7 @@ def cell_text(cell: Column, dtype: T.DataType, null_text: str = "null") -> Colum
 def natural_key(text: Column) -> Column:
     """Sort text so that ``A2`` comes before ``a10`` and ``á`` sits with ``a``.
 
-    A run of digits is written as its length (four digits) followed by its
+    A run of digits is written as its length (ten digits) followed by its
     significant digits, so that plain text order is numeric order whatever the
     run's length.
     """
@@ -138,7 +146,7 @@ def natural_key(text: Column) -> Column:
     def encode(run: Column) -> Column:
         digits = F.ltrim(run, F.lit("0"))
         return F.when(
-            run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
+            run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
         ).otherwise(run)
 
     spelled = F.array_join(F.transform(runs, encode), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.operators.ordering import HOT_GROUP_ROWS, previous_in_group
+from fieldglass.operators.ordering import BUCKET_ROWS, previous_in_group
 
 
 def unresolved_refs(
@@ -39,10 +39,10 @@ def unresolved_names(
 
 
 def duplicate_numbers(
-    df: DataFrame, parent: str, number: str, name: str, order: list[str], hot_rows: int = HOT_GROUP_ROWS
+    df: DataFrame, parent: str, number: str, name: str, order: list[str], bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Each repeat of a number within its parent beside the holder before it."""
-    paired = previous_in_group(df, [parent, number], order, [name], hot_rows)
+    paired = previous_in_group(df, [parent, number], order, [name], bucket_rows)
     return paired.where(F.col(f"prev_{name}").isNotNull()).select(
         parent, number, F.col(f"prev_{name}").alias("holder"), F.col(name).alias("repeat")
     )

@@ -14,14 +14,10 @@ from fieldglass.functions.cells import number_text
 from fieldglass.functions.formatting import escape_xml, quote_csv
 from fieldglass.functions.json_text import json_kind, kind_of_schema, members, nesting_depth, scalar_text, strict_json
 
-# Stand-ins for escaped quotes and backslashes while whitespace is removed:
-# two code points that Unicode keeps out of interchanged text.
-_QUOTE, _SLASH = "\ufdd0", "\ufdd1"
-
 
 def max_depth(df: DataFrame, text: Column) -> int:
-    """The deepest nesting in the corpus: one scan, one number."""
-    return df.agg(F.max(nesting_depth(text)).alias("d")).first()["d"] or 0
+    """The deepest nesting among the valid documents: one scan, one number."""
+    return df.agg(F.max(F.when(strict_json(text).isNotNull(), nesting_depth(text))).alias("d")).first()["d"] or 0
 
 
 def _levels(df: DataFrame, depth: int) -> tuple[DataFrame, Column]:
@@ -133,10 +129,8 @@ def canonical_json(text: Column) -> Column:
 
 def minified_json(text: Column) -> Column:
     """The document without whitespace between tokens; order and spelling kept."""
-    hidden = F.replace(F.replace(text, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
-    bare = F.regexp_replace(hidden, r'("[^"]*")|[ \t\r\n]+', "$1")
-    shown = F.replace(F.replace(bare, F.lit(_QUOTE), F.lit('\\"')), F.lit(_SLASH), F.lit("\\\\"))
-    return F.when(strict_json(text).isNotNull(), shown)
+    bare = F.regexp_replace(text, r'(?s)("(?:[^"\\]|\\.)*+")|[ \t\r\n]+', "$1")
+    return F.when(strict_json(text).isNotNull(), bare)
 
 
 def _assembled(df: DataFrame, keys: list[str], text: Column, depth: int | None, pieces, glue: str, name: str) -> DataFrame:

@@ -26,8 +26,8 @@ PAGE_SIZE = 200
 TOP_K_ROWS = 100_000
 # Rows per load step of columnar and line-delimited files.
 COLUMNAR_BATCH, LINES_BATCH = 10_000, 5_000
-# A group with more rows than this is ordered across several tasks.
-HOT_GROUP_ROWS = 1_000_000
+# Rows of one bucket of a grouped order.
+BUCKET_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -49,10 +49,17 @@ def typed_sort_keys(
 ) -> list[SortKey]:
     """Keys that sort a column as its kind, blanks last in both directions.
 
+    ``direction`` is ``asc``, ``desc`` or ``none``; ``none`` leaves the order of
+    the tie-breakers.
+
     Numbers and dates compare by value, text by natural case-insensitive order.
     ``tie_breakers`` fix the order of equal cells; they also split a heavily
     repeated value over several ranges when the rows are distributed.
     """
+    if direction not in ("asc", "desc", "none"):
+        raise ValueError(f"unknown sort direction {direction!r}")
+    if direction == "none":
+        return [SortKey(F.col(f"`{c}`")) for c in tie_breakers]
     kind = kind or column_types(df, [column]).first()["kind"]
     dtype = df.schema[column].dataType
     cell = F.col(f"`{column}`")
@@ -133,6 +140,9 @@ def page_slice(
     global position.
     """
     total = df.count() if total is None else total
+    # Rows with equal keys are told apart by their content, so every way cuts the same pages.
+    hashable = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keys = [*keys, SortKey(F.xxhash64(*hashable))] if hashable else keys
     start = (clamp_page(page, total, size) - 1) * size
     keyed, plain = _keyed(df, keys)
     kept = [F.col(f"`{c}`") for c in df.columns]
@@ -181,82 +191,62 @@ def load_batches(positioned: DataFrame, size: int = COLUMNAR_BATCH, pos: str = "
     )
 
 
+def _in_buckets(df: DataFrame, group: list[str], order: list[str], bucket_rows: int) -> DataFrame:
+    """Place all rows by group and order and cut the places into equal buckets.
 
-def split_hot_groups(df: DataFrame, group: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary groups, rows of hot groups or None).
-
-    Which path a group takes is decided from the group keys of about a
-    thousand rows per ``hot_rows``, so that only those keys are shuffled. The
-    choice affects the speed alone: every row goes down one of the two paths,
-    and both give the same result. There are at most ``2 * rows / hot_rows``
-    hot groups, which bounds what is broadcast.
+    A group of any size is spread over as many buckets as it fills.
     """
-    share = min(1.0, 1000 / hot_rows)
-    seen = df.select(*group) if share == 1.0 else df.select(*group).sample(share, seed=17)
-    counts = seen.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows * share / 2)
-    hot = counts.select(*group).collect()
-    if not hot:
-        return df, None
-    keys = df.sparkSession.createDataFrame(hot, df.select(*group).schema)
-    same = [df[g].eqNullSafe(keys[g]) for g in group]
-    return (
-        df.join(F.broadcast(keys), same, "left_anti"),
-        df.join(F.broadcast(keys), same, "left_semi"),
-    )
+    placed = with_positions(df, [SortKey(F.col(c)) for c in [*group, *order]], "_pos")
+    return placed.withColumn("_bucket", F.floor(F.col("_pos") / bucket_rows))
+
+
+def _same_group(group: list[str], other) -> Column:
+    here = F.lit(True)
+    for g in group:
+        here = here & other(g).eqNullSafe(F.col(g))
+    return here
 
 
 def previous_in_group(
-    df: DataFrame, group: list[str], order: list[str], carried: list[str], hot_rows: int = HOT_GROUP_ROWS
+    df: DataFrame, group: list[str], order: list[str], carried: list[str], bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Add ``prev_<column>``: the carried cells of the row before in its group.
 
-    Ordinary groups use a window. Rows of hot groups are placed by global
-    position and cut into equal buckets; the last row of a bucket is repeated
-    at the head of the next one, so no bucket needs its neighbour.
+    The last row of a bucket is repeated at the head of the next one, so no
+    bucket needs its neighbour. Null group keys are a group like any other.
     """
-    cold, hot = split_hot_groups(df, group, hot_rows)
-    w = Window.partitionBy(*group).orderBy(*order)
-    out = cold.select(*df.columns, *[F.lag(c).over(w).alias(f"prev_{c}") for c in carried])
-    if hot is None:
-        return out
-    placed = with_positions(hot, [SortKey(F.col(c)) for c in [*group, *order]], "_pos")
-    bucket = F.floor(F.col("_pos") / hot_rows)
-    last = (F.col("_pos") + 1) % hot_rows == 0
+    placed = _in_buckets(df, group, order, bucket_rows)
+    last = (F.col("_pos") + 1) % bucket_rows == 0
     spread = placed.withColumn(
         "_copy", F.explode(F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    ).withColumn("_bucket", bucket + F.col("_copy"))
-    wb = Window.partitionBy("_bucket").orderBy("_pos")
-    here = F.lit(True)
-    for g in group:
-        here = here & F.lag(g).over(wb).eqNullSafe(F.col(g))
-    here = here & F.lag("_pos").over(wb).isNotNull()
-    lagged = spread.select(
-        *df.columns, "_copy", *[F.when(here, F.lag(c).over(wb)).alias(f"prev_{c}") for c in carried]
-    )
-    return out.unionByName(lagged.where("_copy = 0").drop("_copy"))
+    ).withColumn("_bucket", F.col("_bucket") + F.col("_copy"))
+    w = Window.partitionBy("_bucket").orderBy("_pos")
+    here = _same_group(group, lambda g: F.lag(g).over(w)) & F.lag("_pos").over(w).isNotNull()
+    lagged = spread.select(*df.columns, "_copy", *[F.when(here, F.lag(c).over(w)).alias(f"prev_{c}") for c in carried])
+    return lagged.where("_copy = 0").drop("_copy")
 
 
 def running_sum(
-    df: DataFrame, group: list[str], order: list[str], amount: str, name: str, hot_rows: int = HOT_GROUP_ROWS
+    df: DataFrame, group: list[str], order: list[str], amount: str, name: str, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Add the running total of ``amount`` within each group, this row included.
 
-    Hot groups are summed in buckets of positions; the totals of the buckets
-    before, a few rows per group, are added back.
+    Each bucket sums its own rows. A group that goes on from an earlier bucket is
+    the first group of its bucket, so at most one total per bucket is added back.
+    Null group keys are a group like any other.
     """
-    cold, hot = split_hot_groups(df, group, hot_rows)
+    placed = _in_buckets(df, group, order, bucket_rows)
     upto = (Window.unboundedPreceding, 0)
-    out = cold.withColumn(name, F.sum(amount).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(*upto)))
-    if hot is None:
-        return out
-    placed = with_positions(hot, [SortKey(F.col(c)) for c in [*group, *order]], "_pos").withColumn(
-        "_bucket", F.floor(F.col("_pos") / hot_rows)
+    sums = placed.groupBy(*group, "_bucket").agg(F.sum(amount).alias("_sum"))
+    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        sums.select("_bucket", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.sum("_sum").over(earlier).alias("_before"))
+        .where("_before is not null")
+        .withColumnRenamed("_bucket", "_in")
+    )
+    local = placed.withColumn(
+        "_local", F.sum(amount).over(Window.partitionBy(*group, "_bucket").orderBy("_pos").rowsBetween(*upto))
     )
-    cut = [*group, "_bucket"]
-    sums = placed.groupBy(*cut).agg(F.sum(amount).alias("_sum"))
-    before = sums.withColumn(
-        "_before", F.sum("_sum").over(Window.partitionBy(*group).orderBy("_bucket").rowsBetween(*upto)) - F.col("_sum")
-    ).drop("_sum")
-    local = placed.withColumn("_local", F.sum(amount).over(Window.partitionBy(*cut).orderBy("_pos").rowsBetween(*upto)))
-    summed = local.join(F.broadcast(before), cut).withColumn(name, F.col("_before") + F.col("_local"))
-    return out.unionByName(summed.select(*df.columns, name))
+    same = _same_group(group, lambda g: F.col(f"_g{group.index(g)}")) & (F.col("_in") == F.col("_bucket"))
+    total = F.coalesce("_before", F.lit(0)) + F.col("_local")
+    return local.join(before, same, "left").select(*df.columns, F.coalesce(total, F.col("_before")).alias(name))

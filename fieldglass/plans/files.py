@@ -130,7 +130,7 @@ def corpus_report(spark, sf):
     return report.select("kind", "files", "bytes", F.round("byte_share", 6).alias("byte_share"))
 
 
-_EXTENSIONS = [(e, k) for k, es in classify.EXTENSION_KINDS.items() for e in es.split()]
+_EXTENSIONS = [(e, k) for k, es in classify.EXTENSION_KINDS.items() for e in es]
 
 
 @query(

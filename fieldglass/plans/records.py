@@ -355,11 +355,11 @@ def notebook_cells(spark, sf):
 
 def can_docs(spark, sf):
     line = F.expr(
-        "case event_id % 4 when 0 then concat(event_id, '.5 ', user_id % 3, ' ', lower(hex(event_id)), ' Rx d 2 AA BB') "
-        "when 1 then concat(event_id, '.25 CANFD ', user_id % 3, ' Tx ', lower(hex(event_id)), 'x 0 1 5 0 140000 73 200050') "
+        "case event_id % 4 when 0 then concat(event_id, '.5 ', user_id % 3, ' ', lower(hex(event_id)), ' Rx d 2 7E 01') "
+        "when 1 then concat(event_id, '.25 CANFD ', user_id % 3, ' Tx ', lower(hex(event_id)), 'x 0 1 5 0 0F 3C 99') "
         "when 2 then concat('comment ', event_id) else concat(event_id, '.0 other text') end"
     )
-    return _event_docs(spark, sf, line, "date today\n", "\n", "\n")
+    return _event_docs(spark, sf, line, "log of a bench run\n", "\n", "\n")
 
 
 def _can_lines(spark, sf):
@@ -372,7 +372,7 @@ def _can_lines(spark, sf):
     "concat(event_id, CASE WHEN event_id % 4 = 0 THEN '.5' ELSE '.25' END) AS time, CASE WHEN event_id % 4 = 0 THEN 'CAN' ELSE 'CANFD' END AS type, "
     "CAST(user_id % 3 AS VARCHAR) AS channel, CASE WHEN event_id % 4 = 0 THEN 'Rx' ELSE 'Tx' END AS dir, "
     "concat(lower(to_hex(event_id)), CASE WHEN event_id % 4 = 0 THEN '' ELSE 'x' END) AS can_id, "
-    "CASE WHEN event_id % 4 = 0 THEN '2' ELSE '0' END AS dlc, CASE WHEN event_id % 4 = 0 THEN 'AA BB' ELSE '140000 73 200050' END AS data, "
+    "CASE WHEN event_id % 4 = 0 THEN '2' ELSE '0' END AS dlc, CASE WHEN event_id % 4 = 0 THEN '7E 01' ELSE '0F 3C 99' END AS data, "
     "row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id) + 1 AS line, event_id FROM events) c WHERE event_id % 4 < 2",
 )
 def can_events(spark, sf):
@@ -412,12 +412,12 @@ def can_search(spark, sf):
 
 def dbc_docs(spark, sf):
     line = F.expr(
-        "concat('BO_ ', p_partkey, ' Frame', p_partkey, ': ', p_size % 9, ' ECM\\n SG_ Speed : 0|16@1+ (0.125,0) [0|8031.875] \"rpm\" BCM,Tester\\n', "
-        "' SG_ State m1 : 8|8@0- (1,-', p_size, ') [0|3] \"\" ', if(p_partkey % 2 = 0, 'Tester', 'Gate'), "
+        "concat('BO_ ', p_partkey, ' Frame', p_partkey, ': ', p_size % 9, ' Pump\\n SG_ Flow : 0|16@1+ (0.75,0) [0|912.25] \"lpm\" Valve,Probe\\n', "
+        "' SG_ State m1 : 8|8@0- (1,-', p_size, ') [0|3] \"\" ', if(p_partkey % 2 = 0, 'Probe', 'Relay'), "
         "'\\nCM_ BO_ ', p_partkey, ' \"frame ', p_name, '\";\\nCM_ SG_ ', p_partkey, ' State \"a \\\\\"b\\\\\"\";\\n', "
         "'VAL_ ', p_partkey, if(p_partkey % 7 = 0, ' Lost', ' State'), ' 0 \"Off\" 1 \"On\";')"
     )
-    return _part_docs(spark, sf, line, 'VERSION "Demo"\nBU_: ECM BCM Tester Gate\n', "\n", "\n")
+    return _part_docs(spark, sf, line, 'VERSION "7.2"\nBU_: Pump Valve Probe Relay\n', "\n", "\n")
 
 
 def _dbc(spark, sf):
@@ -430,7 +430,7 @@ _PLACE = "row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) *
 @query(
     "dbc_messages",
     "SELECT p_partkey // 20 AS doc_id, p_partkey AS message_id, concat('0x', upper(to_hex(p_partkey))) AS id_hex, "
-    "concat('Frame', p_partkey) AS name, CAST(p_size % 9 AS BIGINT) AS dlc, 'ECM' AS transmitter, concat('frame ', p_name) AS comment, "
+    "concat('Frame', p_partkey) AS name, CAST(p_size % 9 AS BIGINT) AS dlc, 'Pump' AS transmitter, concat('frame ', p_name) AS comment, "
     f"{_PLACE} AS line FROM part",
 )
 def dbc_messages(spark, sf):
@@ -442,10 +442,10 @@ def dbc_messages(spark, sf):
     "SELECT p_partkey // 20 AS doc_id, p_partkey AS message_id, signal, multiplexer, CAST(start_bit AS BIGINT) AS start_bit, "
     "CAST(length AS BIGINT) AS length, byte_order, value_type, CAST(factor AS DOUBLE) AS factor, CAST(off AS DOUBLE) AS \"offset\", "
     "CAST(0 AS DOUBLE) AS minimum, CAST(maximum AS DOUBLE) AS maximum, unit, receivers, comment, place + step AS line FROM ("
-    f"SELECT *, {_PLACE} AS place FROM part) p, LATERAL (SELECT 'Speed' AS signal, NULL AS multiplexer, 0 AS start_bit, 16 AS length, "
-    "'little_endian' AS byte_order, 'unsigned' AS value_type, 0.125 AS factor, 0 AS off, 8031.875 AS maximum, 'rpm' AS unit, "
-    "'BCM,Tester' AS receivers, NULL AS comment, 1 AS step UNION ALL SELECT 'State', 'm1', 8, 8, 'big_endian', 'signed', 1, -p_size, 3, '', "
-    "CASE WHEN p_partkey % 2 = 0 THEN 'Tester' ELSE 'Gate' END, 'a \"b\"', 2) s",
+    f"SELECT *, {_PLACE} AS place FROM part) p, LATERAL (SELECT 'Flow' AS signal, NULL AS multiplexer, 0 AS start_bit, 16 AS length, "
+    "'little_endian' AS byte_order, 'unsigned' AS value_type, 0.75 AS factor, 0 AS off, 912.25 AS maximum, 'lpm' AS unit, "
+    "'Valve,Probe' AS receivers, NULL AS comment, 1 AS step UNION ALL SELECT 'State', 'm1', 8, 8, 'big_endian', 'signed', 1, -p_size, 3, '', "
+    "CASE WHEN p_partkey % 2 = 0 THEN 'Probe' ELSE 'Relay' END, 'a \"b\"', 2) s",
 )
 def dbc_signals(spark, sf):
     return engineering.dbc_signals(_dbc(spark, sf), KEYS).withColumn("receivers", F.array_join("receivers", ","))
@@ -482,7 +482,7 @@ def dbc_warnings(spark, sf):
 def dbc_filter(spark, sf):
     lines = _dbc(spark, sf)
     messages, signals = engineering.dbc_messages(lines, KEYS), engineering.dbc_signals(lines, KEYS)
-    return engineering.dbc_filter(messages, signals, KEYS, "Gate", " RING ").select("doc_id", "message_id")
+    return engineering.dbc_filter(messages, signals, KEYS, "Relay", " RING ").select("doc_id", "message_id")
 
 
 @query(
@@ -521,7 +521,7 @@ def step_entities(spark, sf):
 
 def _step_docs(spark, sf):
     line = F.expr("concat('#', p_partkey, ' = ', lower(replace(p_type, ' ', '_')), '(1,2);')")
-    head = "HEADER;\nFILE_NAME('demo','2024',('me'),('org'),'pre','sys','auth');\nFILE_SCHEMA(('AP214'));\nENDSEC;\n"
+    head = "HEADER;\nFILE_NAME('bracket',$,('a','b'),('works'),'v3','cad','none');\nFILE_SCHEMA(('CONFIG_DESIGN'));\nENDSEC;\n"
     return _part_docs(spark, sf, line, head, "\nENDSEC;", "\n")
 
 
@@ -533,7 +533,7 @@ def step_top_kinds(spark, sf):
     return profile.top_kinds(engineering.step_entities(_step_docs(spark, sf), KEYS, "body"), F.col("kind"))
 
 
-@query("step_header", "SELECT DISTINCT p_partkey // 20 AS doc_id, 'demo' AS name, '2024' AS timestamp, 'AP214' AS schema FROM part")
+@query("step_header", "SELECT DISTINCT p_partkey // 20 AS doc_id, 'bracket' AS name, NULL::VARCHAR AS timestamp, 'CONFIG_DESIGN' AS schema FROM part")
 def step_header(spark, sf):
     return engineering.step_header(_step_docs(spark, sf), KEYS, F.col("body"))
 
@@ -590,7 +590,7 @@ def reqif_header(spark, sf):
 
 # --------------------------------------------------------------------- captures
 
-_ETHERNET = "112233445566AABBCCDDEEFF"
+_ETHERNET = "02A4C6001F3D02B7E9520A68"
 
 
 def _packet_hex():
@@ -633,7 +633,7 @@ _PACKETS = (
     "event_id AS ts_s, user_id AS ts_fraction, CASE WHEN event_id // 100 % 2 = 1 THEN 'ns' ELSE 'us' END AS unit, "
     "CASE event_id % 3 WHEN 0 THEN 67 + length(event_type) + 1 WHEN 1 THEN 54 ELSE 46 END AS cap_len, "
     "['DNS', 'IPv4/TCP', 'ARP'][event_id % 3 + 1] AS protocol, "
-    "concat('10.0.', user_id % 65536 // 256, '.', user_id % 256, CASE WHEN event_id % 3 = 2 THEN ' (aa:bb:cc:dd:ee:ff)' ELSE "
+    "concat('10.0.', user_id % 65536 // 256, '.', user_id % 256, CASE WHEN event_id % 3 = 2 THEN ' (02:b7:e9:52:0a:68)' ELSE "
     "concat(':', 40000 + event_id % 1000) END) AS source, "
     "['8.8.8.8:53', '8.8.8.8:10000', '8.8.8.8 (00:00:00:00:00:00)'][event_id % 3 + 1] AS destination, "
     "CASE event_id % 3 WHEN 0 THEN concat('Query id=0x', lpad(lower(to_hex(event_id % 65536)), 4, '0'), "

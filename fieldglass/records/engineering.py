@@ -13,77 +13,130 @@ from fieldglass.functions.cells import trimmed
 from fieldglass.functions.formatting import unescape_xml
 from fieldglass.sources.lines import document_lines
 
-TIMED = r"^[0-9]+(?:\.[0-9]+)?\s+"
-CLASSIC = r"^([0-9]+(?:\.[0-9]+)?)\s+([0-9]+)\s+([0-9A-Fa-f]+x?)\s+(Rx|Tx)\s+d\s+([0-9]+)\s*(.*)$"
+def _word(i: int | Column) -> Column:
+    return F.get(F.col("_w"), F.lit(i) if isinstance(i, int) else i)
+
+
+def _digits(word: Column) -> Column:
+    return F.coalesce(word.rlike("^[0-9]+$"), F.lit(False))
+
+
+def _frame_id(word: Column) -> Column:
+    """A hexadecimal identifier; extended ones end with ``x``."""
+    return F.coalesce(word.rlike("^[0-9A-Fa-f]+x?$"), F.lit(False))
 
 
 def can_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Non-blank lines of a CAN text log with their kind: header, event."""
+    """Non-blank lines of a CAN text log with their kind: header, event.
+
+    An event starts with its time in seconds, followed by something.
+    """
     lines = document_lines(df, keys, text).withColumn("raw", trimmed(F.col("raw"))).where("raw <> ''")
-    return lines.withColumn("kind", F.when(F.col("raw").rlike(TIMED), "event").otherwise("header"))
+    words = F.split("raw", r"\s+")
+    timed = F.get(words, F.lit(0)).rlike("^[0-9]+([.][0-9]+)?$") & (F.size(words) > 1)
+    return lines.withColumn("kind", F.when(timed, "event").otherwise("header"))
 
 
 def can_events(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Classic and FD frames; timed lines of any other form are left out.
 
-    In an FD line the identifier is the first hexadecimal word behind the
+    A classic frame is: time, channel, identifier, direction, ``d``, length code,
+    data. In an FD line the identifier is the first hexadecimal word behind the
     direction; its length code follows, and the data starts five words on.
     """
-    words = F.split("raw", r"\s+")
-    w = lambda i: F.get(F.col("_w"), F.lit(i) if isinstance(i, int) else i)
-    spot = F.array_position(
-        F.transform(F.slice("_w", 4, 1000), lambda x: x.rlike(r"^[0-9A-Fa-f]+x?$")), True
-    ).cast("int")
+    behind = F.slice("_w", F.lit(4), F.size("_w"))
+    spot = F.array_position(F.transform(behind, _frame_id), True).cast("int")
     timed = (
         lines.where("kind = 'event'")
-        .withColumn("_w", words)
-        .withColumn("_fd", w(1) == "CANFD")
+        .withColumn("_w", F.split("raw", r"\s+"))
+        .withColumn("_fd", _word(1) == "CANFD")
         .withColumn("_id", F.when(spot > 0, spot + 2))
     )
-    rest = F.array_join(F.slice("_w", F.col("_id") + 6, F.greatest(F.size("_w") - F.col("_id") - 5, F.lit(0))), " ")
-    classic = lambda i: F.regexp_extract("raw", CLASSIC, i)
-    fd = lambda column, group, empty="-": F.when(
-        F.col("_fd"), F.coalesce(column, F.lit(empty))
-    ).otherwise(classic(group))
-    kept = timed.where(F.col("_fd") | F.col("raw").rlike(CLASSIC))
-    return kept.select(
+    classic = (
+        _digits(_word(1))
+        & _frame_id(_word(2))
+        & F.coalesce(_word(3).isin("Rx", "Tx"), F.lit(False))
+        & F.coalesce(_word(4) == "d", F.lit(False))
+        & _digits(_word(5))
+    )
+    rest = lambda start: F.array_join(
+        F.slice("_w", start, F.greatest(F.size("_w") - start + 1, F.lit(0))), " "
+    )
+    fd = F.col("_fd")
+    return timed.where(fd | classic).select(
         *keys,
-        w(0).alias("time"),
-        F.when(F.col("_fd"), "CANFD").otherwise("CAN").alias("type"),
-        fd(w(2), 2).alias("channel"),
-        fd(w(3), 4).alias("dir"),
-        fd(w(F.col("_id")), 3).alias("can_id"),
-        fd(w(F.col("_id") + 1), 5).alias("dlc"),
-        F.when(F.col("_fd"), F.coalesce(rest, F.lit(""))).otherwise(trimmed(classic(6))).alias("data"),
+        _word(0).alias("time"),
+        F.when(fd, "CANFD").otherwise("CAN").alias("type"),
+        F.when(fd, F.coalesce(_word(2), F.lit("-"))).otherwise(_word(1)).alias("channel"),
+        F.when(fd, F.coalesce(_word(3), F.lit("-"))).otherwise(_word(3)).alias("dir"),
+        F.when(fd, F.coalesce(_word(F.col("_id")), F.lit("-"))).otherwise(_word(2)).alias("can_id"),
+        F.when(fd, F.coalesce(_word(F.col("_id") + 1), F.lit("-"))).otherwise(_word(5)).alias("dlc"),
+        F.when(fd, F.coalesce(rest(F.col("_id") + 6), F.lit(""))).otherwise(rest(F.lit(7))).alias("data"),
         F.col("line_no").alias("line"),
     )
 
 
 # ------------------------------------------------------- network databases
 
-NAME = r"[A-Za-z_][\w.]*"
-NUM = r"[-+.0-9eE]+"
-TEXT = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
-MESSAGE = rf"^BO_\s+([0-9]+)\s+({NAME})\s*:\s*([0-9]+)\s+(\S+)"
-SIGNAL = (
-    rf"^SG_\s+({NAME})\s*(M|m[0-9]+)?\s*:\s*([0-9]+)\|([0-9]+)@([01])([+-])\s+\(({NUM}),({NUM})\)\s+"
-    rf'\[({NUM})\|({NUM})\]\s+"([^"]*)"\s*(.*)$'
-)
-MESSAGE_NOTE = rf"^CM_\s+BO_\s+([0-9]+)\s+{TEXT}\s*;"
-SIGNAL_NOTE = rf"^CM_\s+SG_\s+([0-9]+)\s+({NAME})\s+{TEXT}\s*;"
-VALUES = rf"^VAL_\s+([0-9]+)\s+({NAME})\s+(.+);$"
+# A statement is read as tokens: quoted texts, names, numbers and single marks.
+TOKEN = r'"(?:[^"\\]|\\.)*+"|[A-Za-z_][\w.]*|[-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][-+]?[0-9]+)?|\S'
 # Frame numbers above this one are extended.
 STANDARD_FRAMES = 0x7FF
 
 
 def _plain(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    """What a quoted text says."""
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.replace(F.replace(inner, F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+
+
+def _token(i: int | Column) -> Column:
+    return F.get("_t", F.lit(i) if isinstance(i, int) else i)
+
+
+def _reads(*want: tuple[int | Column, str]) -> Column:
+    """Whether the tokens at these places are these words; ``#`` is a whole number, ``"`` a text, ``a`` a name."""
+    holds = F.lit(True)
+    for place, word in want:
+        token = _token(place)
+        if word == "#":
+            fits = token.rlike("^[0-9]+$")
+        elif word == '"':
+            fits = token.startswith('"') & (F.length(token) > 1)
+        elif word == "a":
+            fits = token.rlike("^[A-Za-z_]")
+        else:
+            fits = token == word
+        holds = holds & F.coalesce(fits, F.lit(False))
+    return holds
+
+
+def _is_message() -> Column:
+    return _reads((0, "BO_"), (1, "#"), (2, "a"), (3, ":"), (4, "#")) & _token(5).isNotNull()
+
+
+def _colon() -> Column:
+    """Where the colon of a signal stands: behind its name or its multiplexer."""
+    return F.when(_token(2) == ":", 2).otherwise(3)
+
+
+def _is_signal() -> Column:
+    c = _colon()
+    marks = zip((0, 1, 2, 3, 4, 7, 9, 11, 12, 14, 16, 17), (":", "#", "|", "#", "@", "(", ",", ")", "[", "|", "]", '"'), strict=True)
+    shape = _reads((0, "SG_"), (1, "a"), *[(c + step, word) for step, word in marks])
+    signs = F.coalesce(_token(c + 5).isin("0", "1") & _token(c + 6).isin("+", "-"), F.lit(False))
+    return shape & signs
+
+
+def _is_values() -> Column:
+    return _reads((0, "VAL_"), (1, "#"), (2, "a"), (F.size("_t") - 1, ";")) & (F.size("_t") > 4)
 
 
 def dbc_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Non-blank lines with their tokens and the message they stand under."""
     lines = document_lines(df, keys, text).withColumn("raw", trimmed(F.col("raw"))).where("raw <> ''")
-    part = lambda i: F.regexp_extract("raw", MESSAGE, i)
-    own = F.when(F.col("raw").rlike(MESSAGE), part(1).cast("long"))
+    lines = lines.withColumn("_t", F.regexp_extract_all("raw", F.lit(TOKEN), 0))
+    own = F.when(_is_message(), _token(1).cast("long"))
     # A document is one row of the input, so its lines fit one window group.
     before = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("message_id", F.last(own, ignorenulls=True).over(before))
@@ -91,29 +144,27 @@ def dbc_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def dbc_comments(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Comments on messages and signals."""
-    m = lambda i: F.regexp_extract("raw", MESSAGE_NOTE, i)
-    s = lambda i: F.regexp_extract("raw", SIGNAL_NOTE, i)
-    on_message = F.col("raw").rlike(MESSAGE_NOTE)
-    return lines.where(on_message | F.col("raw").rlike(SIGNAL_NOTE)).select(
+    on_message = _reads((0, "CM_"), (1, "BO_"), (2, "#"), (3, '"'), (4, ";"))
+    on_signal = _reads((0, "CM_"), (1, "SG_"), (2, "#"), (3, "a"), (4, '"'), (5, ";"))
+    return lines.where(on_message | on_signal).select(
         *keys,
         F.when(on_message, "message").otherwise("signal").alias("target"),
-        F.when(on_message, m(1)).otherwise(s(1)).cast("long").alias("message_id"),
-        F.when(~on_message, s(2)).alias("signal"),
-        _plain(F.when(on_message, m(2)).otherwise(s(3))).alias("text"),
+        _token(2).cast("long").alias("message_id"),
+        F.when(~on_message, _token(3)).alias("signal"),
+        _plain(F.when(on_message, _token(3)).otherwise(_token(4))).alias("text"),
         F.col("line_no").alias("line"),
     )
 
 
 def dbc_messages(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Messages with their last comment."""
-    part = lambda i: F.regexp_extract("raw", MESSAGE, i)
-    messages = lines.where(F.col("raw").rlike(MESSAGE)).select(
+    messages = lines.where(_is_message()).select(
         *keys,
         "message_id",
         F.concat(F.lit("0x"), F.hex("message_id")).alias("id_hex"),
-        part(2).alias("name"),
-        part(3).cast("long").alias("dlc"),
-        part(4).alias("transmitter"),
+        _token(2).alias("name"),
+        _token(4).cast("long").alias("dlc"),
+        _token(5).alias("transmitter"),
         F.col("line_no").alias("line"),
     )
     notes = (
@@ -127,22 +178,22 @@ def dbc_messages(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def dbc_signals(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Signals with the message they stand under and their last comment."""
-    part = lambda i: F.regexp_extract("raw", SIGNAL, i)
-    receivers = F.filter(F.transform(F.split(part(12), ","), lambda r: trimmed(r)), lambda r: r != "")
-    signals = lines.where(F.col("raw").rlike(SIGNAL)).select(
+    c = _colon()
+    receivers = F.filter(F.slice("_t", c + 19, F.size("_t")), lambda t: t != ",")
+    signals = lines.where(_is_signal()).select(
         *keys,
         "message_id",
-        part(1).alias("signal"),
-        F.when(part(2) != "", part(2)).alias("multiplexer"),
-        part(3).cast("long").alias("start_bit"),
-        part(4).cast("long").alias("length"),
-        F.when(part(5) == "1", "little_endian").otherwise("big_endian").alias("byte_order"),
-        F.when(part(6) == "+", "unsigned").otherwise("signed").alias("value_type"),
-        part(7).try_cast("double").alias("factor"),
-        part(8).try_cast("double").alias("offset"),
-        part(9).try_cast("double").alias("minimum"),
-        part(10).try_cast("double").alias("maximum"),
-        part(11).alias("unit"),
+        _token(1).alias("signal"),
+        F.when(c == 3, _token(2)).alias("multiplexer"),
+        _token(c + 1).cast("long").alias("start_bit"),
+        _token(c + 3).cast("long").alias("length"),
+        F.when(_token(c + 5) == "1", "little_endian").otherwise("big_endian").alias("byte_order"),
+        F.when(_token(c + 6) == "+", "unsigned").otherwise("signed").alias("value_type"),
+        _token(c + 8).try_cast("double").alias("factor"),
+        _token(c + 10).try_cast("double").alias("offset"),
+        _token(c + 13).try_cast("double").alias("minimum"),
+        _token(c + 15).try_cast("double").alias("maximum"),
+        _plain(_token(c + 17)).alias("unit"),
         receivers.alias("receivers"),
         F.col("line_no").alias("line"),
     )
@@ -157,31 +208,27 @@ def dbc_signals(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def dbc_values(lines: DataFrame, keys: list[str]) -> DataFrame:
     """One row per entry of a value table."""
-    part = lambda i: F.regexp_extract("raw", VALUES, i)
-    entry = rf"(-?[0-9]+)\s+{TEXT}"
-    tables = lines.where(F.col("raw").rlike(VALUES)).select(
+    pairs = F.sequence(F.lit(3), F.size("_t") - 3, F.lit(2))
+    entries = F.transform(pairs, lambda i: F.struct(_token(i).alias("v"), _token(i + 1).alias("l")))
+    tables = lines.where(_is_values()).select(
         *keys,
-        part(1).cast("long").alias("message_id"),
-        part(2).alias("signal"),
-        F.arrays_zip(
-            F.regexp_extract_all(part(3), F.lit(entry), 1).alias("v"), F.regexp_extract_all(part(3), F.lit(entry), 2).alias("l")
-        ).alias("e"),
+        _token(1).cast("long").alias("message_id"),
+        _token(2).alias("signal"),
+        F.explode(F.filter(entries, lambda e: e["l"].startswith('"'))).alias("e"),
         F.col("line_no").alias("line"),
     )
-    return tables.select(*keys, "message_id", "signal", F.explode("e").alias("e"), "line").select(
+    return tables.select(
         *keys, "message_id", "signal", F.col("e.v").cast("long").alias("value"), _plain(F.col("e.l")).alias("label"), "line"
     )
 
 
 def dbc_warnings(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Value tables without their signal, and signals before any message."""
-    signals = lines.where(F.col("raw").rlike(SIGNAL)).select(
-        *keys, "message_id", F.regexp_extract("raw", SIGNAL, 1).alias("signal"), F.col("line_no").alias("line")
-    )
-    tables = lines.where(F.col("raw").rlike(VALUES)).select(
+    signals = lines.where(_is_signal()).select(*keys, "message_id", _token(1).alias("signal"), F.col("line_no").alias("line"))
+    tables = lines.where(_is_values()).select(
         *keys,
-        F.regexp_extract("raw", VALUES, 1).cast("long").alias("message_id"),
-        F.regexp_extract("raw", VALUES, 2).alias("signal"),
+        _token(1).cast("long").alias("message_id"),
+        _token(2).alias("signal"),
         F.col("line_no").alias("line"),
     )
     lost = tables.join(signals.select(*keys, "message_id", "signal").distinct(), [*keys, "message_id", "signal"], "left_anti")
@@ -254,7 +301,12 @@ def step_entities(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def step_header(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """File name, time and schemas from the header section."""
     section = lambda word: F.regexp_extract(text, rf"(?is){word}\s*\(([^;]*)\);", 1)
-    quoted = lambda word: F.regexp_extract_all(section(word), F.lit("'([^']*)'"), 1)
+
+    def quoted(word: str) -> Column:
+        # Arguments are texts, omitted ("$") or lists; an omitted one keeps its place.
+        found = F.regexp_extract_all(section(word), F.lit(r"'((?:[^']|'')*+)'|\$"), 0)
+        return F.transform(found, lambda v: F.when(v != "$", F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'"))))
+
     names = quoted("FILE_NAME")
     return df.select(
         *keys,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.functions.json_text import strict_json
-from fieldglass.operators.ordering import HOT_GROUP_ROWS, previous_in_group
+from fieldglass.operators.ordering import BUCKET_ROWS, previous_in_group
 
 SARIF_SCHEMA = (
     "runs array<struct<tool: struct<driver: struct<name: string>>, results: array<struct<ruleId: string, level: string, "
@@ -232,12 +232,12 @@ def _haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def track_summary(points: DataFrame, keys: list[str], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def track_summary(points: DataFrame, keys: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Points, great-circle length, elapsed time and elevations per track.
 
     Steps are taken within a segment; a gap between segments adds no length.
     """
-    steps = previous_in_group(points, [*keys, "track", "segment"], ["idx"], ["lat", "lon", "ele"], hot_rows)
+    steps = previous_in_group(points, [*keys, "track", "segment"], ["idx"], ["lat", "lon", "ele"], bucket_rows)
     # Guarded, because least() inside the formula would skip over nulls.
     known = F.col("prev_lat").isNotNull() & F.col("prev_lon").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
     length = F.when(known, _haversine(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")))

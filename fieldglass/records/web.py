@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.operators.ordering import HOT_GROUP_ROWS, previous_in_group, running_sum
+from fieldglass.operators.ordering import BUCKET_ROWS, previous_in_group, running_sum
 
 HAR_SCHEMA = (
     "log struct<entries: array<struct<startedDateTime: string, time: double, "
@@ -101,7 +101,7 @@ def trace_events(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     return df.select(*keys, F.posexplode(events).alias("idx", "e")).select(*keys, "idx", "e.*")
 
 
-def trace_spans(events: DataFrame, keys: list[str], hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def trace_spans(events: DataFrame, keys: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Complete spans: X events as they are, B events paired with their E.
 
     Within a track the nesting depth is the running count of open spans, an E
@@ -112,10 +112,10 @@ def trace_spans(events: DataFrame, keys: list[str], hot_rows: int = HOT_GROUP_RO
     track = [*keys, "pid", "tid"]
     complete = events.where("ph = 'X'").select(*track, "name", F.col("ts").alias("start"), "dur")
     marks = events.where("ph IN ('B', 'E')").withColumn("_step", F.when(F.col("ph") == "B", 1).otherwise(-1))
-    nested = running_sum(marks, track, ["ts", "idx"], "_step", "_open", hot_rows).withColumn(
+    nested = running_sum(marks, track, ["ts", "idx"], "_step", "_open", bucket_rows).withColumn(
         "_depth", F.when(F.col("ph") == "B", F.col("_open")).otherwise(F.col("_open") + 1)
     )
-    paired = previous_in_group(nested, [*track, "_depth"], ["ts", "idx"], ["ph", "name", "ts"], hot_rows)
+    paired = previous_in_group(nested, [*track, "_depth"], ["ts", "idx"], ["ph", "name", "ts"], bucket_rows)
     closed = paired.where("ph = 'E' AND prev_ph = 'B'").select(
         *track, F.col("prev_name").alias("name"), F.col("prev_ts").alias("start"), (F.col("ts") - F.col("prev_ts")).alias("dur")
     )

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fieldglass.functions.cells import cell_text, number_or_null
 from fieldglass.operators import classify, integrity, nested, ordering, profile, search
 from fieldglass.sinks import export
 
@@ -42,7 +44,7 @@ def test_sorts(spark):
     assert ordered(table(spark, ["10", "two", "3", "apple"]), "v", "asc") == ["3", "10", "apple", "two"]
     for direction, values in (("asc", ["a", "b", None, " "]), ("desc", ["b", "a", None, " "])):
         assert ordered(table(spark, [None, "b", " ", "a"]), "v", direction) == values
-    assert ordered(table(spark, ["alpha", "ALPHA", "bravo", "Charlie"]), "v", "asc") == ["alpha", "ALPHA", "bravo", "Charlie"]
+    assert ordered(table(spark, ["pear", "PEAR", "quince", "Rowan"]), "v", "asc") == ["pear", "PEAR", "quince", "Rowan"]
     assert ordered(table(spark, ["2024-03-01", "2023-12-31", "2024-01-15"]), "v", "asc") == ["2023-12-31", "2024-01-15", "2024-03-01"]
 
 
@@ -74,22 +76,72 @@ def test_pages_concatenate(spark):
     assert ordering.page_slice(df.limit(0), keys, 3, 5).count() == 0 and ordering.page_count(0, 5) == 1
 
 
-def test_hot_groups_agree_with_windows(spark):
-    """The bucketed path for hot groups gives what a window gives."""
-    rows = [(0 if i % 3 else i % 7, i, i % 5 - 2) for i in range(500)]
+@pytest.mark.parametrize("bucket_rows", [7, 10, 100_000])
+def test_groups_over_buckets_agree_with_windows(spark, bucket_rows):
+    rows = [(None if i % 3 else i % 7, i, None if i % 11 == 0 else i % 5 - 2) for i in range(300)]
     df = spark.createDataFrame(rows, "g long, o long, a long")
-    plain = ordering.previous_in_group(df, ["g"], ["o"], ["a"])
-    hot = ordering.previous_in_group(df, ["g"], ["o"], ["a"], hot_rows=10)
-    assert sorted(map(str, plain.collect())) == sorted(map(str, hot.collect()))
-    plain = ordering.running_sum(df, ["g"], ["o"], "a", "s")
-    hot = ordering.running_sum(df, ["g"], ["o"], "a", "s", hot_rows=10)
-    assert sorted(map(str, plain.collect())) == sorted(map(str, hot.collect()))
+    w = Window.partitionBy("g").orderBy("o")
+    want = df.withColumn("prev_a", F.lag("a").over(w))
+    got = ordering.previous_in_group(df, ["g"], ["o"], ["a"], bucket_rows)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    want = df.withColumn("s", F.sum("a").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = ordering.running_sum(df, ["g"], ["o"], "a", "s", bucket_rows)
+    assert got.count() == 300
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_directions(spark):
+    df = spark.createDataFrame([(0, "9"), (1, "10"), (2, "8")], "i int, v string")
+    order = lambda d: ordering.typed_sort_keys(df, "v", d, ["i"])
+    placed = lambda d: [r.i for r in ordering.with_positions(df, order(d)).orderBy("pos").collect()]
+    assert (placed("asc"), placed("desc"), placed("none")) == ([2, 0, 1], [1, 0, 2], [0, 1, 2])
+    with pytest.raises(ValueError):
+        order("up")
+
+
+def test_pages_of_equal_keys_hold_every_row_once(spark):
+    df = spark.range(40).select("id", F.lit(1).alias("k"))
+    keys = [ordering.SortKey(F.col("k"))]
+    for top_k in (0, 12, 100_000):
+        rows = [r.id for p in range(1, 9) for r in ordering.page_slice(df, keys, p, 5, top_k_rows=top_k).collect()]
+        assert sorted(rows) == list(range(40))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_instants_are_shown_in_utc(spark, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("select timestamp'2024-01-01T00:00:00Z' as t, timestamp_ntz'2024-01-01 00:00:00' as n")
+        row = df.select(*[cell_text(F.col(f.name), f.dataType) for f in df.schema]).first()
+        assert list(row) == ['"2024-01-01T00:00:00.000Z"'] * 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_long_number_literals(spark):
+    texts = ["0x" + "f" * 17, "0o" + "7" * 25, "0b" + "1" * 70, "0x", "0b2", "0X1F"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(number_or_null(F.col("t"))).collect()]
+    assert got == [float(16**17 - 1), float(8**25 - 1), float(2**70 - 1), None, None, 31.0]
+
+
+def test_minify_keeps_every_character(spark):
+    texts = ['{ "a" : "x\ufdd0y\ufdd1" }', '[ "\\\\" , " \\" q " ]', '"a b"', "[1,"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(nested.minified_json(F.col("t"))).collect()]
+    assert got == ['{"a":"x\ufdd0y\ufdd1"}', '["\\\\"," \\" q "]', '"a b"', None]
+
+
+def test_invalid_deep_text_does_not_deepen_the_plan(spark):
+    df = spark.createDataFrame([(0, "[" * 400), (1, '{"a":[1]}')], "i int, t string")
+    assert nested.max_depth(df, F.col("t")) == 2
 
 
 def test_duplicate_numbers(spark):
     df = spark.createDataFrame([("M", 1, "first", 1), ("M", 1, "second", 2), ("M", 2, "x", 3), ("N", 1, "y", 4)], "p string, n int, name string, line int")
-    for hot_rows in (1_000_000, 1):
-        got = integrity.duplicate_numbers(df, "p", "n", "name", ["line"], hot_rows).collect()
+    for bucket_rows in (1_000_000, 1):
+        got = integrity.duplicate_numbers(df, "p", "n", "name", ["line"], bucket_rows).collect()
         assert [(r.p, r.n, r.holder, r.repeat) for r in got] == [("M", 1, "first", "second")]
 
 

@@ -606,7 +606,7 @@ def _packet_hex():
     port = big_endian(F.lit(40000) + k % 1000, 2)
     udp = F.concat(port, F.lit("0035"), big_endian(dns_size + 8, 2), F.lit("0000"), dns)
     tcp = F.concat(port, F.lit("2710"), big_endian(k, 4), F.lit("000000005002FFFF00000000"))
-    arp = F.concat(F.lit("81000005080600010800060400" + "01" + "AABBCCDDEEFF"), address, F.lit("00000000000008080808"))
+    arp = F.concat(F.lit("81000005080600010800060400" + "01" + "02B7E9520A68"), address, F.lit("00000000000008080808"))
     return (
         F.when(k % 3 == 0, F.concat(F.lit(_ETHERNET + "0800"), ip(dns_size + 8, "11"), udp))
         .when(k % 3 == 1, F.concat(F.lit(_ETHERNET + "0800"), ip(F.lit(20), "06"), tcp))

@@ -3,16 +3,21 @@
 Items are 64-bit content hashes; equal contents are one item. A bucket never
 gives all its pairs:
 
-1. every item of a bucket is compared with the bucket's first item;
+1. every item of a bucket is compared with the bucket's centre, the item that meets
+   the most others over all buckets;
 2. verified links form groups; a bucket that still holds several groups is looked
    at again. In a bucket of at most ``ALL_PAIRS`` items all pairs across groups
-   are compared, so small buckets are exact. In a larger one every item is
-   compared with the best-linked item of each other group of two or more there
-   (for the items that no link has reached, with the first of them);
-3. this is repeated with the new groups until a round finds no new link.
+   are compared, so small buckets are exact. In a larger one every item outside
+   the largest group is compared with a few centres of that group, and centres of
+   the groups are compared with one another in order of size;
+3. this is repeated with the next centres of the largest group, until a round finds no
+   new link; then the groups are formed anew.
+
+Where a bucket is large, a text that is similar enough to some text of the bucket
+is missed only if no such text becomes a centre in any of its buckets.
 
 All steps are joins keyed by bucket or item, which Spark splits where a bucket is
-large. Work and output grow with the bucket size times its groups, not its square.
+large. Work and output grow with the bucket size, not its square.
 """
 
 from __future__ import annotations
@@ -23,11 +28,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldglass.llm.shared import stage
 
 #: Largest bucket whose remaining pairs are all compared.
 ALL_PAIRS = 16
+#: Centres of a large group that a round tries.
+CENTRES = 8
 
 
 def pack_grams(hashes: np.ndarray) -> bytes:
@@ -52,10 +60,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def shared_buckets(items: DataFrame) -> DataFrame:
-    """``band, item, n, first`` of buckets with two or more items; takes ``item, bands``."""
+    """``band, item, n, weight, centre`` of buckets with two or more items; takes ``item, bands``.
+
+    ``weight`` is how many items an item meets over all its buckets. What lies
+    nearest to the middle of a family of copies meets most of them, so the heaviest
+    item of a bucket is its ``centre``.
+    """
     members = items.select("item", F.explode("bands").alias("band"))
-    counts = members.groupBy("band").agg(F.count("*").alias("n"), F.min("item").alias("first")).where("n > 1")
-    return stage(members.join(counts, "band"), "buckets")
+    counts = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = stage(members.join(counts, "band"), "buckets")
+    weighed = met.join(met.groupBy("item").agg(F.sum("n").alias("weight")), "item")
+    centres = weighed.groupBy("band").agg(F.max(F.struct("weight", "item"))["item"].alias("centre"))
+    return stage(weighed.join(centres, "band").select("band", "item", "n", "weight", "centre"), "buckets")
 
 
 def overlap_of(least: float) -> Callable[[bytes, bytes], bool]:
@@ -90,7 +106,7 @@ def connected(edges: DataFrame) -> DataFrame:
     Takes the smallest neighbouring label, then the label's own label, until
     nothing changes; each round starts from written tables.
     """
-    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stage(
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("item"), F.least("a", "m").alias("group")),
         "labels",
@@ -110,38 +126,50 @@ def connected(edges: DataFrame) -> DataFrame:
 def link(shared: DataFrame, grams: DataFrame, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
     """``item, group`` of all items that a chain of links joins to another."""
     tested = stage(
-        shared.where("item <> first").select(*_pair(F.col("item"), F.col("first"))).distinct(), "pairs"
+        shared.where("item <> centre").select(*_pair(F.col("item"), F.col("centre"))).distinct(), "pairs"
     )
     edges = stage(verified(tested, grams, alike), "links")
+    groups = connected(edges)
+    placed = shared.join(groups, "item", "left").select(
+        "band", "item", "n", "weight", F.coalesce("group", "item").alias("group")
+    )
+    several = placed.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    open_rows = stage(placed.join(several.select("band"), "band"), "open-buckets")
+    small, large = open_rows.where(F.col("n") <= ALL_PAIRS), open_rows.where(F.col("n") > ALL_PAIRS)
+    other = small.select("band", F.col("item").alias("item2"), F.col("group").alias("group2"))
+    fresh = small.join(other, "band").where("group <> group2 and item < item2").select(*_pair(F.col("item"), F.col("item2")))
+    # The heaviest items of each group, one from each of a few fixed parts of it.
+    part = F.pmod(F.xxhash64("item"), F.lit(CENTRES)).alias("part")
+    unused, used, more = large, None, None
     while True:
-        groups = connected(edges)
-        degree = (
-            edges.select(F.explode(F.array("a", "b")).alias("item")).groupBy("item").agg(F.count("*").alias("degree"))
-        )
-        placed = shared.join(groups.join(degree, "item"), "item", "left").select(
-            "band", "item", "n", F.coalesce("group", "item").alias("group"), F.coalesce("degree", F.lit(0)).alias("degree")
-        )
-        open_bands = placed.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
-        open_rows = stage(placed.join(open_bands.select("band"), "band"), "open-buckets")
-        small = open_rows.where(F.col("n") <= ALL_PAIRS)
-        other = small.select("band", F.col("item").alias("item2"), F.col("group").alias("group2"))
-        across = small.join(other, "band").where("group <> group2 and item < item2").select(*_pair(F.col("item"), F.col("item2")))
-        large = open_rows.where(F.col("n") > ALL_PAIRS)
-        hubs = large.groupBy("band", "group").agg(
-            F.max_by("item", F.struct("degree", "item")).alias("hub"), F.count("*").alias("held")
+        hubs = (
+            unused.groupBy("band", "group", part)
+            .agg(F.max(F.struct("weight", "item")).alias("heavy"), F.count("*").alias("held"))
+            .groupBy("band", "group")
+            .agg(F.collect_list("heavy.item").alias("hubs"), F.max("heavy.item").alias("hub"), F.sum("held").alias("held"))
         )
-        loose = hubs.groupBy("band").agg(F.min(F.when(F.col("held") == 1, F.col("hub"))).alias("hub"))
-        hubs = hubs.where("held > 1").select("band", "hub", "group").unionByName(
-            loose.where("hub is not null").select("band", "hub", F.col("hub").alias("group"))
+        main = stage(
+            hubs.groupBy("band").agg(F.max(F.struct("held", "group", "hubs")).alias("m")).select("band", "m.group", "m.hubs"),
+            "centres",
         )
         starred = (
-            large.join(hubs.withColumnRenamed("group", "group2"), "band")
-            .where("group <> group2 and item <> hub")
+            large.join(main.withColumnRenamed("group", "main"), "band")
+            .where("group <> main")
+            .select("item", F.explode("hubs").alias("hub"))
             .select(*_pair(F.col("item"), F.col("hub")))
         )
-        fresh = stage(across.unionByName(starred).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        fresh = starred if fresh is None else fresh.unionByName(starred)
+        if used is None:
+            by_size = Window.partitionBy("band").orderBy(F.desc("held"), "group")
+            chained = hubs.where("held > 1").select("hub", F.lag("hub").over(by_size).alias("before"))
+            fresh = fresh.unionByName(chained.where("before is not null").select(*_pair(F.col("hub"), F.col("before"))))
+        fresh = stage(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found = stage(verified(fresh, grams, alike), "links")
         if found.isEmpty():
-            return groups
-        tested = tested.unionByName(fresh)
-        edges = edges.unionByName(found)
+            break
+        more = found if more is None else more.unionByName(found)
+        tested, fresh = tested.unionByName(fresh), None
+        tried = main.select("band", F.explode("hubs").alias("item"))
+        used = tried if used is None else used.unionByName(tried)
+        unused = large.join(used, ["band", "item"], "left_anti")
+    return groups if more is None else connected(edges.unionByName(more))

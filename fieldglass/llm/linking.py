@@ -7,17 +7,18 @@ gives all its pairs:
    the most others over all buckets;
 2. verified links form groups; a bucket that still holds several groups is looked
    at again. In a bucket of at most ``ALL_PAIRS`` items all pairs across groups
-   are compared, so small buckets are exact. In a larger one every item outside
-   the largest group is compared with a few centres of that group, and centres of
-   the groups are compared with one another in order of size;
+   are compared. In a larger one every item outside the largest group is compared
+   with a few centres of that group, and centres of the groups are compared with
+   one another in order of size;
 3. this is repeated with the next centres of the largest group, until a round finds no
-   new link; then the groups are formed anew.
+   new link; then the groups are formed anew;
+4. in the large buckets that still hold several groups, every pair across groups is
+   compared, a block of items against a block (``across``).
 
-Where a bucket is large, a text that is similar enough to some text of the bucket
-is missed only if no such text becomes a centre in any of its buckets.
+So each pair of items that share a bucket is compared, or lies in one group already.
 
-All steps are joins keyed by bucket or item, which Spark splits where a bucket is
-large. Work and output grow with the bucket size, not its square.
+All steps are keyed by bucket and block or by item, so a large bucket is spread over
+many tasks. Work grows with the items of a bucket times those outside its largest group.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from fieldglass.llm.shared import stage
 ALL_PAIRS = 16
 #: Centres of a large group that a round tries.
 CENTRES = 8
+#: Items outside the largest group of a bucket, and items of the bucket, that one block comparison holds.
+OUTSIDE_BLOCK, BUCKET_BLOCK = 32, 128
 
 
 def pack_grams(hashes: np.ndarray) -> bytes:
@@ -123,6 +126,65 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def across(rows: DataFrame, grams: DataFrame, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """Links ``a, b`` that join all groups with a link between them in a bucket; takes ``band, item, group``.
+
+    Items outside a bucket's largest group are held against the whole bucket, block
+    by block. A pair is compared in the first bucket that it shares, and only while
+    the links of its block leave it in two groups.
+    """
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        root: dict[int, int] = {}
+
+        def top(group: int) -> int:
+            while group in root:
+                group = root[group]
+            return group
+
+        part = part.assign(bands=[frozenset(x) for x in part["bands"]])
+        columns = ["item", "group", "bands", "grams"]
+        bucket = list(part.loc[~part["outside"], columns].itertuples(index=False, name=None))
+        band, main, found = part["band"].iloc[0], part["main"].iloc[0], []
+        for a, group_a, bands_a, grams_a in part.loc[part["outside"], columns].itertuples(index=False, name=None):
+            for b, group_b, bands_b, grams_b in bucket:
+                # Two items outside the largest group meet twice.
+                if group_a == group_b or (group_b != main and a > b) or min(bands_a & bands_b) != band:
+                    continue
+                x, y = top(group_a), top(group_b)
+                if x != y and alike(grams_a, grams_b):
+                    root[x] = y
+                    found.append((min(a, b), max(a, b)))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    held = rows.groupBy("band", "group").agg(F.count("*").alias("held"))
+    main = (
+        held.groupBy("band")
+        .agg(F.max(F.struct("held", "group")).alias("m"), F.sum("held").alias("all"))
+        .where("all > m.held")
+        .select(
+            "band",
+            F.col("m.group").alias("main"),
+            F.ceil((F.col("all") - F.col("m.held")) / OUTSIDE_BLOCK).alias("outer"),
+            F.ceil(F.col("all") / BUCKET_BLOCK).alias("inner"),
+        )
+    )
+    own = rows.groupBy("item").agg(F.collect_set("band").alias("bands"))
+    full = rows.select("band", "item", "group").join(main, "band").join(own, "item").join(grams, "item")
+    columns = ["band", "main", "item", "group", "bands", "grams"]
+
+    def blocks(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    outside = full.where("group <> main").select(
+        *columns, F.lit(True).alias("outside"), F.pmod(F.xxhash64("item"), "outer").alias("i"), blocks("inner").alias("j")
+    )
+    bucket = full.select(
+        *columns, F.lit(False).alias("outside"), blocks("outer").alias("i"), F.pmod(F.xxhash64("item", F.lit(1)), "inner").alias("j")
+    )
+    return outside.unionByName(bucket).groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def link(shared: DataFrame, grams: DataFrame, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
     """``item, group`` of all items that a chain of links joins to another."""
     tested = stage(
@@ -172,4 +234,9 @@ def link(shared: DataFrame, grams: DataFrame, alike: Callable[[bytes, bytes], bo
         tried = main.select("band", F.explode("hubs").alias("item"))
         used = tried if used is None else used.unionByName(tried)
         unused = large.join(used, ["band", "item"], "left_anti")
-    return groups if more is None else connected(edges.unionByName(more))
+    if more is not None:
+        edges = edges.unionByName(more)
+        groups = connected(edges)
+    rows = large.drop("group").join(groups, "item", "left").select("band", "item", F.coalesce("group", "item").alias("group"))
+    rest = stage(across(stage(rows, "open-buckets"), grams, alike), "links")
+    return groups if rest.isEmpty() else connected(edges.unionByName(rest))

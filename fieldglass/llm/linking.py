@@ -5,15 +5,12 @@ gives all its pairs:
 
 1. every item of a bucket is compared with the bucket's centre, the item that meets
    the most others over all buckets;
-2. verified links form groups; a bucket that still holds several groups is looked
-   at again. In a bucket of at most ``ALL_PAIRS`` items all pairs across groups
-   are compared. In a larger one every item outside the largest group is compared
-   with a few centres of that group, and centres of the groups are compared with
-   one another in order of size;
-3. this is repeated with the next centres of the largest group, until a round finds no
-   new link; then the groups are formed anew;
-4. in the large buckets that still hold several groups, every pair across groups is
-   compared, a block of items against a block (``across``).
+2. verified links form groups; where a bucket still holds several groups, the items
+   outside its largest group are compared with a few heavy items of that group, and
+   the groups are formed anew;
+3. in each bucket that still holds several groups, every pair across groups is
+   compared: in a bucket of at most ``ALL_PAIRS`` items pair by pair, in a larger one
+   a block of items against a block (``across``).
 
 So each pair of items that share a bucket is compared, or lies in one group already.
 
@@ -29,13 +26,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldglass.llm.shared import stage
 
-#: Largest bucket whose remaining pairs are all compared.
+#: Largest bucket whose remaining pairs are compared one by one.
 ALL_PAIRS = 16
-#: Centres of a large group that a round tries.
+#: Heavy items of the largest group that are tried before the pairs of blocks.
 CENTRES = 8
 #: Items outside the largest group of a bucket, and items of the bucket, that one block comparison holds.
 OUTSIDE_BLOCK, BUCKET_BLOCK = 32, 128
@@ -185,58 +181,51 @@ def across(rows: DataFrame, grams: DataFrame, alike: Callable[[bytes, bytes], bo
     return outside.unionByName(bucket).groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def _several(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several groups, with the group of each item."""
+    placed = shared.join(groups, "item", "left").withColumn("group", F.coalesce("group", "item"))
+    several = placed.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    return stage(placed.join(several.select("band"), "band"), "open-buckets")
+
+
 def link(shared: DataFrame, grams: DataFrame, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
     """``item, group`` of all items that a chain of links joins to another."""
-    tested = stage(
-        shared.where("item <> centre").select(*_pair(F.col("item"), F.col("centre"))).distinct(), "pairs"
-    )
+    tested = shared.where("item <> centre").select(*_pair(F.col("item"), F.col("centre"))).distinct()
     edges = stage(verified(tested, grams, alike), "links")
     groups = connected(edges)
-    placed = shared.join(groups, "item", "left").select(
-        "band", "item", "n", "weight", F.coalesce("group", "item").alias("group")
-    )
-    several = placed.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
-    open_rows = stage(placed.join(several.select("band"), "band"), "open-buckets")
-    small, large = open_rows.where(F.col("n") <= ALL_PAIRS), open_rows.where(F.col("n") > ALL_PAIRS)
-    other = small.select("band", F.col("item").alias("item2"), F.col("group").alias("group2"))
-    fresh = small.join(other, "band").where("group <> group2 and item < item2").select(*_pair(F.col("item"), F.col("item2")))
-    # The heaviest items of each group, one from each of a few fixed parts of it.
+    shared = _several(shared.drop("centre"), groups)
+    large = shared.where(F.col("n") > ALL_PAIRS)
+    # The heaviest items of the largest group, one from each of a few fixed parts of it.
     part = F.pmod(F.xxhash64("item"), F.lit(CENTRES)).alias("part")
-    unused, used, more = large, None, None
-    while True:
-        hubs = (
-            unused.groupBy("band", "group", part)
-            .agg(F.max(F.struct("weight", "item")).alias("heavy"), F.count("*").alias("held"))
-            .groupBy("band", "group")
-            .agg(F.collect_list("heavy.item").alias("hubs"), F.max("heavy.item").alias("hub"), F.sum("held").alias("held"))
-        )
-        main = stage(
-            hubs.groupBy("band").agg(F.max(F.struct("held", "group", "hubs")).alias("m")).select("band", "m.group", "m.hubs"),
-            "centres",
-        )
-        starred = (
-            large.join(main.withColumnRenamed("group", "main"), "band")
-            .where("group <> main")
-            .select("item", F.explode("hubs").alias("hub"))
-            .select(*_pair(F.col("item"), F.col("hub")))
-        )
-        fresh = starred if fresh is None else fresh.unionByName(starred)
-        if used is None:
-            by_size = Window.partitionBy("band").orderBy(F.desc("held"), "group")
-            chained = hubs.where("held > 1").select("hub", F.lag("hub").over(by_size).alias("before"))
-            fresh = fresh.unionByName(chained.where("before is not null").select(*_pair(F.col("hub"), F.col("before"))))
-        fresh = stage(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stage(verified(fresh, grams, alike), "links")
-        if found.isEmpty():
-            break
-        more = found if more is None else more.unionByName(found)
-        tested, fresh = tested.unionByName(fresh), None
-        tried = main.select("band", F.explode("hubs").alias("item"))
-        used = tried if used is None else used.unionByName(tried)
-        unused = large.join(used, ["band", "item"], "left_anti")
-    if more is not None:
-        edges = edges.unionByName(more)
+    hubs = (
+        large.groupBy("band", "group", part)
+        .agg(F.max(F.struct("weight", "item")).alias("heavy"), F.count("*").alias("held"))
+        .groupBy("band", "group")
+        .agg(F.collect_list("heavy.item").alias("hubs"), F.sum("held").alias("held"))
+    )
+    main = (
+        hubs.groupBy("band")
+        .agg(F.max(F.struct("held", "group", "hubs")).alias("m"))
+        .select("band", F.col("m.group").alias("main"), "m.hubs")
+    )
+    starred = (
+        large.join(main, "band")
+        .where("group <> main")
+        .select("item", F.explode("hubs").alias("hub"))
+        .select(*_pair(F.col("item"), F.col("hub")))
+    )
+    found = stage(verified(starred.distinct(), grams, alike), "links")
+    if not found.isEmpty():
+        edges = edges.unionByName(found)
         groups = connected(edges)
-    rows = large.drop("group").join(groups, "item", "left").select("band", "item", F.coalesce("group", "item").alias("group"))
-    rest = stage(across(stage(rows, "open-buckets"), grams, alike), "links")
+        shared = _several(shared.drop("group"), groups)
+    small = shared.where(F.col("n") <= ALL_PAIRS)
+    other = small.select("band", F.col("item").alias("item2"), F.col("group").alias("group2"))
+    pairs = small.join(other, "band").where("group <> group2 and item < item2").select(*_pair(F.col("item"), F.col("item2")))
+    rest = stage(
+        verified(pairs.distinct(), grams, alike).unionByName(
+            across(shared.where(F.col("n") > ALL_PAIRS), grams, alike)
+        ),
+        "links",
+    )
     return groups if rest.isEmpty() else connected(edges.unionByName(rest))

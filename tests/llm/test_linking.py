@@ -50,3 +50,12 @@ def test_families_and_lone_pairs_in_one_bucket(spark):
     want = brute(sets, buckets)
     assert len(set(want.values())) < len(sets)
     assert found(spark, sets, buckets) == want
+
+
+def test_last_pair_of_a_bucket_without_other_links(spark):
+    """One pair among 120 unlike items, in a table where no other bucket finds a link."""
+    sets = gram_sets([[1.0]] * 118 + [[0.95] * 2], 2)
+    buckets = [{7} for _ in sets]
+    want = brute(sets, buckets)
+    assert len(set(want.values())) == len(sets) - 1
+    assert found(spark, sets, buckets) == want

@@ -1,16 +1,25 @@
-"""Repeated passages by MinHash banding of paragraphs.
+"""Repeated passages: MinHash banding of paragraphs, and all repeated runs of words.
 
-A paragraph is a line of at least ``LEAST_WORDS`` words; shorter lines (headings,
-license lines, menus) are not judged. Equal paragraphs are one item. Signatures
-of the five-word shingles are banded; paragraphs that share a band are verified
-on the exact Jaccard similarity of their shingle sets, and links make components
-(``linking``). In each component the paragraph that comes first by document id
-and position stays; the others are marked for removal.
+A paragraph is a line of at least ``LEAST_WORDS`` words. Equal paragraphs are one
+item. Signatures of the five-word shingles are banded; paragraphs that share a band
+are verified on the exact Jaccard similarity of their shingle sets, and links make
+components (``linking``). In each component the paragraph that comes first by
+document id and position stays; the others are marked for removal.
+
+Lines do not bound the second search: every run of ``RUN`` words that occurs more
+than once is found wherever it lies, inside a long line or across short ones. Of the
+``ANCHOR``-word grams of a text the smallest hash in each window is kept, so each run
+of ``RUN`` words holds a kept gram and equal runs hold the same one. Around kept
+grams that occur twice all runs are hashed; runs with equal hashes are equal. The
+first place of a run stays. Neighbouring runs with the same class are one passage; a
+passage that lies in paragraphs of the first search with the same verdict is not
+given again. Passages may overlap. Runs that differ in a word are found only as
+paragraphs.
 
 Words are compared without case and punctuation, so a passage repeated with other
 marks around its words is found.
 
-Null and empty texts have no paragraphs. A paragraph repeated inside one document
+Null and empty texts have no passages. A paragraph repeated inside one document
 counts as repeated. Repeated rows repeat all their paragraphs; with a null id
 they sort last. Texts are read whole. An empty table gives no rows; extra columns
 are ignored.
@@ -37,6 +46,9 @@ LEAST_WORDS = 40
 #: of 3 miss a pair at the threshold once in about 1,300 times.
 BANDS, ROWS = 10, 3
 HASHES = BANDS * ROWS
+#: Words of the shortest run found anywhere, and of the grams that bring equal runs together.
+RUN, ANCHOR = 50, 25
+COLUMNS = ["doc_id", "start", "end", "n_words", "class_id", "class_size", "removed"]
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -111,7 +123,7 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The judged paragraphs with their place, content key, bands and shingles."""
     for batch in batches:
-        ids = batch["doc_id"].to_numpy()
+        ids, numbers = batch["doc_id"].to_numpy(), batch["row"].to_numpy()
         for owner, starts, ends, lines in judged(batch["text"].tolist()):
             found, counts = words.word_hashes([x.encode("utf-8", "replace") for x in lines])
             enough = counts >= LEAST_WORDS
@@ -121,6 +133,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shingles, n = words.shingles_of(found, counts)
             yield pd.DataFrame(
                 {
+                    "row": numbers[owner][enough],
                     "doc_id": ids[owner][enough],
                     "start": np.array(starts)[enough],
                     "end": np.array(ends)[enough],
@@ -132,16 +145,167 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
+def _gram_hashes(found: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` words in a row."""
+    out = np.zeros(max(0, len(found) - width + 1), dtype=U64)
+    for k in range(width):
+        out = out * U64(0xD1342543DE82EF95) + found[k : k + len(out)]
+    return mix(out)
+
+
+def _anchors(grams: np.ndarray) -> np.ndarray:
+    """Places of the smallest hash of each window of grams that one run holds."""
+    width = RUN - ANCHOR + 1
+    if len(grams) < width:
+        return np.zeros(0, dtype=np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1)
+    return np.unique(least + np.arange(len(least)))
+
+
+def _texts(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """Row number, word hashes, word starts and ends in bytes, and lower-cased bytes of each text that holds a run."""
+    for i, text in enumerate(batch["text"]):
+        data = (text or "").lower().encode("utf-8", "replace")
+        # Each word has at least one character and one gap.
+        if len(data) < 2 * RUN - 1:
+            continue
+        joined, starts, ends, _ = words.word_spans([data])
+        if len(starts) >= RUN:
+            yield i, words.span_hashes(joined, starts, ends), starts, ends, data
+
+
+def _gathered(frames: Iterator[dict[str, np.ndarray]], rows: int = 1 << 17) -> Iterator[pd.DataFrame]:
+    """The rows of many small sets of columns in frames of bounded size."""
+    held, n = [], 0
+    for frame in frames:
+        held.append(frame)
+        n += len(next(iter(frame.values())))
+        if n >= rows:
+            yield pd.DataFrame({k: np.concatenate([x[k] for x in held]) for k in frame})
+            held, n = [], 0
+    if held:
+        yield pd.DataFrame({k: np.concatenate([x[k] for x in held]) for k in held[0]})
+
+
+def _read_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each():
+        for batch in batches:
+            rows = batch["row"].to_numpy()
+            for i, found, *_ in _texts(batch):
+                grams = _gram_hashes(found, ANCHOR)
+                at = _anchors(grams)
+                yield {"row": np.full(len(at), rows[i]), "key": grams[at].view(np.int64), "at": at}
+
+    yield from _gathered(each())
+
+
+def _places(text: str, data: bytes, at: np.ndarray) -> np.ndarray:
+    """Characters of a text before each place in its lower-cased bytes; places are at edges of words."""
+    sizes = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, out=sizes[1:])
+    if sizes[-1] == len(text):
+        return sizes[at]
+    # Some characters have a longer lower case.
+    return np.searchsorted(np.cumsum([len(c.lower().encode("utf-8", "replace")) for c in text]), at, side="left") + (at > 0)
+
+
+def _read_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every run that holds one of the given anchors, and whether found (removed) paragraphs cover it; ``at`` counts words."""
+
+    def each():
+        for batch in batches:
+            rows = batch["row"].to_numpy()
+            for i, found, starts, ends, data in _texts(batch):
+                runs = _gram_hashes(found, RUN)
+                near = np.zeros(len(runs) + 1, dtype=np.int64)
+                at = np.asarray(batch["ats"].iloc[i], dtype=np.int64)
+                np.add.at(near, np.clip(at - (RUN - ANCHOR), 0, len(runs)), 1)
+                np.add.at(near, np.clip(at + 1, 0, len(runs)), -1)
+                kept = np.flatnonzero(np.cumsum(near[:-1]))
+                text = batch["text"].iloc[i]
+                starts, ends = _places(text, data, starts), _places(text, data, ends)
+                marks = [np.zeros(len(starts) + 1, dtype=np.int64) for _ in range(2)]
+                lines = batch["lines"].iloc[i]
+                for line in lines if lines is not None else []:
+                    a, b = np.searchsorted(starts, (line["start"], line["end"]))
+                    for mark in marks[: 1 + line["removed"]]:
+                        mark[a] += 1
+                        mark[b] -= 1
+                within = [np.concatenate([[0], np.cumsum(np.cumsum(m[:-1]) > 0)]) for m in marks]
+                inside, gone = (w[kept + RUN] - w[kept] == RUN for w in within)
+                yield {
+                    "row": np.full(len(kept), rows[i]),
+                    "at": kept,
+                    "key": runs[kept].view(np.int64),
+                    "start": starts[kept],
+                    "end": ends[kept + RUN - 1],
+                    "inside": inside,
+                    "gone": gone,
+                }
+
+    yield from _gathered(each())
+
+
+def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Passages of neighbouring runs of one class, without those that paragraphs cover."""
+    for batch in batches:
+        out = []
+        for doc_id, runs in zip(batch["doc_id"], batch["runs"], strict=True):
+            last = None
+            for run in sorted(runs, key=lambda r: r["at"]):
+                kind = run["class_id"], run["class_size"], run["removed"]
+                if last is None or run["at"] != last[0] + 1 or kind != last[1]:
+                    out.append([doc_id, run["start"], run["end"], RUN, *kind, True])
+                else:
+                    out[-1][2], out[-1][3] = run["end"], out[-1][3] + 1
+                out[-1][-1] &= bool(run["gone"] if run["removed"] else run["inside"])
+                last = run["at"], kind
+        rows = [r[:-1] for r in out if not r[-1]]
+        yield pd.DataFrame(rows, columns=COLUMNS).astype({"doc_id": "Int64", "class_id": "Int64"})
+
+
+def repeated_runs(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """The passages of repeated runs of words; takes ``row, doc_id, text`` and the found paragraphs of the rows."""
+    anchors = stage(texts.select("row", "text").mapInPandas(_read_anchors, "row long, key long, at int"), "anchors")
+    often = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = anchors.join(often, "key", "left_semi").groupBy("row").agg(F.collect_list("at").alias("ats"))
+    held = lines.groupBy("row").agg(F.collect_list(F.struct("start", "end", "removed")).alias("lines"))
+    runs = stage(
+        texts.select("row", "text")
+        .join(wanted, "row")
+        .join(held, "row", "left")
+        .mapInPandas(_read_runs, "row long, at int, key long, start int, end int, inside boolean, gone boolean")
+        .join(texts.select("row", "doc_id"), "row"),
+        "runs",
+    )
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "at")
+    classes = (
+        runs.groupBy("key")
+        .agg(F.count("*").alias("class_size"), F.min(place).alias("_first"), F.min("doc_id").alias("class_id"))
+        .where("class_size > 1")
+    )
+    fields = ["at", "start", "end", "inside", "gone", "class_id", "class_size", "removed"]
+    return (
+        runs.join(classes, "key")
+        .withColumn("removed", place != F.col("_first"))
+        .groupBy("row", "doc_id")
+        .agg(F.collect_list(F.struct(*fields)).alias("runs"))
+        .mapInPandas(
+            _spans, "doc_id long, start int, end int, n_words int, class_id long, class_size long, removed boolean"
+        )
+    )
+
+
 def repeated_passages(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, start, end, n_words, class_id, class_size, removed`` of every repeated paragraph.
+    """``doc_id, start, end, n_words, class_id, class_size, removed`` of every repeated passage.
 
     Places count characters; ``class_id`` is the smallest id among the documents
     of the class.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")), "texts")
     read = stage(
-        given.mapInPandas(
-            _read, "doc_id long, start int, end int, n_words int, item long, bands array<long>, grams binary"
+        texts.mapInPandas(
+            _read, "row long, doc_id long, start int, end int, n_words int, item long, bands array<long>, grams binary"
         ),
         "paragraphs",
     )
@@ -150,9 +314,9 @@ def repeated_passages(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     wanted = shared.select("item").distinct()
     grams = stage(read.select("item", "grams").dropDuplicates(["item"]).join(wanted, "item", "left_semi"), "grams")
     groups = link(shared, grams, overlap_of(least))
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "start", "_metadata.file_name", "_metadata.row_index")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "start", "row")
     placed = stage(
-        read.select("doc_id", "start", "end", "n_words", "item", place.alias("_place"))
+        read.select("row", "doc_id", "start", "end", "n_words", "item", place.alias("_place"))
         .join(groups, "item", "left")
         .withColumn("group", F.coalesce("group", "item")),
         "placed",
@@ -162,15 +326,11 @@ def repeated_passages(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         .agg(F.count("*").alias("class_size"), F.min("_place").alias("_first"), F.min("doc_id").alias("class_id"))
         .where("class_size > 1")
     )
-    return placed.join(classes, "group").select(
-        "doc_id",
-        "start",
-        "end",
-        "n_words",
-        "class_id",
-        "class_size",
-        (F.col("_place") != F.col("_first")).alias("removed"),
+    lines = stage(
+        placed.join(classes, "group").withColumn("removed", F.col("_place") != F.col("_first")).select("row", *COLUMNS),
+        "lines",
     )
+    return lines.select(COLUMNS).unionByName(repeated_runs(texts, lines))
 
 
 @query("op1_repeated_passages")

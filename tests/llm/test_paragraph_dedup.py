@@ -72,3 +72,28 @@ def test_repeats_nulls_and_empty(docs):
     assert sorted(r["removed"] for r in rows) == [False, True, True]
     assert found(docs("a", None)) == set()
     assert found(docs("a").where(F.lit(False))) == set()
+
+
+def repeated_windows(texts, size=50):
+    """Document and character span of every run of words that occurs more than once."""
+    places = {}
+    for i, text in texts.items():
+        spans = [(m.group(), m.start(), m.end()) for m in WORD.finditer((text or "").lower())]
+        for k in range(len(spans) - size + 1):
+            key = tuple(w for w, _, _ in spans[k : k + size])
+            places.setdefault(key, []).append((i, spans[k][1], spans[k + size - 1][2]))
+    return [p for found in places.values() if len(found) > 1 for p in found]
+
+
+def test_repeats_in_short_lines(docs):
+    lines = [story(20 + i, 12) for i in range(8)]
+    texts = {
+        0: "\n".join(lines),
+        1: "\n".join(lines),
+        2: story(40, 30) + "\n" + "\n".join(lines[1:7]) + "\n" + story(41, 20),
+        3: "\n".join(lines[:3]),
+    }
+    got = found(docs(*texts.items()))
+    assert {g[0] for g in got} == {0, 1, 2}
+    assert all(any(g[0] == i and g[1] <= a and b <= g[2] for g in got) for i, a, b in repeated_windows(texts))
+    assert {g[5] for g in got if g[0] == 0} == {False} and {g[5] for g in got if g[0] > 0} == {True}

@@ -97,3 +97,15 @@ def test_repeats_in_short_lines(docs):
     assert {g[0] for g in got} == {0, 1, 2}
     assert all(any(g[0] == i and g[1] <= a and b <= g[2] for g in got) for i, a, b in repeated_windows(texts))
     assert {g[5] for g in got if g[0] == 0} == {False} and {g[5] for g in got if g[0] > 0} == {True}
+
+
+def test_repeat_inside_long_lines(docs):
+    shared = story(50, 60)
+    texts = {
+        0: "İ " + story(51, 70) + " " + shared + " " + story(52, 70),
+        1: story(53, 100) + " " + shared.upper() + " " + story(54, 40),
+        2: story(55, 200),
+    }
+    got = found(docs(*texts.items()))
+    at = {i: texts[i].lower().replace("i̇", "i").index(shared) for i in (0, 1)}
+    assert got == {(i, at[i], at[i] + len(shared), 0, 2, i == 1) for i in (0, 1)}

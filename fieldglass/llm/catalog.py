@@ -6,6 +6,8 @@ from fieldglass.llm import (  # noqa: F401  (registration)
     chat,
     credentials,
     decontaminate,
+    filter_audit,
+    lexical_search,
     media,
     near_dedup,
     packing,
@@ -13,6 +15,7 @@ from fieldglass.llm import (  # noqa: F401  (registration)
     quality,
     sharding,
     token_counts,
+    toxicity,
 )
 from fieldglass.llm.register import ORACLES, QUERIES
 

@@ -192,19 +192,26 @@ def _page(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
 
 @contextmanager
 def _state_in_rocksdb(spark: SparkSession):
-    """Streams started inside keep their state in RocksDB, unless the session names a provider itself."""
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    named = spark.conf.get(setting, None)
-    own = named is None or named.endswith("HDFSBackedStateStoreProvider")
-    if own:
-        spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Streams started inside keep their state in RocksDB, unless the session names another provider than Spark's first choice.
+
+    Without space set aside: a store would take megabytes on disk before it holds a row,
+    in every partition.
+    """
+    stores = "spark.sql.streaming.stateStore."
+    named = spark.conf.get(stores + "providerClass", None)
+    own = {}
+    if named is None or named.endswith("HDFSBackedStateStoreProvider"):
+        own[stores + "providerClass"] = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    if spark.conf.get(stores + "rocksdb.allowFAllocate", None) is None:
+        own[stores + "rocksdb.allowFAllocate"] = "false"
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if own and named is None:
-            spark.conf.unset(setting)
-        elif own:
-            spark.conf.set(setting, named)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def mask_counts(spark: SparkSession, path: str, labels: DataFrame, files_per_batch: int | None = None) -> DataFrame:

@@ -20,10 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldglass.functions.binding import let
 from fieldglass.llm.register import query, table
 
 START, BREAK, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 LEARNED_ROLE = "assistant"
+#: Turns whose lengths are summed up in one array.
+BLOCK = 256
 
 
 def _sub(c: Column, old: str, new: str) -> Column:
@@ -59,15 +62,18 @@ def format_chats(turns: DataFrame) -> DataFrame:
         ).alias("_turn"),
     )
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("_turn")).alias("_turns"))
-    roles = chats.withColumn("_roles", F.col("_turns.role"))
-    # A turn opens a block where its role differs from the one before it.
-    opened = F.transform(
-        "_turns",
-        lambda t, i: F.struct(
-            t.role.alias("role"),
-            t.text.alias("text"),
-            ((i == 0) | (t.role != F.get("_roles", i - 1))).alias("opens"),
-            (i == 0).alias("first"),
+    # A turn opens a block where its role differs from the one before it. An array that a
+    # function looks things up in is bound first, or it would be made anew for each element.
+    opened = let(
+        F.col("_turns.role"),
+        lambda roles: F.transform(
+            "_turns",
+            lambda t, i: F.struct(
+                t.role.alias("role"),
+                t.text.alias("text"),
+                ((i == 0) | (t.role != F.get(roles, i - 1))).alias("opens"),
+                (i == 0).alias("first"),
+            ),
         ),
     )
     pieces = F.transform(
@@ -83,31 +89,41 @@ def format_chats(turns: DataFrame) -> DataFrame:
             (t.role == LEARNED_ROLE).alias("learned"),
         ),
     )
-    cut = roles.select("conv_id", pieces.alias("_pieces"))
-    # One running pass gives where each body starts; only numbers are carried.
-    ends = F.aggregate(
+    cut = chats.select("conv_id", pieces.alias("_pieces"))
+    # Where each body starts: running sums inside blocks of turns, and running sums of whole blocks.
+    # An array that grows is copied at each step, so neither kind may grow long.
+    grown = lambda seen, n: F.concat(seen, F.array(F.element_at(seen, -1) + n))
+
+    def in_blocks(lengths: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int"))
+        return F.transform(firsts, lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK)), F.array(F.lit(0)), grown))
+
+    def spans(lengths: Column, blocks: Column, before: Column) -> Column:
+        def place(p: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            at = F.get(before, block) + F.get(F.get(blocks, block), i % BLOCK)
+            return F.struct(
+                (at + F.length(p.mark)).alias("start"), (at + F.get(lengths, i)).alias("end"), p.learned.alias("learned")
+            )
+
+        return F.filter(F.transform("_pieces", place), lambda s: s.learned)
+
+    found = let(
         F.transform("_pieces", lambda p: F.length(p.mark) + F.length(p.body)),
-        F.array(F.lit(0)),
-        lambda seen, n: F.concat(seen, F.array(F.element_at(seen, -1) + n)),
-    )
-    placed = cut.withColumn("_ends", ends)
-    spans = F.filter(
-        F.transform(
-            "_pieces",
-            lambda p, i: F.struct(
-                (F.get("_ends", i) + F.length(p.mark)).alias("start"),
-                F.get("_ends", i + 1).alias("end"),
-                p.learned.alias("learned"),
+        lambda lengths: let(
+            in_blocks(lengths),
+            lambda blocks: let(
+                F.aggregate(blocks, F.array(F.lit(0)), lambda seen, b: grown(seen, F.element_at(b, -1))),
+                lambda before: spans(lengths, blocks, before),
             ),
         ),
-        lambda s: s.learned,
     )
-    return placed.select(
+    return cut.select(
         "conv_id",
         F.concat(F.array_join(F.transform("_pieces", lambda p: F.concat(p.mark, p.body)), ""), F.lit(END)).alias(
             "formatted"
         ),
-        F.transform(spans, lambda s: F.struct(s.start, s.end)).alias("loss_spans"),
+        F.transform(found, lambda s: F.struct(s.start, s.end)).alias("loss_spans"),
     )
 
 

@@ -50,11 +50,70 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _USER = re.compile(r"(?:user(?:name)?|login|account|client_id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@-]+", re.IGNORECASE | re.ASCII)
 _USER_SIGNS = ("user", "login", "account", "client_id")
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\b\d{1,3}(?:\.\d{1,3}){3}\b", re.ASCII)
+# An address, a mailbox or four numbers; the first two are sought from their signs outwards.
+_AFTER_SCHEME = re.compile(r"[^\s\"'<>]+", re.ASCII)
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_NUMBERS = re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b", re.ASCII)
+_LETTER = re.compile(r"[a-z]")
+_SCHEME_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+_BOX_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 #: A weak secret is shorter than a reported one, but not trivial.
 WEAK_SECRET = 6
 
 
+def _run_before(text: str, at: int, first: int, signs: frozenset) -> int:
+    """Where the run of signs that ends before ``at`` begins, not before ``first``."""
+    while at > first and text[at - 1] in signs:
+        at -= 1
+    return at
+
+
+def _address(text: str, first: int) -> tuple[int, int] | None:
+    """The first ``scheme://rest`` whose parts lie from ``first`` on."""
+    at = text.find("://", first)
+    while at >= 0:
+        begin = _LETTER.search(text, _run_before(text, at, first, _SCHEME_SIGNS), at)
+        rest = _AFTER_SCHEME.match(text, at + 3)
+        if begin and rest:
+            return begin.start(), rest.end()
+        at = text.find("://", at + 1)
+    return None
+
+
+def _mailbox(text: str, first: int) -> tuple[int, int] | None:
+    """The first ``name@domain`` whose parts lie from ``first`` on."""
+    at = text.find("@", first)
+    while at >= 0:
+        begin = _run_before(text, at, first, _BOX_SIGNS)
+        domain = _DOMAIN.match(text, at + 1) if begin < at else None
+        if domain:
+            return begin, domain.end()
+        at = text.find("@", at + 1)
+    return None
+
+
+def _four_numbers(text: str, first: int) -> tuple[int, int] | None:
+    found = _NUMBERS.search(text, first)
+    return found and found.span()
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses, mailboxes and four numbers, leftmost first and none inside another.
+
+    A run of signs is read once from each ``://`` or ``@`` behind it, so a long text without
+    a break takes time in proportion to its length.
+    """
+    seekers = (_address, _mailbox, _four_numbers)
+    found = [seek(text, 0) for seek in seekers]
+    out, end = [], 0
+    while any(found):
+        begin, _, kind = min((span[0], i, i) for i, span in enumerate(found) if span)
+        end = found[kind][1]
+        out.append((begin, end))
+        found = [seek(text, end) if span and span[0] < end else span for seek, span in zip(seekers, found, strict=True)]
+    return out
+
+
 def parts_of(text: str) -> list[tuple[str, int, int]]:
     """Strong and weak parts of a text: kind, start, end in characters."""
     found = []
@@ -72,7 +131,7 @@ def parts_of(text: str) -> list[tuple[str, int, int]]:
     if any(sign in low for sign in _USER_SIGNS):
         found += [("weak_user", m.start(), m.end()) for m in _USER.finditer(text)]
     if "://" in text or "@" in text or text.count(".") >= 3:
-        found += [("weak_endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
+        found += [("weak_endpoint", a, b) for a, b in endpoints(text)]
     return found
 
 

@@ -109,7 +109,7 @@ class Searcher:
                 a, b = cuts[i], cuts[i + 1]
                 # In a run of two pieces the other one, next to the hit, has one edit at most.
                 after = before = None
-                if runs[i] and runs[i][0][2] == 1:
+                if runs[i] and runs[i][0][2] == 1 and pieces > 2:
                     lo, hi, _ = runs[i].pop(0)
                     after, before = (text[b:hi], None) if lo == a else (None, text[lo:a][::-1])
                 where.setdefault(text[a:b], []).append((n, i, a, after, before))
@@ -132,7 +132,8 @@ class Searcher:
             if hi - lo > 1:
                 mid = (lo + hi + 1) // 2
                 todo += [(lo, mid), (mid, hi)]
-        return {i: sorted(r, key=lambda x: x[1] - x[0])[1:] for i, r in out.items()}
+        # The piece alone is the hit; of an item of one piece it is also the item.
+        return {i: sorted(r, key=lambda x: x[1] - x[0])[pieces > 1 :] for i, r in out.items()}
 
     def _check(self, n: int, start: int, end: int, window: str) -> tuple[int, int]:
         pattern = self.items[n][1][start:end]

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from fieldglass.llm.chat import format_chats, read_chats
@@ -51,3 +53,17 @@ def test_long_conversation(spark):
     got = both(spark, rows)[1]
     assert len(got["turns"]) == 2000
     assert got["learned"] == "".join(t for _, _, r, t in rows if r == "assistant")
+
+
+def test_very_long_conversation(spark):
+    rows = spark.range(40_000).select(
+        F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 3 == 0, "assistant").otherwise("user").alias("role"),
+        F.repeat(F.lit("t"), (F.col("id") % 50).cast("int")).alias("text"),
+    )
+    start = time.perf_counter()
+    chat = format_chats(rows).collect()[0]
+    assert time.perf_counter() - start < 5
+    spans = chat["loss_spans"]
+    assert [s["end"] - s["start"] for s in spans] == [i % 50 for i in range(0, 40_000, 3)]
+    assert all(chat["formatted"][s["start"] - 1] in "\n>" for s in spans[::500])

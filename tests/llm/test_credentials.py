@@ -1,4 +1,8 @@
-from fieldglass.llm.credentials import SCOPE, find_credentials, mask, masked, parts_of
+import random
+import re
+import time
+
+from fieldglass.llm.credentials import SCOPE, endpoints, find_credentials, mask, masked, parts_of
 from pyspark.sql import functions as F
 
 KEY = "AKIA" + "Q7" * 8
@@ -57,3 +61,22 @@ def test_repeats_nulls_long_and_empty(docs):
     assert [k for k, _, _ in got[2]].count("weak_user") == SCOPE // 9
     assert got[3] == []
     assert spans(docs("a").where(F.lit(False))) == []
+
+
+def test_endpoints_are_those_of_one_pattern():
+    """Sought outwards from their signs, endpoints are the leftmost matches of the plain pattern."""
+    plain = re.compile(
+        r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\b\d{1,3}(?:\.\d{1,3}){3}\b", re.ASCII
+    )
+    draw = random.Random(6)
+    bits = ["a", "Z", "7", ".", "-", "+", "_", "%", "@", "://", " ", "/", "ab.cd", "1.2.3.4", "é", '"', "x@y.z", "h://q"]
+    for _ in range(6000):
+        text = "".join(draw.choice(bits) for _ in range(draw.randrange(1, 14)))
+        assert endpoints(text) == [m.span() for m in plain.finditer(text)], text
+
+
+def test_long_text_without_a_break():
+    for text in ("a" * 1_000_000 + " @", "A1." * 350_000 + "@", "b" * 500_000 + "@x " + "c" * 500_000 + "://", "1.2." * 250_000):
+        start = time.perf_counter()
+        parts_of(text)
+        assert time.perf_counter() - start < 1

@@ -55,6 +55,22 @@ def test_every_match_within_the_budget_is_found():
                 assert edits(want, part) == true
 
 
+def test_small_budgets():
+    items = [(n, story(n, 8 + 3 * n)) for n in range(12)]
+    for budget in (0.0, 0.01, 0.02, 0.03, 0.05):
+        search = D.Searcher(items, budget)
+        for n, text in items:
+            most = int(len(text) * budget)
+            for k in range(most + 2):
+                body = story(70 + n, 20) + " " + changed(text, k, 31 * n + k) + " " + story(90 + n, 20)
+                true = edits(D.compared(text), D.compared(body))
+                hits = {search.items[i][0]: v for i, v in search.matches(body).items()}
+                assert (n in hits) == (true <= most)
+                if n in hits:
+                    assert hits[n][0] == true
+                    assert edits(D.compared(text), D.compared(body)[hits[n][1] : hits[n][2]]) == true
+
+
 def test_queries_over_tables(spark, docs):
     items = spark.createDataFrame(
         [(1, story(1, 15)), (2, story(2, 15)), (2, story(2, 15)), (3, "short"), (4, None), (None, story(5, 15))],

@@ -56,14 +56,37 @@ def finite_or_null(number: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
 
 
+def _bits(digits: Column, base: int) -> Column:
+    """The binary digits of a number written in base 2, 8 or 16, without leading zeros."""
+    width = {2: 1, 8: 3, 16: 4}[base]
+    runs = F.regexp_extract_all(digits, F.lit("(?s).{1,%d}" % (60 // width)), F.lit(0))
+    bits = F.transform(runs, lambda r: F.lpad(F.conv(r, base, 2), F.length(r) * width, F.lit("0")))
+    return F.ltrim(F.array_join(bits, ""), F.lit("0"))
+
+
+def _double_of_bits(bits: Column) -> Column:
+    """The double nearest to a binary number of any length, rounded once.
+
+    Up to 63 bits are a whole number, whose cast rounds rightly. Of a longer one the
+    first 62 bits count, and one more that tells whether anything follows; scaling by
+    a power of two is exact.
+    """
+    whole = lambda b: F.conv(b, 2, 10).cast("long").cast("double")
+    tail = F.substring(bits, F.lit(63), F.length(bits))
+    head = F.concat(F.substring(bits, 1, 62), F.when(F.contains(tail, F.lit("1")), "1").otherwise("0"))
+    return (
+        F.when(bits == "", 0.0)
+        .when(F.length(bits) <= 63, whole(bits))
+        .otherwise(whole(head) * F.pow(F.lit(2.0), F.length(bits) - 63))
+    )
+
+
 def number_or_null(text: Column) -> Column:
     """The number a text spells, or null. Rejects ``1d``, ``NaN``, ``Infinity``."""
     t = trimmed(text)
 
     def radix(base: int) -> Column:
-        digits = F.split(F.substring(t, F.lit(3), F.length(t)), "")
-        value = lambda d: F.conv(d, 16, 10).cast("double")
-        return finite_or_null(F.aggregate(digits, F.lit(0.0), lambda total, d: total * base + value(d)))
+        return finite_or_null(let(_bits(F.substring(t, F.lit(3), F.length(t)), base), _double_of_bits))
 
     # Numbers start with a character from "+" to "9"; most texts end here.
     return F.when(

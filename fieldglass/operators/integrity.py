@@ -42,8 +42,8 @@ def duplicate_numbers(
     df: DataFrame, parent: str, number: str, name: str, order: list[str], bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Each repeat of a number within its parent beside the holder before it."""
-    paired = previous_in_group(df, [parent, number], order, [name], bucket_rows)
-    return paired.where(F.col(f"prev_{name}").isNotNull()).select(
+    paired = previous_in_group(df, [parent, number], order, [name], bucket_rows, flag="_repeated")
+    return paired.where("_repeated").select(
         parent, number, F.col(f"prev_{name}").alias("holder"), F.col(name).alias("repeat")
     )
 

@@ -1,7 +1,7 @@
 """Nested documents: node tables, search, canonical text and conversions.
 
-A document is unfolded level by level inside its own row with array
-expressions, so a node table is one scan without any shuffle.
+A document is read token by token inside its own row (``functions.json_walk``), so a
+node table is one scan without any shuffle, with one plan for documents of any depth.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from fieldglass.functions.binding import let
 from fieldglass.functions.cells import number_text
 from fieldglass.functions.formatting import escape_xml, quote_csv
-from fieldglass.functions.json_text import json_kind, kind_of_schema, members, nesting_depth, scalar_text, strict_json
+from fieldglass.functions.json_text import json_kind, nesting_depth, strict_json
+from fieldglass.functions.json_walk import token_kind, value_rows, walk
 
 
 def max_depth(df: DataFrame, text: Column) -> int:
@@ -20,79 +21,41 @@ def max_depth(df: DataFrame, text: Column) -> int:
     return df.agg(F.max(F.when(strict_json(text).isNotNull(), nesting_depth(text))).alias("d")).first()["d"] or 0
 
 
-def _levels(df: DataFrame, depth: int) -> tuple[DataFrame, Column]:
-    """Add one array column per level below ``_doc``; return them joined."""
-    root = F.struct(
-        F.lit("").alias("path"),
-        F.lit(None).cast("string").alias("parent_path"),
-        F.lit("$").alias("key"),
-        F.lit(None).cast("string").alias("parent_kind"),
-        F.lit(0).alias("depth"),
-        F.lit(0).alias("ordinal"),
-        F.lit(True).alias("is_last"),
-        F.lit("").alias("place"),
-        F.col("_doc").alias("value"),
+def _spelled(token: Column) -> Column:
+    """What a string's token spells; only escapes need the parser."""
+    return F.when(F.contains(token, F.lit("\\")), F.try_parse_json(token).try_cast("string")).otherwise(
+        F.substring(token, F.lit(2), F.length(token) - 2)
     )
-    df = df.withColumn("_l0", F.when(F.col("_doc").isNotNull(), F.array(root)))
-    for level in range(1, depth + 1):
-        df = df.withColumn(f"_l{level}", F.flatten(F.transform(f"_l{level - 1}", _children_at(level))))
-    return df, F.concat(*[F.col(f"_l{i}") for i in range(depth + 1)])
-
-
-_NODE_ARRAY = (
-    "array<struct<path:string,parent_path:string,key:string,parent_kind:string,"
-    "depth:int,ordinal:int,is_last:boolean,place:string,value:variant>>"
-)
-
-
-def _children_at(level: int):
-    """The function from a node to its children, which are on ``level``."""
-
-    def child(n: Column, m: Column, i: Column, count: Column) -> Column:
-        step = F.replace(F.replace(m["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-        return F.struct(
-            F.concat(n["path"], F.lit("/"), step).alias("path"),
-            n["path"].alias("parent_path"),
-            m["key"].alias("key"),
-            m["within"].alias("parent_kind"),
-            F.lit(level).alias("depth"),
-            i.cast("int").alias("ordinal"),
-            (i == count - 1).alias("is_last"),
-            F.concat(n["place"], F.lit("."), F.lpad(i.cast("string"), 9, "0")).alias("place"),
-            m["value"].alias("value"),
-        )
 
-    def children(n: Column) -> Column:
-        nodes = let(
-            members(n["value"]), lambda kids: F.transform(kids, lambda m, i: child(n, m, i, F.size(kids)))
-        )
-        return F.coalesce(nodes, F.array().cast(_NODE_ARRAY))
 
-    return children
+def _scalar(token: Column, kind: Column) -> Column:
+    """The text of a scalar's token; strings keep their quotes; null for containers."""
+    number = F.when(token == "-0", "0").when(token.rlike(r"^-?[0-9]{1,15}$"), token).otherwise(number_text(token.try_cast("double")))
+    string = F.when(F.contains(token, F.lit("\\")), F.to_json(F.try_parse_json(token))).otherwise(token)
+    return F.when(kind == "string", string).when(kind == "number", number).when(kind.isin("boolean", "null"), token)
 
 
 def node_table(df: DataFrame, keys: list[str], text: Column, depth: int | None = None) -> DataFrame:
     """One row per node: path, parent, key, kind, scalar text, depth, place.
 
-    ``place`` sorts the nodes of a document depth first. With an explicit
-    ``depth`` the containers cut there are flagged ``truncated``.
+    Nodes come as the document is written; ``place`` sorts the nodes of a document
+    depth first. With an explicit ``depth`` deeper nodes are left out and the containers cut
+    there are flagged ``truncated``.
     """
-    if depth is None:
-        depth = max_depth(df, text)
-    unfolded, nodes = _levels(df.select(*keys, strict_json(text).alias("_doc")), depth)
-    node = unfolded.select(*keys, F.explode(nodes).alias("n"))
-    node = node.withColumn("_schema", F.schema_of_variant("n.value")).withColumn("kind", kind_of_schema(F.col("_schema")))
+    own = [f"_own{i}" for i in range(len(keys))]
+    given = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, own, strict=True)], text.alias("_body"))
+    node = value_rows(given, "_body", depth).withColumn("kind", token_kind(F.col("token")))
     return node.select(
-        *keys,
-        F.col("n.path").alias("path"),
-        F.col("n.parent_path").alias("parent_path"),
-        F.col("n.key").alias("key"),
+        *[F.col(n).alias(k) for k, n in zip(keys, own, strict=True)],
+        "path",
+        "parent_path",
+        "key",
         "kind",
-        scalar_text(F.col("n.value"), F.col("kind")).alias("primitive"),
-        F.col("n.depth").alias("depth"),
-        F.col("n.ordinal").alias("ordinal"),
-        F.col("n.place").alias("place"),
-        F.when(F.col("n.depth") < depth, F.lit(False)).otherwise(F.coalesce(F.size(members(F.col("n.value"))) > 0, F.lit(False))).alias("truncated"),
+        _scalar(F.col("token"), F.col("kind")).alias("primitive"),
+        "depth",
+        "ordinal",
+        "place",
+        (F.lit(False) if depth is None else F.col("filled") & (F.col("depth") == depth)).alias("truncated"),
     )
 
 
@@ -133,22 +96,10 @@ def minified_json(text: Column) -> Column:
     return F.when(strict_json(text).isNotNull(), bare)
 
 
-def _assembled(df: DataFrame, keys: list[str], text: Column, depth: int | None, pieces, glue: str, name: str) -> DataFrame:
-    """Build one text per document from ``pieces(node)``, ordered by place.
-
-    ``pieces`` gives an array of ``(at, line)`` per node; ``at`` is the node's
-    place, with ``~`` behind it for what closes a container.
-    """
-    if depth is None:
-        depth = max_depth(df, text)
-    unfolded, nodes = _levels(df.select(*keys, strict_json(text).alias("_doc")), depth)
-    parts = F.array_sort(F.flatten(F.transform(nodes, pieces)))
-    lines = F.transform(parts, lambda p: p["line"])
-    return unfolded.select(*keys, F.array_join(lines, glue).alias(name))
-
-
-def _piece(at: Column, line: Column) -> Column:
-    return F.struct(at.alias("at"), line.alias("line"))
+def _assembled(df: DataFrame, keys: list[str], text: Column, piece, name: str) -> DataFrame:
+    """Build one text per document from ``piece(record)``, one after another."""
+    parts = F.transform(walk(text), lambda r: let(token_kind(r["token"]), lambda kind: piece(r, kind)))
+    return df.select(*keys, F.array_join(parts, "").alias(name))
 
 
 def _quoted(text: Column) -> Column:
@@ -156,81 +107,66 @@ def _quoted(text: Column) -> Column:
     return F.substring(json, F.lit(2), F.length(json) - 2)
 
 
-def pretty_json(df: DataFrame, keys: list[str], text: Column, depth: int | None = None) -> DataFrame:
-    """Two-space indented text, object keys in byte order."""
-
-    def pieces(n: Column) -> Column:
-        return let(json_kind(n["value"]), lambda kind: lines(n, kind))
+def pretty_json(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """Two-space indented text, keys as written."""
 
-    def lines(n: Column, kind: Column) -> Column:
-        value = n["value"]
-        pad = F.repeat(F.lit("  "), n["depth"])
-        label = F.when(n["parent_kind"] == "object", F.concat(_quoted(n["key"]), F.lit(": "))).otherwise("")
-        comma = F.when(n["is_last"], "").otherwise(",")
-        filled = F.coalesce(F.size(members(value)) > 0, F.lit(False))
-        opener = F.when(kind == "object", "{").otherwise("[")
-        closer = F.when(kind == "object", "}").otherwise("]")
-        flat = F.coalesce(scalar_text(value, kind), F.concat(opener, closer))
-        return F.when(
-            filled,
-            F.array(
-                _piece(n["place"], F.concat(pad, label, opener)),
-                _piece(F.concat(n["place"], F.lit("~")), F.concat(pad, closer, comma)),
-            ),
-        ).otherwise(F.array(_piece(n["place"], F.concat(pad, label, flat, comma))))
+    def piece(r: Column, kind: Column) -> Column:
+        line = F.concat(F.lit("\n"), F.repeat(F.lit("  "), r["depth"]))
+        label = F.when(r["parent_kind"] == "object", F.concat(_quoted(r["key"]), F.lit(": "))).otherwise("")
+        before = F.when(r["depth"] == 0, "").otherwise(F.concat(F.when(r["ordinal"] > 0, ",").otherwise(""), line))
+        return F.when(r["closes"], F.concat(F.when(r["filled"], line).otherwise(""), r["token"])).otherwise(
+            F.concat(before, label, F.coalesce(_scalar(r["token"], kind), r["token"]))
+        )
 
-    return _assembled(df, keys, text, depth, pieces, "\n", "pretty")
+    return _assembled(df, keys, text, piece, "pretty")
 
 
-def json_to_yaml(df: DataFrame, keys: list[str], text: Column, depth: int | None = None) -> DataFrame:
+def json_to_yaml(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """Block-style YAML, strings in JSON quotes."""
 
-    def pieces(n: Column) -> Column:
-        return let(json_kind(n["value"]), lambda kind: lines(n, kind))
-
-    def lines(n: Column, kind: Column) -> Column:
-        value = n["value"]
-        pad = F.repeat(F.lit("  "), n["depth"] - 1)
-        label = F.when(n["parent_kind"] == "array", F.lit("- ")).otherwise(F.concat(n["key"], F.lit(": ")))
-        empty = F.when(F.size(members(value)) == 0, "\n").otherwise("")
-        line = F.concat(pad, label, F.coalesce(scalar_text(value, kind), empty))
-        root = scalar_text(value, kind)
-        return F.when(
-            n["depth"] == 0,
-            F.when(root.isNull(), F.array().cast("array<struct<at:string,line:string>>")).otherwise(
-                F.array(_piece(n["place"], root))
-            ),
-        ).otherwise(F.array(_piece(n["place"], line)))
+    def piece(r: Column, kind: Column) -> Column:
+        first = (r["depth"] == 1) & (r["ordinal"] == 0)
+        line = F.concat(F.when(first, "").otherwise("\n"), F.repeat(F.lit("  "), r["depth"] - 1))
+        label = F.when(r["parent_kind"] == "array", F.lit("- ")).otherwise(F.concat(r["key"], F.lit(": ")))
+        return (
+            F.when(r["closes"], F.when(r["filled"] | (r["depth"] == 0), "").otherwise("\n"))
+            .when(r["depth"] == 0, F.coalesce(_scalar(r["token"], kind), F.lit("")))
+            .otherwise(F.concat(line, label, F.coalesce(_scalar(r["token"], kind), F.lit(""))))
+        )
 
-    return _assembled(df, keys, text, depth, pieces, "\n", "yaml")
+    return _assembled(df, keys, text, piece, "yaml")
 
 
-def json_to_xml(df: DataFrame, keys: list[str], text: Column, depth: int | None = None) -> DataFrame:
+def json_to_xml(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """Elements named by key (``item`` inside arrays), ``root`` outermost."""
 
-    def pieces(n: Column) -> Column:
-        return let(json_kind(n["value"]), lambda kind: lines(n, kind))
-
-    def lines(n: Column, kind: Column) -> Column:
-        value = n["value"]
-        name = (
-            F.when(n["depth"] == 0, "root")
-            .when(n["parent_kind"] == "array", "item")
-            .otherwise(F.regexp_replace(n["key"], r"[^A-Za-z0-9_.-]", "_"))
+    def named(depth: Column, parent_kind: Column, key: Column) -> Column:
+        return (
+            F.when(depth == 0, "root")
+            .when(parent_kind == "array", "item")
+            .otherwise(F.regexp_replace(key, r"[^A-Za-z0-9_.-]", "_"))
         )
+
+    def last_step(path: Column) -> Column:
+        step = F.substring_index(path, "/", -1)
+        return F.replace(F.replace(step, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+
+    def piece(r: Column, kind: Column) -> Column:
+        name = named(r["depth"], r["parent_kind"], F.coalesce(r["key"], last_step(r["path"])))
         plain = (
             F.when(kind == "null", "")
-            .when(kind == "string", value.try_cast("string"))
-            .otherwise(scalar_text(value, kind))
+            .when(kind == "string", _spelled(r["token"]))
+            .otherwise(_scalar(r["token"], kind))
         )
         open_tag = F.concat(F.lit("<"), name, F.lit(">"))
         close_tag = F.concat(F.lit("</"), name, F.lit(">"))
-        return F.when(
-            kind.isin("object", "array"),
-            F.array(_piece(n["place"], open_tag), _piece(F.concat(n["place"], F.lit("~")), close_tag)),
-        ).otherwise(F.array(_piece(n["place"], F.concat(open_tag, escape_xml(plain), close_tag))))
+        return (
+            F.when(r["closes"], close_tag)
+            .when(kind.isin("object", "array"), open_tag)
+            .otherwise(F.concat(open_tag, escape_xml(plain), close_tag))
+        )
 
-    return _assembled(df, keys, text, depth, pieces, "", "xml")
+    return _assembled(df, keys, text, piece, "xml")
 
 
 def json_to_csv(text: Column) -> Column:
@@ -238,10 +174,14 @@ def json_to_csv(text: Column) -> Column:
 
     Items that are not objects are dropped; a nested cell is written as JSON.
     """
-    return let(strict_json(text), _csv_of)
+    # A VARIANT sorts its keys; the written order is in the tokens.
+    depth = F.when(F.ltrim(text).startswith("["), 2).otherwise(1)
+    own = lambda r: ~r["closes"] & (r["depth"] == depth) & (r["parent_kind"] == "object")
+    heads = F.array_distinct(F.transform(F.filter(walk(text), own), lambda r: r["key"]))
+    return let(F.struct(strict_json(text).alias("doc"), heads.alias("heads")), lambda both: _csv_of(both["doc"], both["heads"]))
 
 
-def _csv_of(doc: Column) -> Column:
+def _csv_of(doc: Column, heads: Column) -> Column:
     items = F.coalesce(doc.try_cast("array<variant>"), F.array(doc))
     objects = F.filter(F.transform(items, lambda v: v.try_cast("map<string,variant>")), lambda m: m.isNotNull())
 
@@ -254,22 +194,11 @@ def _csv_of(doc: Column) -> Column:
             .otherwise(F.to_json(v)),
         )
 
-    def line(row: Column, heads: Column) -> Column:
+    def line(row: Column) -> Column:
         return F.array_join(F.transform(heads, lambda k: quote_csv(cell(F.element_at(row, k)))), ",")
 
-    def table(rows: Column) -> Column:
-        return let(
-            F.array_distinct(F.flatten(F.transform(rows, lambda m: F.map_keys(m)))),
-            lambda heads: F.array_join(
-                F.concat(
-                    F.array(F.array_join(F.transform(heads, quote_csv), ",")),
-                    F.transform(rows, lambda m: line(m, heads)),
-                ),
-                "\n",
-            ),
-        )
-
-    return F.when(doc.isNotNull(), let(objects, table))
+    first = F.array(F.array_join(F.transform(heads, quote_csv), ","))
+    return F.when(doc.isNotNull(), F.array_join(F.concat(first, F.transform(objects, line)), "\n"))
 
 
 def line_and_column(text: Column, offset: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,29 +17,13 @@ from fieldglass.functions.cells import (
     trimmed,
 )
 from fieldglass.operators.profile import column_types
-from fieldglass.sources.scratch import use_checkpoints
+from fieldglass.operators.splits import SortKey, Splits, numbers, split_evenly, split_large_groups
 
 PAGE_SIZE = 200
-# Rows up to which a page is cut by a top-k sort instead of by position.
-TOP_K_ROWS = 100_000
 # Rows per load step of columnar and line-delimited files.
 COLUMNAR_BATCH, LINES_BATCH = 10_000, 5_000
-# Rows of one bucket of a grouped order.
-BUCKET_ROWS = 100_000
-
-
-@dataclass(frozen=True)
-class SortKey:
-    """One sort expression with its direction; nulls go last when ascending."""
-
-    expr: Column
-    ascending: bool = True
-
-    def forward(self) -> Column:
-        return self.expr.asc_nulls_last() if self.ascending else self.expr.desc_nulls_first()
-
-    def backward(self) -> Column:
-        return self.expr.desc_nulls_first() if self.ascending else self.expr.asc_nulls_last()
+# Rows that one part of an order, or of a group, aims at.
+PART_ROWS = BUCKET_ROWS = 100_000
 
 
 def typed_sort_keys(
@@ -87,34 +69,39 @@ def _keyed(df: DataFrame, keys: list[SortKey]) -> tuple[DataFrame, list[SortKey]
     return keyed, [SortKey(F.col(n), k.ascending) for k, n in zip(keys, names, strict=True)]
 
 
-def with_positions(df: DataFrame, keys: list[SortKey], name: str = "pos", partitions: int | None = None) -> DataFrame:
-    """Add each row's 0-based place in the global order.
+def _in_parts(
+    df: DataFrame, keys: list[SortKey], total: int | None, part_rows: int, parts: int | None = None
+) -> tuple[DataFrame, list[SortKey], list[int]]:
+    """The rows with their keys and part, and how many rows lie before each part.
 
-    The rows are range-partitioned and sorted once, and that layout is pinned
-    by a checkpoint, so that a lost executor cannot change which row sits in
-    which partition between the two uses. Only the row count of each partition
-    reaches the driver.
+    Only the number of rows of each part reaches the driver.
     """
-    spark = df.sparkSession
-    use_checkpoints(spark)
     keyed, plain = _keyed(df, keys)
-    order = [k.forward() for k in plain]
-    ranged = keyed.repartitionByRange(partitions, *order) if partitions else keyed.repartitionByRange(*order)
-    pinned = (
-        ranged.sortWithinPartitions(*order)
-        .select(*[F.col(f"`{c}`") for c in df.columns])
-        .checkpoint()
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    )
-    counts = {r["_part"]: r["n"] for r in pinned.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = [], 0
-    for part in sorted(counts):
-        starts.append((part, total))
-        total += counts[part]
-    offsets = spark.createDataFrame(starts, "_part int, _start long")
-    placed = pinned.join(F.broadcast(offsets), "_part")
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_start") + F.col("_at")).alias(name))
+    total = keyed.count() if total is None else total
+    splits = split_evenly(keyed, plain, total, part_rows, parts)
+    placed = keyed.withColumn("_part", splits.part())
+    if not splits.points:
+        return placed, plain, [0, total]
+    counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = [0]
+    for part in range(len(splits.points) + 1):
+        starts.append(starts[-1] + counts.get(part, 0))
+    return placed, plain, starts
+
+
+def with_positions(
+    df: DataFrame, keys: list[SortKey], name: str = "pos", partitions: int | None = None, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """Add each row's 0-based place in the global order.
+
+    The order is cut into parts at literal split points (``splits``); a row's part
+    depends on its keys alone. A row's place is its place in its part and the rows of
+    the parts before.
+    """
+    placed, plain, starts = _in_parts(df, keys, None, part_rows, partitions)
+    within = Window.partitionBy("_part").orderBy(*[k.forward() for k in plain])
+    place = F.get(numbers(starts), F.col("_part")) + F.row_number().over(within) - 1
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(name))
 
 
 def page_count(total: int, size: int) -> int:
@@ -131,30 +118,26 @@ def page_slice(
     page: int,
     size: int = PAGE_SIZE,
     total: int | None = None,
-    top_k_rows: int = TOP_K_ROWS,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """The rows of one 1-based page; the page number is clamped to what exists.
 
-    Pages within ``top_k_rows`` of the start are a top-k sort, pages as near to
-    the end a top-k sort of the reversed order; anything in between is cut by
-    global position.
+    The order is cut into parts, the rows of each are counted, and only the parts
+    that hold the page are sorted: a page costs the same wherever it lies.
     """
     total = df.count() if total is None else total
-    # Rows with equal keys are told apart by their content, so every way cuts the same pages.
+    # Rows with equal keys are told apart by their content, so every cut gives the same pages.
     hashable = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     keys = [*keys, SortKey(F.xxhash64(*hashable))] if hashable else keys
     start = (clamp_page(page, total, size) - 1) * size
-    keyed, plain = _keyed(df, keys)
+    placed, plain, starts = _in_parts(df, keys, total, part_rows)
+    if len(starts) > 2:
+        first = max(p for p in range(len(starts) - 1) if starts[p] <= start)
+        last = max(p for p in range(len(starts) - 1) if starts[p] < max(start + size, 1))
+        placed = placed.where(F.col("_part").between(first, last))
+        start -= starts[first]
     kept = [F.col(f"`{c}`") for c in df.columns]
-    forward = [k.forward() for k in plain]
-    if start + size <= top_k_rows:
-        return keyed.orderBy(*forward).offset(start).limit(size).select(*kept)
-    tail = total - start
-    if tail <= top_k_rows:
-        last = keyed.orderBy(*[k.backward() for k in plain]).limit(tail)
-        return last.orderBy(*forward).limit(size).select(*kept)
-    placed = with_positions(df, keys, "_pos")
-    return placed.where((F.col("_pos") >= start) & (F.col("_pos") < start + size)).orderBy("_pos").drop("_pos")
+    return placed.orderBy(*[k.forward() for k in plain]).offset(start).limit(size).select(*kept)
 
 
 def load_batches(positioned: DataFrame, size: int = COLUMNAR_BATCH, pos: str = "pos") -> DataFrame:
@@ -191,62 +174,90 @@ def load_batches(positioned: DataFrame, size: int = COLUMNAR_BATCH, pos: str = "
     )
 
 
-def _in_buckets(df: DataFrame, group: list[str], order: list[str], bucket_rows: int) -> DataFrame:
-    """Place all rows by group and order and cut the places into equal buckets.
+def _in_group_parts(
+    df: DataFrame, group: list[str], order: list[str], part_rows: int
+) -> tuple[DataFrame, Splits, Window]:
+    """The rows with the part of their group, the split points, and the window over a part in order.
 
-    A group of any size is spread over as many buckets as it fills.
+    Groups of more than about ``part_rows`` rows are cut into parts, all others are one
+    part. The rows beside a split point, ``_cut``, lie in a group of several parts.
     """
-    placed = with_positions(df, [SortKey(F.col(c)) for c in [*group, *order]], "_pos")
-    return placed.withColumn("_bucket", F.floor(F.col("_pos") / bucket_rows))
+    splits = split_large_groups(df, group, order, df.select(*group).count(), part_rows)
+    placed = df.withColumn("_part", splits.part())
+    placed = placed.withColumn("_cut", splits.touches(F.col("_part"), group))
+    within = Window.partitionBy(*group, "_part").orderBy(*[SortKey(F.col(c)).forward() for c in order])
+    return placed, splits, within
 
 
-def _same_group(group: list[str], other) -> Column:
-    here = F.lit(True)
-    for g in group:
-        here = here & other(g).eqNullSafe(F.col(g))
-    return here
+def _with_earlier(placed: DataFrame, splits: Splits, group: list[str], per_part: Column, earlier) -> DataFrame:
+    """Add ``_earlier``: what ``earlier`` makes of ``per_part`` over the parts of the row's group before its own.
+
+    Only groups with a split point have such parts, so there are at most twice as many as
+    split points; that bounds the broadcast.
+    """
+    if not splits.points:
+        return placed
+    names = [f"_g{i}" for i in range(len(group))]
+    renamed = [F.col(f"`{g}`").alias(n) for g, n in zip(group, names, strict=True)]
+    parts = placed.where("_cut").groupBy(*renamed, F.col("_part").alias("_p")).agg(per_part.alias("_value"))
+    before = Window.partitionBy(*names).orderBy("_p")
+    told = parts.select(*names, "_p", earlier("_value", before).alias("_earlier"))
+    same = F.col("_p") == F.col("_part")
+    for g, n in zip(group, names, strict=True):
+        same = same & F.col(n).eqNullSafe(F.col(f"`{g}`"))
+    return placed.join(F.broadcast(told), same, "left").drop("_p", *names)
 
 
 def previous_in_group(
-    df: DataFrame, group: list[str], order: list[str], carried: list[str], bucket_rows: int = BUCKET_ROWS
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    carried: list[str],
+    bucket_rows: int = PART_ROWS,
+    flag: str | None = None,
 ) -> DataFrame:
-    """Add ``prev_<column>``: the carried cells of the row before in its group.
+    """Add ``prev_<column>``: the carried cells of the row before in its group, and ``flag``: whether there is one.
 
-    The last row of a bucket is repeated at the head of the next one, so no
-    bucket needs its neighbour. Null group keys are a group like any other.
+    The first row of a part takes them from the last row of the part before. Null
+    group keys are a group like any other.
     """
-    placed = _in_buckets(df, group, order, bucket_rows)
-    last = (F.col("_pos") + 1) % bucket_rows == 0
-    spread = placed.withColumn(
-        "_copy", F.explode(F.when(last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    ).withColumn("_bucket", F.col("_bucket") + F.col("_copy"))
-    w = Window.partitionBy("_bucket").orderBy("_pos")
-    here = _same_group(group, lambda g: F.lag(g).over(w)) & F.lag("_pos").over(w).isNotNull()
-    lagged = spread.select(*df.columns, "_copy", *[F.when(here, F.lag(c).over(w)).alias(f"prev_{c}") for c in carried])
-    return lagged.where("_copy = 0").drop("_copy")
+    placed, splits, within = _in_group_parts(df, group, order, bucket_rows)
+    place = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+    last = F.max_by(F.struct(F.lit(True).alias("_there"), *[F.col(c) for c in carried]), place)
+    whole = _with_earlier(placed, splits, group, last, lambda value, w: F.lag(value).over(w))
+    first = F.row_number().over(within) == 1
+    earlier = (lambda c: F.col("_earlier")[c]) if splits.points else (lambda c: F.lit(None))
+    out = whole.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.when(first, earlier(c)).otherwise(F.lag(c).over(within)).alias(f"prev_{c}") for c in carried],
+        *([(~first | F.coalesce(earlier("_there").cast("boolean"), F.lit(False))).alias(flag)] if flag else []),
+    )
+    return out
+
+
+def _running(df: DataFrame, group: list[str], order: list[str], amount: str, name: str, part_rows: int, fold, join, upto: int) -> DataFrame:
+    placed, splits, within = _in_group_parts(df, group, order, part_rows)
+    before = lambda value, w: fold(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    whole = _with_earlier(placed, splits, group, fold(amount), before)
+    own = fold(amount).over(within.rowsBetween(Window.unboundedPreceding, upto))
+    earlier = F.col("_earlier") if splits.points else F.lit(None).cast(df.schema[amount].dataType)
+    total = F.coalesce(join(own, earlier), own, earlier)
+    return whole.select(*[F.col(f"`{c}`") for c in df.columns], total.alias(name))
 
 
 def running_sum(
-    df: DataFrame, group: list[str], order: list[str], amount: str, name: str, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, group: list[str], order: list[str], amount: str, name: str, bucket_rows: int = PART_ROWS
 ) -> DataFrame:
     """Add the running total of ``amount`` within each group, this row included.
 
-    Each bucket sums its own rows. A group that goes on from an earlier bucket is
-    the first group of its bucket, so at most one total per bucket is added back.
-    Null group keys are a group like any other.
+    Each part of a group sums its own rows and adds the sums of the parts before. Null
+    group keys are a group like any other.
     """
-    placed = _in_buckets(df, group, order, bucket_rows)
-    upto = (Window.unboundedPreceding, 0)
-    sums = placed.groupBy(*group, "_bucket").agg(F.sum(amount).alias("_sum"))
-    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        sums.select("_bucket", *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.sum("_sum").over(earlier).alias("_before"))
-        .where("_before is not null")
-        .withColumnRenamed("_bucket", "_in")
-    )
-    local = placed.withColumn(
-        "_local", F.sum(amount).over(Window.partitionBy(*group, "_bucket").orderBy("_pos").rowsBetween(*upto))
-    )
-    same = _same_group(group, lambda g: F.col(f"_g{group.index(g)}")) & (F.col("_in") == F.col("_bucket"))
-    total = F.coalesce("_before", F.lit(0)) + F.col("_local")
-    return local.join(before, same, "left").select(*df.columns, F.coalesce(total, F.col("_before")).alias(name))
+    return _running(df, group, order, amount, name, bucket_rows, F.sum, lambda a, b: a + b, 0)
+
+
+def earlier_max(
+    df: DataFrame, group: list[str], order: list[str], amount: str, name: str, bucket_rows: int = PART_ROWS
+) -> DataFrame:
+    """Add the greatest ``amount`` of the rows before in its group; null for the first."""
+    return _running(df, group, order, amount, name, bucket_rows, F.max, lambda a, b: F.greatest(a, b), -1)

@@ -196,13 +196,13 @@ def json_to_xml(spark, sf):
 
 @query(
     "json_to_csv",
-    "SELECT p_partkey, concat('\"name\",\"size\",\"more\"', chr(10), '\"', p_name, '\",\"', p_size, '\",\"\"', chr(10), "
-    "'\"a \"\"b\"\"\",\"\",\"[1,2]\"') AS csv FROM part",
+    "SELECT p_partkey, concat('\"size\",\"name\",\"more\"', chr(10), '\"', p_size, '\",\"', p_name, '\",\"\"', chr(10), "
+    "'\"\",\"a \"\"b\"\"\",\"[1,2]\"') AS csv FROM part",
 )
 def json_to_csv(spark, sf):
     allow_duplicate_keys(spark)
     body = F.expr(
-        "concat('[{\"name\":\"', p_name, '\",\"size\":', p_size, '}, 5, {\"name\":\"a \\\\\"b\\\\\"\",\"size\":null,\"more\":[1,2]}]')"
+        "concat('[{\"size\":', p_size, ',\"name\":\"', p_name, '\"}, 5, {\"name\":\"a \\\\\"b\\\\\"\",\"size\":null,\"more\":[1,2]}]')"
     )
     return table(spark, sf, "part").select("p_partkey", nested.json_to_csv(body).alias("csv"))
 
@@ -387,22 +387,30 @@ def scalar_pack_documents(spark, sf):
 
 
 _NUMERIC_TEXT = (
-    "CASE o_orderkey % 9 WHEN 0 THEN concat('0x', printf('%x', o_custkey)) WHEN 1 THEN concat(' ', o_custkey, '.5 ') "
-    "WHEN 2 THEN concat(o_custkey, 'e1') WHEN 3 THEN 'NaN' WHEN 4 THEN 'Infinity' WHEN 5 THEN concat(o_custkey, 'd') "
+    "CASE o_orderkey % 10 WHEN 0 THEN concat('0x', printf('%x', o_custkey)) WHEN 1 THEN concat(' ', o_custkey, '.5 ') "
+    "WHEN 9 THEN concat('0x20', printf('%x', 1099511627776 + o_orderkey * 37 + o_custkey), '181') WHEN 2 THEN concat(o_custkey, 'e1') WHEN 3 THEN 'NaN' WHEN 4 THEN 'Infinity' WHEN 5 THEN concat(o_custkey, 'd') "
     "WHEN 6 THEN concat('-', o_custkey) WHEN 7 THEN '' ELSE concat('.', o_custkey) END"
 )
 
 
 @query(
     "scalar_pack_orders",
-    f"SELECT o_orderkey, t AS spelled, CASE WHEN o_orderkey % 9 = 0 THEN CAST(o_custkey AS DOUBLE) "
-    "WHEN o_orderkey % 9 IN (3, 4, 5, 7) THEN NULL ELSE CAST(trim(t) AS DOUBLE) END AS number, "
-    "concat('brand#', lpad(CAST(length(CAST(o_custkey AS VARCHAR)) AS VARCHAR), 4, '0'), o_custkey, 'x') AS natural "
-    f"FROM (SELECT *, {_NUMERIC_TEXT} AS t FROM orders WHERE o_custkey > 0) o",
+    # The value of a long literal lies between doubles: a whole number of 62 bits, rounded once by the cast.
+    f"SELECT o_orderkey, t AS spelled, CASE WHEN o_orderkey % 10 = 0 THEN CAST(o_custkey AS DOUBLE) "
+    "WHEN o_orderkey % 10 = 9 THEN CAST(2305843009213693952 + "
+    "CAST(1099511627776 + o_orderkey * 37 + o_custkey AS BIGINT) * 4096 + 385 AS DOUBLE) "
+    "WHEN o_orderkey % 10 IN (3, 4, 5, 7) THEN NULL ELSE CAST(trim(t) AS DOUBLE) END AS number, "
+    "concat('brand#', lpad(CAST(length(n) AS VARCHAR), 10, '0'), n, 'x') AS natural "
+    f"FROM (SELECT *, {_NUMERIC_TEXT} AS t, CASE WHEN o_custkey = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS n FROM orders) o",
 )
 def scalar_pack_orders(spark, sf):
-    orders = table(spark, sf, "orders").where("o_custkey > 0")
-    spelled = F.expr(_NUMERIC_TEXT.replace("printf('%x', o_custkey)", "lower(hex(o_custkey))"))
+    orders = table(spark, sf, "orders")
+    spelled = F.expr(
+        _NUMERIC_TEXT.replace("printf('%x', o_custkey)", "lower(hex(o_custkey))").replace(
+            "printf('%x', 1099511627776 + o_orderkey * 37 + o_custkey)",
+            "lower(hex(1099511627776 + o_orderkey * 37 + o_custkey))",
+        )
+    )
     return orders.withColumn("spelled", spelled).select(
         "o_orderkey",
         "spelled",

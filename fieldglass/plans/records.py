@@ -106,7 +106,8 @@ def trace_docs(spark, sf):
         "{\"name\":\"', event_type, '\",\"ph\":\"B\",\"pid\":1,\"tid\":', user_id % 4, ',\"ts\":', event_id * 10, '},', "
         "if(event_id % 2 = 0, concat('{\"name\":\"in\",\"ph\":\"B\",\"pid\":1,\"tid\":', user_id % 4, ',\"ts\":', event_id * 10 + 2, '},"
         "{\"name\":\"in\",\"ph\":\"E\",\"pid\":1,\"tid\":', user_id % 4, ',\"ts\":', event_id * 10 + 4, '},'), ''), "
-        "'{\"ph\":\"E\",\"pid\":1,\"tid\":', user_id % 4, ',\"ts\":', event_id * 10 + 7, '}')"
+        "'{\"ph\":\"E\",\"pid\":1,\"tid\":', user_id % 4, ',\"ts\":', event_id * 10 + 7, '}', "
+        "if(event_id % 5 = 0, concat(',{\"name\":\"loose\",\"ph\":\"X\",\"ts\":', event_id * 3, ',\"dur\":', user_id % 90, '}'), ''))"
     )
     return _event_docs(spark, sf, item, '{"traceEvents":[', "]}")
 
@@ -114,13 +115,13 @@ def trace_docs(spark, sf):
 _SPANS = (
     "(SELECT event_id // 100 AS doc_id, 1 AS pid, 9 AS tid, 'x' AS name, event_id * 10 AS start, event_id % 9 AS dur FROM events "
     "UNION ALL SELECT event_id // 100, 1, user_id % 4, event_type, event_id * 10, 7 FROM events "
-    "UNION ALL SELECT event_id // 100, 1, user_id % 4, 'in', event_id * 10 + 2, 2 FROM events WHERE event_id % 2 = 0) s"
+    "UNION ALL SELECT event_id // 100, 1, user_id % 4, 'in', event_id * 10 + 2, 2 FROM events WHERE event_id % 2 = 0 "
+    "UNION ALL SELECT event_id // 100, NULL, NULL, 'loose', event_id * 3, user_id % 90 FROM events WHERE event_id % 5 = 0) s"
 )
 
 
-def _spans(spark, sf, **options):
-    events = web.trace_events(trace_docs(spark, sf), KEYS, F.col("body"))
-    return web.trace_spans(events, KEYS, **options)
+def _spans(spark, sf):
+    return web.trace_document_spans(trace_docs(spark, sf), KEYS, F.col("body"))
 
 
 @query("trace_spans", f"SELECT doc_id, pid, tid, name, CAST(start AS DOUBLE) AS start, CAST(dur AS DOUBLE) AS dur FROM {_SPANS}")
@@ -130,13 +131,30 @@ def trace_spans(spark, sf):
 
 @query(
     "trace_tracks",
-    "SELECT doc_id, pid, tid, count(*) AS spans, CAST(min(start) AS DOUBLE) AS first, CAST(max(start + dur) - min(start) AS DOUBLE) AS extent, "
-    f"CAST(sum(dur) AS DOUBLE) AS busy FROM {_SPANS} GROUP BY 1, 2, 3",
+    "WITH s AS (SELECT *, start + dur AS stop, max(start + dur) OVER (PARTITION BY doc_id, pid, tid ORDER BY start, start + dur, name "
+    f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM {_SPANS}), "
+    # An island begins where nothing before reaches the start.
+    "i AS (SELECT *, sum(CASE WHEN reached IS NULL OR reached < start THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pid, tid "
+    "ORDER BY start, stop, name ROWS UNBOUNDED PRECEDING) AS island FROM s), "
+    "m AS (SELECT doc_id, pid, tid, count(*) AS spans, min(start) AS first, max(stop) AS last, max(stop) - min(start) AS own FROM i "
+    "GROUP BY doc_id, pid, tid, island) "
+    "SELECT doc_id, pid, tid, CAST(sum(spans) AS BIGINT) AS spans, CAST(min(first) AS DOUBLE) AS first, "
+    "CAST(max(last) - min(first) AS DOUBLE) AS extent, CAST(sum(own) AS DOUBLE) AS busy FROM m GROUP BY 1, 2, 3",
 )
 def trace_tracks(spark, sf):
     return web.trace_tracks(_spans(spark, sf), KEYS)
 
 
+@query(
+    "trace_top_events",
+    "SELECT doc_id, name, spans, total, longest, CAST(rank AS INTEGER) AS rank FROM (SELECT doc_id, name, count(*) AS spans, "
+    "CAST(sum(dur) AS DOUBLE) AS total, CAST(max(dur) AS DOUBLE) AS longest, "
+    f"row_number() OVER (PARTITION BY doc_id ORDER BY sum(dur) DESC, name) AS rank FROM {_SPANS} GROUP BY 1, 2) t WHERE rank <= 3",
+)
+def trace_top_events(spark, sf):
+    return web.trace_top_events(_spans(spark, sf), KEYS, 3)
+
+
 # -------------------------------------------------------------------- reports
 
 
@@ -180,13 +198,19 @@ def junit_docs(spark, sf):
         "element_at(array('', '<failure message=\"f\">trace</failure>', '<skipped/>', '<error message=\"e\"/>', ''), cast(event_id % 5 + 1 as int)), "
         "'</testcase>')"
     )
-    docs = _event_docs(spark, sf, item, '<testsuite name="s">', "</testsuite>", "")
+    # A third of the cases lie in an inner suite, a third in a suite inside that.
+    nested = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit('<testsuite name="in">'), item, F.lit("</testsuite>"))).when(
+        F.col("event_id") % 3 == 2,
+        F.concat(F.lit("<testsuite name='mid &amp; low'><properties/><testsuite name=\"deep\">"), item, F.lit("</testsuite></testsuite>")),
+    )
+    docs = _event_docs(spark, sf, F.coalesce(nested, item), '<testsuite name="s">', "</testsuite>", "")
     wrapped = F.concat(F.lit('<?xml version="1.0"?><testsuites>'), "body", F.lit("</testsuites>"))
     return docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, wrapped).otherwise(F.col("body")).alias("body"))
 
 
 _JUNIT = (
-    "(SELECT event_id // 100 AS doc_id, 's' AS suite, event_type AS class_name, concat('t', event_id) AS name, value AS time, "
+    "(SELECT event_id // 100 AS doc_id, ['s', 'in', 'deep'][event_id % 3 + 1] AS suite, "
+    "['/s', '/s/in', '/s/mid & low/deep'][event_id % 3 + 1] AS suite_path, event_type AS class_name, concat('t', event_id) AS name, value AS time, "
     "['passed', 'failure', 'skipped', 'error', 'passed'][event_id % 5 + 1] AS outcome FROM events) j"
 )
 
@@ -202,9 +226,9 @@ def junit_cases(spark, sf):
 
 @query(
     "junit_totals",
-    "SELECT doc_id, suite, count(*) AS cases, "
+    "SELECT doc_id, suite, suite_path, count(*) AS cases, "
     + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in ("passed", "failure", "error", "skipped"))
-    + f", round(sum(time), 4) AS time FROM {_JUNIT} GROUP BY 1, 2",
+    + f", round(sum(time), 4) AS time FROM {_JUNIT} GROUP BY 1, 2, 3",
 )
 def junit_totals(spark, sf):
     return reports.junit_totals(_junit(spark, sf), KEYS).withColumn("time", F.round("time", 4))
@@ -218,18 +242,24 @@ def junit_filter(spark, sf):
 def sbom_docs(spark, sf):
     component = F.expr(
         "concat('{\"bom-ref\":\"p', p_partkey, '\",\"name\":\"', p_name, '\",\"version\":\"', p_size, '\",\"purl\":\"pkg:generic/', p_partkey, "
-        "'\",\"licenses\":[{\"license\":{\"', if(p_partkey % 2 = 0, 'id', 'name'), '\":\"', p_brand, '\"}}]}')"
+        "'\",\"licenses\":[{\"license\":{\"', if(p_partkey % 2 = 0, 'id', 'name'), '\":\"', p_brand, '\"}}],"
+        "\"components\":[{\"bom-ref\":\"q', p_partkey, '\",\"name\":\"inner\",\"components\":[{\"bom-ref\":\"r', p_partkey, '\",\"name\":\"innermost\"}]}]}')"
     )
-    edge = F.expr("concat('{\"ref\":\"p', p_partkey, '\",\"dependsOn\":[\"p', p_partkey + 1, '\"]}')")
+    edge = F.expr("concat('{\"ref\":\"p', p_partkey, '\",\"dependsOn\":[\"p', p_partkey + 1, '\",\"r', p_partkey + 1, '\"]}')")
     parts = _part_docs(spark, sf, component, '{"bomFormat":"CycloneDX","components":[', "],")
     edges = _part_docs(spark, sf, edge, '"dependencies":[', "]}").withColumnRenamed("body", "edges")
     return parts.join(edges, "doc_id").select("doc_id", F.concat("body", "edges").alias("body"))
 
 
+_SBOM_PLACE = "concat('/components/', row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1"
+
+
 @query(
     "sbom_components",
-    "SELECT p_partkey // 20 AS doc_id, concat('p', p_partkey) AS ref, p_name AS name, CAST(p_size AS VARCHAR) AS version, "
-    "concat('pkg:generic/', p_partkey) AS purl, p_brand AS licences FROM part",
+    f"SELECT p_partkey // 20 AS doc_id, {_SBOM_PLACE}) AS path, concat('p', p_partkey) AS ref, p_name AS name, CAST(p_size AS VARCHAR) AS version, "
+    "concat('pkg:generic/', p_partkey) AS purl, p_brand AS licences FROM part "
+    f"UNION ALL SELECT p_partkey // 20, {_SBOM_PLACE}, '/components/0'), concat('q', p_partkey), 'inner', NULL, NULL, NULL FROM part "
+    f"UNION ALL SELECT p_partkey // 20, {_SBOM_PLACE}, '/components/0/components/0'), concat('r', p_partkey), 'innermost', NULL, NULL, NULL FROM part",
 )
 def sbom_components(spark, sf):
     parts = reports.sbom_components(sbom_docs(spark, sf), KEYS, F.col("body"))
@@ -243,7 +273,7 @@ def sbom_licences(spark, sf):
 
 @query(
     "sbom_dependencies",
-    "SELECT p_partkey // 20 AS doc_id, concat('p', p_partkey) AS ref, concat('p', p_partkey + 1) AS depends_on FROM part",
+    "SELECT p_partkey // 20 AS doc_id, concat('p', p_partkey) AS ref, concat(k, p_partkey + 1) AS depends_on FROM part, (VALUES ('p'), ('r')) t(k)",
 )
 def sbom_dependencies(spark, sf):
     return reports.sbom_dependencies(sbom_docs(spark, sf), KEYS, F.col("body"))
@@ -251,7 +281,7 @@ def sbom_dependencies(spark, sf):
 
 @query(
     "sbom_dangling",
-    "SELECT p_partkey // 20 AS doc_id, concat('p', p_partkey) AS ref, concat('p', p_partkey + 1) AS depends_on FROM part a "
+    "SELECT p_partkey // 20 AS doc_id, concat('p', p_partkey) AS ref, concat(k, p_partkey + 1) AS depends_on FROM part a, (VALUES ('p'), ('r')) t(k) "
     "WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey = a.p_partkey + 1 AND b.p_partkey // 20 = a.p_partkey // 20)",
 )
 def sbom_dangling(spark, sf):
@@ -310,17 +340,21 @@ def kml_points(spark, sf):
 @query(
     "geojson_features",
     "SELECT c_custkey // 50 AS doc_id, CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) - 1 AS INTEGER) AS idx, "
-    "CAST(c_custkey AS VARCHAR) AS id, ['Point', 'LineString', 'Polygon'][c_custkey % 3 + 1] AS geometry_type, "
+    "CAST(c_custkey AS VARCHAR) AS id, ['Point', 'LineString', 'Polygon', 'GeometryCollection'][c_custkey % 4 + 1] AS geometry_type, "
     "concat('{\"seg\":\"', c_mktsegment, '\"}') AS properties, CAST(c_nationkey AS DOUBLE) AS west, CAST(c_custkey % 90 AS DOUBLE) AS south, "
-    "CAST(c_nationkey + CASE c_custkey % 3 WHEN 0 THEN 0 ELSE 2 END AS DOUBLE) AS east, "
-    "CAST(c_custkey % 90 + CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS DOUBLE) AS north, "
-    "[1, 2, 4][c_custkey % 3 + 1] AS n_vertices FROM customer",
+    "CAST(c_nationkey + CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 3 THEN 9 ELSE 2 END AS DOUBLE) AS east, "
+    "CAST(c_custkey % 90 + CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS DOUBLE) AS north, "
+    "[1, 2, 4, 3][c_custkey % 4 + 1] AS n_vertices FROM customer",
 )
 def geojson_features(spark, sf):
     allow_duplicate_keys(spark)
     item = F.expr(
         "concat('{\"type\":\"Feature\",\"id\":', c_custkey, ',\"properties\":{\"seg\":\"', c_mktsegment, '\"},\"geometry\":{\"type\":\"', "
-        "element_at(array('Point', 'LineString', 'Polygon'), cast(c_custkey % 3 + 1 as int)), '\",\"coordinates\":', case c_custkey % 3 "
+        "element_at(array('Point', 'LineString', 'Polygon', 'GeometryCollection'), cast(c_custkey % 4 + 1 as int)), "
+        "if(c_custkey % 4 = 3, '\",\"geometries\":', '\",\"coordinates\":'), case c_custkey % 4 "
+        "when 3 then concat('[{\"type\":\"Point\",\"coordinates\":[', c_nationkey, ',', c_custkey % 90, ']},{\"type\":\"GeometryCollection\",\"geometries\":"
+        "[{\"type\":\"GeometryCollection\",\"geometries\":[{\"type\":\"LineString\",\"coordinates\":[[', c_nationkey + 9, ',', c_custkey % 90 + 3, '],[', "
+        "c_nationkey + 1, ',', c_custkey % 90 + 1, ']]}]}]}]') "
         "when 0 then concat('[', c_nationkey, ',', c_custkey % 90, ']') "
         "when 1 then concat('[[', c_nationkey, ',', c_custkey % 90, '],[', c_nationkey + 2, ',', c_custkey % 90 + 1, ']]') "
         "else concat('[[[', c_nationkey, ',', c_custkey % 90, '],[', c_nationkey + 2, ',', c_custkey % 90, '],[', c_nationkey + 2, ',', "
@@ -478,6 +512,41 @@ def dbc_warnings(spark, sf):
     return engineering.dbc_warnings(_dbc(spark, sf), KEYS)
 
 
+@query(
+    "dbc_nodes",
+    "SELECT DISTINCT p_partkey // 20 AS doc_id, idx, node, 2 AS line FROM part, (VALUES (0, 'Pump'), (1, 'Valve'), (2, 'Probe'), (3, 'Relay')) t(idx, node)",
+)
+def dbc_nodes(spark, sf):
+    return engineering.dbc_nodes(_dbc(spark, sf), KEYS)
+
+
+def _valued_dbc(spark, sf):
+    """Every third state has a second value table, which replaces the first."""
+    line = F.expr(
+        "concat('BO_ ', p_partkey, ' Frame: 8 Pump\\n SG_ State : 8|8@1+ (1,0) [0|3] \"\" Probe\\nVAL_ ', p_partkey, ' State 0 \"Off\" 1 \"On\";', "
+        "if(p_partkey % 3 = 0, concat('\\nVAL_ ', p_partkey, ' State 2 \"', p_brand, '\" 0 \"Stop\";'), ''))"
+    )
+    docs = _part_docs(spark, sf, line, 'VERSION "1"\nVERSION "7.2"\nBS_: 500,1,2\n', "\n", "\n")
+    return engineering.dbc_lines(docs, KEYS, "body")
+
+
+@query(
+    "dbc_signal_values",
+    "SELECT p_partkey // 20 AS doc_id, p_partkey AS message_id, 'State' AS signal, CASE WHEN p_partkey % 3 = 0 THEN concat('2=', p_brand, ',0=Stop') "
+    "ELSE '0=Off,1=On' END AS labels FROM part",
+)
+def dbc_signal_values(spark, sf):
+    lines = _valued_dbc(spark, sf)
+    found = engineering.dbc_signal_values(engineering.dbc_signals(lines, KEYS), lines, KEYS)
+    labels = F.array_join(F.transform("values", lambda e: F.concat_ws("=", e["value"].cast("string"), e["label"])), ",")
+    return found.select("doc_id", "message_id", "signal", labels.alias("labels"))
+
+
+@query("dbc_header", "SELECT DISTINCT p_partkey // 20 AS doc_id, '7.2' AS version, '500,1,2' AS bus FROM part")
+def dbc_header(spark, sf):
+    return engineering.dbc_header(_valued_dbc(spark, sf), KEYS)
+
+
 @query("dbc_filter", "SELECT p_partkey // 20 AS doc_id, p_partkey AS message_id FROM part WHERE p_partkey % 2 = 1 AND contains(p_name, 'ring')")
 def dbc_filter(spark, sf):
     lines = _dbc(spark, sf)
@@ -521,7 +590,7 @@ def step_entities(spark, sf):
 
 def _step_docs(spark, sf):
     line = F.expr("concat('#', p_partkey, ' = ', lower(replace(p_type, ' ', '_')), '(1,2);')")
-    head = "HEADER;\nFILE_NAME('bracket',$,('a','b'),('works'),'v3','cad','none');\nFILE_SCHEMA(('CONFIG_DESIGN'));\nENDSEC;\n"
+    head = "HEADER;\nFILE_NAME('a;b(1) it''s',$,('a','b;'),('works'),'v3','cad','none');\nFILE_SCHEMA(('CONFIG_DESIGN','AP214'));\nENDSEC;\n"
     return _part_docs(spark, sf, line, head, "\nENDSEC;", "\n")
 
 
@@ -533,7 +602,11 @@ def step_top_kinds(spark, sf):
     return profile.top_kinds(engineering.step_entities(_step_docs(spark, sf), KEYS, "body"), F.col("kind"))
 
 
-@query("step_header", "SELECT DISTINCT p_partkey // 20 AS doc_id, 'bracket' AS name, NULL::VARCHAR AS timestamp, 'CONFIG_DESIGN' AS schema FROM part")
+@query(
+    "step_header",
+    "SELECT DISTINCT p_partkey // 20 AS doc_id, 'a;b(1) it''s' AS name, NULL::VARCHAR AS timestamp, 'a, b;' AS author, 'works' AS organization, "
+    "'v3' AS preprocessor, 'cad' AS system, 'none' AS authorization, 'CONFIG_DESIGN, AP214' AS schema FROM part",
+)
 def step_header(spark, sf):
     return engineering.step_header(_step_docs(spark, sf), KEYS, F.col("body"))
 
@@ -542,13 +615,19 @@ def _arxml_docs(spark, sf):
     item = F.expr(
         "concat('<FRAME UUID=\"1\"><SHORT-NAME>F', p_partkey, '&amp;', p_brand, '</SHORT-NAME></FRAME><FRAME-REF DEST=\"FRAME\">/P/F', p_partkey, '</FRAME-REF>')"
     )
-    return _part_docs(spark, sf, item, '<AUTOSAR xmlns="urn:x"><AR-PACKAGE><SHORT-NAME>Pkg</SHORT-NAME>', "</AR-PACKAGE></AUTOSAR>", "")
+    head = (
+        '<AUTOSAR xmlns="urn:x"><!-- <AR-PACKAGE> --><AR-PACKAGES><AR-PACKAGE><SHORT-NAME>Pkg</SHORT-NAME><AR-PACKAGES><AR-PACKAGE UUID="a>b">'
+        "<SHORT-NAME>In</SHORT-NAME><AR-PACKAGES><AR-PACKAGE><SHORT-NAME>Deep</SHORT-NAME><ELEMENTS>"
+    )
+    tail = "</ELEMENTS></AR-PACKAGE></AR-PACKAGES></AR-PACKAGE></AR-PACKAGES></AR-PACKAGE></AR-PACKAGES></AUTOSAR>"
+    return _part_docs(spark, sf, item, head, tail, "")
 
 
 @query(
     "arxml_elements",
-    "SELECT p_partkey // 20 AS doc_id, 'FRAME' AS kind, concat('F', p_partkey, '&', p_brand) AS name FROM part UNION ALL "
-    "SELECT DISTINCT p_partkey // 20, 'AR-PACKAGE', 'Pkg' FROM part",
+    "SELECT p_partkey // 20 AS doc_id, 'FRAME' AS kind, concat('F', p_partkey, '&', p_brand) AS name, "
+    "concat('/Pkg/In/Deep/F', p_partkey, '&', p_brand) AS path FROM part UNION ALL "
+    "SELECT DISTINCT p_partkey // 20, 'AR-PACKAGE', n, p FROM part, (VALUES ('Pkg', '/Pkg'), ('In', '/Pkg/In'), ('Deep', '/Pkg/In/Deep')) t(n, p)",
 )
 def arxml_elements(spark, sf):
     return engineering.arxml_elements(_arxml_docs(spark, sf), KEYS, F.col("body"))
@@ -567,7 +646,10 @@ def _reqif_docs(spark, sf):
         "concat('<', element_at(array('SPEC-OBJECT', 'SPECIFICATION', 'SPEC-RELATION', 'DATATYPE-DEFINITION-STRING', 'SPEC-OBJECT-TYPE'), "
         "cast(p_partkey % 5 + 1 as int)), ' IDENTIFIER=\"i', p_partkey, '\"', if(p_partkey % 2 = 0, concat(' LONG-NAME=\"', p_name, '\"'), ''), '/>')"
     )
-    head = '<REQ-IF-HEADER IDENTIFIER="h"><TITLE>Spec</TITLE><SOURCE-TOOL-ID>tool</SOURCE-TOOL-ID></REQ-IF-HEADER>'
+    head = (
+        '<REQ-IF-HEADER IDENTIFIER="h"><COMMENT>of &lt;all&gt; parts</COMMENT><REQ-IF-TOOL-ID>maker</REQ-IF-TOOL-ID><TITLE>Spec</TITLE>'
+        "<SOURCE-TOOL-ID>tool</SOURCE-TOOL-ID></REQ-IF-HEADER>"
+    )
     return _part_docs(spark, sf, item, head, "", "")
 
 
@@ -582,7 +664,7 @@ def reqif_elements(spark, sf):
 
 @query(
     "reqif_header",
-    "SELECT DISTINCT p_partkey // 20 AS doc_id, 'Spec' AS title, 'h' AS identifier, 'tool' AS source_tool, '' AS created FROM part",
+    "SELECT DISTINCT p_partkey // 20 AS doc_id, 'Spec' AS title, 'h' AS identifier, 'of <all> parts' AS comment, 'maker' AS tool, 'tool' AS source_tool, '' AS created FROM part",
 )
 def reqif_header(spark, sf):
     return engineering.reqif_header(_reqif_docs(spark, sf), KEYS, F.col("body"))

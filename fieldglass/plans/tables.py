@@ -410,9 +410,9 @@ def page_slice_search(spark, sf):
 
 @query("page_slice_deep", page_sql("11"))
 def page_slice_deep(spark, sf):
-    """A page cut by global positions, as one far from both ends is."""
+    """A page of an order cut into many parts, as that of a large table is."""
     df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return ordering.page_slice(df, _order_keys(), 11, top_k_rows=0)
+    return ordering.page_slice(df, _order_keys(), 11, part_rows=1000)
 
 
 @query(

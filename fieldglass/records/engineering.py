@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions.cells import trimmed
 from fieldglass.functions.formatting import unescape_xml
+from fieldglass.functions.xml_walk import walk as walk_xml
 from fieldglass.sources.lines import document_lines
 
 def _word(i: int | Column) -> Column:
@@ -222,6 +223,38 @@ def dbc_values(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def dbc_nodes(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The nodes of the network in order."""
+    names = F.filter(F.slice("_t", F.lit(3), F.size("_t")), lambda t: t.rlike("^[A-Za-z_]"))
+    return lines.where(_reads((0, "BU_"), (1, ":"))).select(
+        *keys, F.posexplode(names).alias("idx", "node"), F.col("line_no").alias("line")
+    )
+
+
+def dbc_header(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Version and bus line of each document; of several the last counts."""
+    version = F.when(_reads((0, "VERSION"), (1, '"')), _plain(_token(1)))
+    bus = F.when(_reads((0, "BS_"), (1, ":")), trimmed(F.regexp_replace("raw", r"^BS_\s*:", "")))
+    last = lambda c, name: F.max_by(c, F.when(c.isNotNull(), F.col("line_no"))).alias(name)
+    return lines.groupBy(*keys).agg(last(version, "version"), last(bus, "bus"))
+
+
+def dbc_signal_values(signals: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The signals with the entries of their value table, in its order; of several tables the last counts."""
+    pairs = F.sequence(F.lit(3), F.size("_t") - 3, F.lit(2))
+    entries = F.transform(pairs, lambda i: F.struct(_token(i).cast("long").alias("value"), _token(i + 1).alias("label")))
+    named = F.transform(
+        F.filter(entries, lambda e: e["label"].startswith('"')),
+        lambda e: F.struct(e["value"].alias("value"), _plain(e["label"]).alias("label")),
+    )
+    tables = (
+        lines.where(_is_values())
+        .groupBy(*keys, _token(1).cast("long").alias("message_id"), _token(2).alias("signal"))
+        .agg(F.max_by(named, "line_no").alias("values"))
+    )
+    return signals.join(tables, [*keys, "message_id", "signal"], "left")
+
+
 def dbc_warnings(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Value tables without their signal, and signals before any message."""
     signals = lines.where(_is_signal()).select(*keys, "message_id", _token(1).alias("signal"), F.col("line_no").alias("line"))
@@ -299,40 +332,41 @@ def step_entities(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def step_header(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """File name, time and schemas from the header section."""
-    section = lambda word: F.regexp_extract(text, rf"(?is){word}\s*\(([^;]*)\);", 1)
-
-    def quoted(word: str) -> Column:
-        # Arguments are texts, omitted ("$") or lists; an omitted one keeps its place.
-        found = F.regexp_extract_all(section(word), F.lit(r"'((?:[^']|'')*+)'|\$"), 0)
-        return F.transform(found, lambda v: F.when(v != "$", F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'"))))
+    """The header section: name, time, authors, organisations, the three further fields of the name, and schemas.
 
-    names = quoted("FILE_NAME")
-    return df.select(
-        *keys,
-        F.get(names, F.lit(0)).alias("name"),
-        F.get(names, F.lit(1)).alias("timestamp"),
-        F.array_join(quoted("FILE_SCHEMA"), ", ").alias("schema"),
+    Texts may hold any character, semicolons and brackets too; several authors,
+    organisations or schemas are joined by commas. An omitted argument (``$``) is null.
+    """
+    quoted = r"'(?:[^']|'')*+'"
+    section = lambda word: F.regexp_extract(text, rf"(?is)\b{word}\s*\(((?:{quoted}|[^';])*+)(?<=\))\s*;", 1)
+    plain = lambda v: F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit("''"), F.lit("'"))
+
+    def arguments(word: str) -> Column:
+        """Each argument as its texts; null where it is omitted."""
+        found = F.regexp_extract_all(section(word), F.lit(rf"\((?:{quoted}|[^'()])*+\)|{quoted}|\$"), F.lit(0))
+        texts = lambda v: F.transform(F.regexp_extract_all(v, F.lit(quoted), F.lit(0)), plain)
+        return F.transform(found, lambda v: F.when(v != "$", F.array_join(texts(v), ", ")))
+
+    given = df.select(*keys, arguments("FILE_NAME").alias("_name"), arguments("FILE_SCHEMA").alias("_schema"))
+    fields = ("name", "timestamp", "author", "organization", "preprocessor", "system", "authorization")
+    return given.select(
+        *keys, *[F.get("_name", F.lit(i)).alias(f) for i, f in enumerate(fields)], F.get("_schema", F.lit(0)).alias("schema")
     )
 
 
-def _tag_texts(text: Column, tag: str, child: str) -> Column:
-    """Text of the first ``child`` inside each ``tag`` that has one."""
-    bodies = F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), 1)
-    names = F.transform(bodies, lambda b: F.regexp_extract(b, rf"(?s)<{child}\b[^>]*>(.*?)</{child}>", 1))
-    return F.filter(F.transform(names, lambda n: unescape_xml(trimmed(n))), lambda n: n != "")
-
-
 def arxml_elements(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """Packages and named elements with their short names."""
-    kinds = ["AR-PACKAGE", *ARXML_KINDS]
-    rows = F.flatten(F.array(*[_named(text, k) for k in kinds]))
-    return df.select(*keys, F.inline(rows))
-
+    """Packages and named elements with their short names.
 
-def _named(text: Column, kind: str) -> Column:
-    return F.transform(
-        _tag_texts(text, kind, "SHORT-NAME"), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
+    ``path`` joins the short names of the elements around, packages inside packages
+    included, and the element's own, as references spell it.
+    """
+    kinds = ["AR-PACKAGE", *ARXML_KINDS]
+    named = F.filter(walk_xml(text, name_tag="SHORT-NAME"), lambda e: e["tag"].isin(kinds) & e["name"].isNotNull())
+    return df.select(*keys, F.explode(named).alias("_e")).select(
+        *keys,
+        F.col("_e.tag").alias("kind"),
+        F.col("_e.name").alias("name"),
+        F.concat("_e.base", F.lit("/"), "_e.name").alias("path"),
     )
 
 
@@ -369,13 +403,15 @@ def reqif_elements(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
 
 
 def reqif_header(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """Title, identifier and source tool of the header."""
+    """Title, identifier, tools, comment and creation time of the header."""
     head = F.regexp_extract(text, r"(?is)(<REQ-IF-HEADER\b[^>]*>.*?</REQ-IF-HEADER>)", 1)
     tag = lambda name: unescape_xml(trimmed(F.regexp_extract(head, rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1)))
     return df.select(
         *keys,
         tag("TITLE").alias("title"),
         F.regexp_extract(head, r'(?i)\bIDENTIFIER="([^"]*)"', 1).alias("identifier"),
+        tag("COMMENT").alias("comment"),
+        tag("REQ-IF-TOOL-ID").alias("tool"),
         tag("SOURCE-TOOL-ID").alias("source_tool"),
         tag("CREATION-TIME").alias("created"),
     )

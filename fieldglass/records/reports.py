@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldglass.functions.binding import let
 from fieldglass.functions.json_text import strict_json
+from fieldglass.functions.json_walk import walk as walk_json
+from fieldglass.functions.xml_walk import attribute
+from fieldglass.functions.xml_walk import walk as walk_xml
 from fieldglass.operators.ordering import BUCKET_ROWS, previous_in_group
 
 SARIF_SCHEMA = (
@@ -18,16 +22,16 @@ SARIF_SCHEMA = (
 def sarif_results(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """One row per result; the level defaults to ``warning``, the place is the first location."""
     runs = F.from_json(text, SARIF_SCHEMA)["runs"]
-    results = df.select(*keys, F.explode(runs).alias("r")).select(
-        *keys, F.col("r.tool.driver.name").alias("tool"), F.explode("r.results").alias("x")
+    results = df.select(*keys, F.explode(runs).alias("_r")).select(
+        *keys, F.col("_r.tool.driver.name").alias("tool"), F.explode("_r.results").alias("_x")
     )
-    place = F.get(F.col("x.locations"), F.lit(0))["physicalLocation"]
+    place = F.get(F.col("_x.locations"), F.lit(0))["physicalLocation"]
     return results.select(
         *keys,
         "tool",
-        F.col("x.ruleId").alias("rule"),
-        F.coalesce("x.level", F.lit("warning")).alias("level"),
-        F.col("x.message.text").alias("message"),
+        F.col("_x.ruleId").alias("rule"),
+        F.coalesce("_x.level", F.lit("warning")).alias("level"),
+        F.col("_x.message.text").alias("message"),
         place["artifactLocation"]["uri"].alias("uri"),
         place["region"]["startLine"].alias("line"),
     )
@@ -41,70 +45,79 @@ def facet_filter(df: DataFrame, **facets: str | None) -> DataFrame:
     return df
 
 
-JUNIT_SCHEMA = (
-    "testsuite array<struct<_name: string, testcase: array<struct<_classname: string, _name: string, _time: double, "
-    "failure: array<struct<_message: string, _VALUE: string>>, error: array<struct<_message: string, _VALUE: string>>, "
-    "skipped: array<struct<_message: string, _VALUE: string>>>>>>"
-)
-
-
 def junit_cases(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """One row per test case with its outcome: error, failure, skipped or passed.
 
-    A report whose root is a single suite is wrapped, so both shapes parse
-    with one schema.
+    Suites may lie inside suites: ``suite`` names the innermost one, ``suite_path`` all
+    of them from the outside in.
     """
-    body = F.regexp_replace(text, r"^\s*<\?[^>]*\?>\s*", "")
-    whole = F.when(F.ltrim(body).rlike(r"^<testsuite[\s>]"), F.concat(F.lit("<testsuites>"), body, F.lit("</testsuites>"))).otherwise(body)
-    suites = df.select(*keys, F.from_xml(whole, JUNIT_SCHEMA).alias("d")).select(*keys, F.explode("d.testsuite").alias("s"))
-    cases = suites.select(*keys, F.col("s._name").alias("suite"), F.explode("s.testcase").alias("c"))
-    found = lambda part: F.size(F.coalesce(F.col(f"c.{part}"), F.array())) > 0
-    return cases.select(
+    cases = F.filter(walk_xml(text, name_attribute="name"), lambda e: e["tag"] == "testcase")
+    rows = df.select(*keys, F.explode(cases).alias("_c"))
+    found = lambda part: F.array_contains("_c.children", part)
+    return rows.select(
         *keys,
-        "suite",
-        F.col("c._classname").alias("class_name"),
-        F.col("c._name").alias("name"),
-        F.col("c._time").alias("time"),
+        F.col("_c.parent_name").alias("suite"),
+        F.col("_c.base").alias("suite_path"),
+        attribute(F.col("_c.attributes"), "classname").alias("class_name"),
+        F.col("_c.name").alias("name"),
+        attribute(F.col("_c.attributes"), "time").try_cast("double").alias("time"),
         F.when(found("error"), "error").when(found("failure"), "failure").when(found("skipped"), "skipped").otherwise("passed").alias("outcome"),
     )
 
 
 def junit_totals(cases: DataFrame, keys: list[str]) -> DataFrame:
-    """Cases per outcome and total time per suite."""
+    """Cases per outcome and total time per suite; a suite's inner suites count for themselves."""
     by = lambda o: F.count_if(F.col("outcome") == o).alias(o)
-    return cases.groupBy(*keys, "suite").agg(
+    return cases.groupBy(*keys, "suite", "suite_path").agg(
         F.count(F.lit(1)).alias("cases"), by("passed"), by("failure"), by("error"), by("skipped"), F.sum("time").alias("time")
     )
 
 
-SBOM_SCHEMA = (
-    "components array<struct<`bom-ref`: string, name: string, version: string, purl: string, "
-    "licenses: array<struct<license: struct<id: string, name: string>, expression: string>>>>, "
-    "dependencies array<struct<ref: string, dependsOn: array<string>>>"
+SBOM_COMPONENT = (
+    "struct<`bom-ref`: string, name: string, version: string, purl: string, "
+    "licenses: array<struct<license: struct<id: string, name: string>, expression: string>>>"
 )
+SBOM_EDGES = "dependencies array<struct<ref: string, dependsOn: array<string>>>"
+#: Components lie in the document, in its metadata, and in each other.
+_COMPONENT_PATH = r"^(/metadata/component|/components/[0-9]+)(/components/[0-9]+)*$"
 
 
 def sbom_components(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """One row per component; licences as identifiers, else names, else expressions."""
-    parts = F.from_json(text, SBOM_SCHEMA)["components"]
+    """One row per component, however deep inside others; licences as identifiers, else names, else expressions.
+
+    ``path`` is the component's place in the document.
+    """
+
+    spots = F.filter(walk_json(text), lambda r: ~r["closes"] & (r["token"] == "{") & r["path"].rlike(_COMPONENT_PATH))
+
+    def components(both: Column) -> Column:
+        def component(r: Column) -> Column:
+            place = F.concat(F.lit("$"), F.replace(F.regexp_replace(r["path"], "/([0-9]+)", "[$1]"), F.lit("/"), F.lit(".")))
+            return F.struct(r["path"].alias("path"), F.try_variant_get(both["doc"], place, SBOM_COMPONENT).alias("c"))
+
+        return F.transform(both["spots"], component)
+
+    found = let(F.struct(strict_json(text).alias("doc"), spots.alias("spots")), components)
+    rows = df.select(*keys, F.inline(found).alias("_path", "_c"))
     licences = F.transform(
-        F.col("c.licenses"), lambda x: F.coalesce(x["license"]["id"], x["license"]["name"], x["expression"])
+        F.col("_c.licenses"), lambda x: F.coalesce(x["license"]["id"], x["license"]["name"], x["expression"])
     )
-    return df.select(*keys, F.explode(parts).alias("c")).select(
+    return rows.select(
         *keys,
-        F.col("c.bom-ref").alias("ref"),
-        F.col("c.name").alias("name"),
-        F.col("c.version").alias("version"),
-        F.col("c.purl").alias("purl"),
+        F.col("_path").alias("path"),
+        F.col("_c.bom-ref").alias("ref"),
+        F.col("_c.name").alias("name"),
+        F.col("_c.version").alias("version"),
+        F.col("_c.purl").alias("purl"),
         licences.alias("licences"),
     )
 
 
 def sbom_dependencies(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """One row per direct dependency edge."""
-    edges = F.from_json(text, SBOM_SCHEMA)["dependencies"]
-    return df.select(*keys, F.explode(edges).alias("d")).select(
-        *keys, F.col("d.ref").alias("ref"), F.explode("d.dependsOn").alias("depends_on")
+    edges = F.from_json(text, SBOM_EDGES)["dependencies"]
+    return df.select(*keys, F.explode(edges).alias("_d")).select(
+        *keys, F.col("_d.ref").alias("ref"), F.explode("_d.dependsOn").alias("depends_on")
     )
 
 
@@ -131,51 +144,65 @@ def _positions(geometry: Column) -> Column:
     )
 
 
+def _collected_positions(geometry: Column, collected: Column) -> Column:
+    """All positions of a geometry collection, through the collections inside it."""
+    inner = F.filter(
+        walk_json(F.when(collected, F.to_json(geometry))),
+        lambda r: ~r["closes"] & (r["token"] == "{") & r["path"].rlike("^(/geometries/[0-9]+)+$"),
+    )
+
+    def part(r: Column) -> Column:
+        place = F.concat(F.lit("$"), F.regexp_replace(r["path"], "/geometries/([0-9]+)", ".geometries[$1]"))
+        return let(F.try_variant_get(geometry, place, "variant"), _positions)
+
+    return F.flatten(F.filter(F.transform(inner, part), lambda p: p.isNotNull()))
+
+
 def geojson_features(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """One row per feature: id, geometry type, properties, bounding box, vertices.
 
     A bare feature or geometry counts as one feature. The parts of a geometry
-    collection are taken together, one level deep.
+    collection are taken together, collections inside it too.
     """
     doc = F.col("_doc")
     kind = F.try_variant_get(doc, "$.type", "string")
     many = F.try_variant_get(doc, "$.features", "array<variant>")
     features = F.when(kind == "FeatureCollection", many).otherwise(F.array(doc))
-    rows = df.select(*keys, strict_json(text).alias("_doc")).select(*keys, F.posexplode(features).alias("idx", "f"))
-    f = F.col("f")
+    rows = df.select(*keys, strict_json(text).alias("_doc")).select(*keys, F.posexplode(features).alias("idx", "_f"))
+    f = F.col("_f")
     is_feature = F.try_variant_get(f, "$.type", "string") == "Feature"
     geometry = F.when(is_feature, F.try_variant_get(f, "$.geometry", "variant")).otherwise(f)
-    located = rows.select(*keys, "idx", "f", is_feature.alias("_feature"), geometry.alias("g"))
-    parts = F.try_variant_get("g", "$.geometries", "array<variant>")
-    spots = F.coalesce(_positions(F.col("g")), F.flatten(F.transform(parts, _positions)))
-    placed = located.withColumn("p", spots)
-    axis = lambda i: F.transform("p", lambda v: F.get(v, F.lit(i)))
+    located = rows.select(*keys, "idx", "_f", is_feature.alias("_feature"), geometry.alias("_g"))
+    collected = F.try_variant_get("_g", "$.type", "string") == "GeometryCollection"
+    spots = F.when(collected, _collected_positions(F.col("_g"), collected)).otherwise(_positions(F.col("_g")))
+    placed = located.withColumn("_p", spots)
+    axis = lambda i: F.transform("_p", lambda v: F.get(v, F.lit(i)))
     return placed.select(
         *keys,
         "idx",
-        F.try_variant_get("f", "$.id", "string").alias("id"),
-        F.try_variant_get("g", "$.type", "string").alias("geometry_type"),
-        F.when(F.col("_feature"), F.to_json(F.try_variant_get("f", "$.properties", "variant"))).alias("properties"),
+        F.try_variant_get("_f", "$.id", "string").alias("id"),
+        F.try_variant_get("_g", "$.type", "string").alias("geometry_type"),
+        F.when(F.col("_feature"), F.to_json(F.try_variant_get("_f", "$.properties", "variant"))).alias("properties"),
         F.array_min(axis(0)).alias("west"),
         F.array_min(axis(1)).alias("south"),
         F.array_max(axis(0)).alias("east"),
         F.array_max(axis(1)).alias("north"),
-        F.coalesce(F.size("p"), F.lit(0)).alias("n_vertices"),
+        F.coalesce(F.size("_p"), F.lit(0)).alias("n_vertices"),
     )
 
 
 def notebook_cells(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """One row per cell; a source given as lines is joined."""
     cells = F.try_variant_get("_doc", "$.cells", "array<variant>")
-    rows = df.select(*keys, strict_json(text).alias("_doc")).select(*keys, F.posexplode(cells).alias("idx", "c"))
-    lines = F.array_join(F.try_variant_get("c", "$.source", "array<string>"), "")
-    outputs = F.coalesce(F.try_variant_get("c", "$.outputs", "array<variant>"), F.array().cast("array<variant>"))
+    rows = df.select(*keys, strict_json(text).alias("_doc")).select(*keys, F.posexplode(cells).alias("idx", "_c"))
+    lines = F.array_join(F.try_variant_get("_c", "$.source", "array<string>"), "")
+    outputs = F.coalesce(F.try_variant_get("_c", "$.outputs", "array<variant>"), F.array().cast("array<variant>"))
     kinds = F.transform(outputs, lambda o: F.try_variant_get(o, "$.output_type", "string"))
     return rows.select(
         *keys,
         "idx",
-        F.try_variant_get("c", "$.cell_type", "string").alias("cell_type"),
-        F.coalesce(lines, F.try_variant_get("c", "$.source", "string")).alias("source"),
+        F.try_variant_get("_c", "$.cell_type", "string").alias("cell_type"),
+        F.coalesce(lines, F.try_variant_get("_c", "$.source", "string")).alias("source"),
         F.size(outputs).alias("n_outputs"),
         F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("output_types"),
         F.exists(kinds, lambda k: k == "error").alias("failed"),
@@ -190,28 +217,28 @@ EARTH_RADIUS_M = 6371000.0
 
 def gpx_points(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """One row per track point, numbered within its segment."""
-    tracks = df.select(*keys, F.from_xml(text, GPX_SCHEMA).alias("d")).select(*keys, F.posexplode("d.trk").alias("track", "t"))
-    segments = tracks.select(*keys, "track", F.col("t.name").alias("name"), F.posexplode("t.trkseg").alias("segment", "s"))
-    points = segments.select(*keys, "track", "name", "segment", F.posexplode("s.trkpt").alias("idx", "p"))
+    tracks = df.select(*keys, F.from_xml(text, GPX_SCHEMA).alias("_d")).select(*keys, F.posexplode("_d.trk").alias("track", "_t"))
+    segments = tracks.select(*keys, "track", F.col("_t.name").alias("name"), F.posexplode("_t.trkseg").alias("segment", "_s"))
+    points = segments.select(*keys, "track", "name", "segment", F.posexplode("_s.trkpt").alias("idx", "_p"))
     return points.select(
         *keys,
         "track",
         "name",
         "segment",
         "idx",
-        F.col("p._lat").alias("lat"),
-        F.col("p._lon").alias("lon"),
-        F.col("p.ele").alias("ele"),
-        F.unix_micros(F.try_to_timestamp("p.time")).alias("at_us"),
+        F.col("_p._lat").alias("lat"),
+        F.col("_p._lon").alias("lon"),
+        F.col("_p.ele").alias("ele"),
+        F.unix_micros(F.try_to_timestamp("_p.time")).alias("at_us"),
     )
 
 
 def kml_points(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """Points of the line strings of a map document, one track per line string."""
     lines = F.regexp_extract_all(text, F.lit(r"(?s)<LineString\b[^>]*>.*?<coordinates>\s*(.*?)\s*</coordinates>"), 1)
-    tracks = df.select(*keys, F.posexplode(lines).alias("track", "l"))
-    points = tracks.select(*keys, "track", F.posexplode(F.split("l", r"\s+")).alias("idx", "p"))
-    part = lambda i: F.get(F.split("p", ","), F.lit(i)).try_cast("double")
+    tracks = df.select(*keys, F.posexplode(lines).alias("track", "_l"))
+    points = tracks.select(*keys, "track", F.posexplode(F.split("_l", r"\s+")).alias("idx", "_p"))
+    part = lambda i: F.get(F.split("_p", ","), F.lit(i)).try_cast("double")
     return points.select(
         *keys,
         "track",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldglass.operators.ordering import BUCKET_ROWS, previous_in_group, running_sum
+from fieldglass.operators.ordering import BUCKET_ROWS, earlier_max, previous_in_group, running_sum
 
 HAR_SCHEMA = (
     "log struct<entries: array<struct<startedDateTime: string, time: double, "
@@ -31,24 +32,24 @@ def har_requests(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     first = F.array_min(F.transform(F.col("_e"), lambda e: _epoch_ms(e["startedDateTime"])))
     unfolded = (
         df.select(*keys, entries.alias("_e"))
-        .select(*keys, first.alias("_first"), F.posexplode("_e").alias("idx", "e"))
-        .withColumn("started_ms", _epoch_ms(F.col("e.startedDateTime")))
+        .select(*keys, first.alias("_first"), F.posexplode("_e").alias("idx", "_entry"))
+        .withColumn("started_ms", _epoch_ms(F.col("_entry.startedDateTime")))
     )
-    status = F.col("e.response.status")
+    status = F.col("_entry.response.status")
     return unfolded.select(
         *keys,
         "idx",
         "started_ms",
         (F.col("started_ms") - F.col("_first")).alias("offset_ms"),
-        F.col("e.request.method").alias("method"),
-        F.col("e.request.url").alias("url"),
-        F.try_parse_url(F.col("e.request.url"), F.lit("HOST")).alias("host"),
+        F.col("_entry.request.method").alias("method"),
+        F.col("_entry.request.url").alias("url"),
+        F.try_parse_url(F.col("_entry.request.url"), F.lit("HOST")).alias("host"),
         status.alias("status"),
         F.floor(status / 100).cast("int").alias("status_class"),
-        F.regexp_extract("e.response.content.mimeType", r"^([^;\s]*)", 1).alias("type"),
-        F.col("e.response.content.size").alias("size"),
-        F.col("e.time").alias("time"),
-        *[F.when(F.col(f"e.timings.{p}") >= 0, F.col(f"e.timings.{p}")).alias(p) for p in PHASES],
+        F.regexp_extract("_entry.response.content.mimeType", r"^([^;\s]*)", 1).alias("type"),
+        F.col("_entry.response.content.size").alias("size"),
+        F.col("_entry.time").alias("time"),
+        *[F.when(F.col(f"_entry.timings.{p}") >= 0, F.col(f"_entry.timings.{p}")).alias(p) for p in PHASES],
     )
 
 
@@ -98,7 +99,7 @@ TRACE_SCHEMA = "traceEvents array<struct<name: string, ph: string, pid: bigint,
 def trace_events(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """One row per trace event, ``idx`` being its place in the document."""
     events = F.from_json(text, TRACE_SCHEMA)["traceEvents"]
-    return df.select(*keys, F.posexplode(events).alias("idx", "e")).select(*keys, "idx", "e.*")
+    return df.select(*keys, F.posexplode(events).alias("idx", "_e")).select(*keys, "idx", "_e.*")
 
 
 def trace_spans(events: DataFrame, keys: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -122,11 +123,82 @@ def trace_spans(events: DataFrame, keys: list[str], bucket_rows: int = BUCKET_RO
     return complete.unionByName(closed)
 
 
-def trace_tracks(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans, extent and summed duration per track."""
-    return spans.groupBy(*keys, "pid", "tid").agg(
+def paired_marks(phases, pids, tids, times, durations) -> list[tuple[int, float | None, float | None]]:
+    """Complete spans of one document's events: the place of the event that names each, its start and its duration.
+
+    Marks are taken in order of time, equal times as listed. An end closes the span
+    opened last on its track; one without an open span is passed over, and so is a
+    begin that is never closed.
+    """
+    out, open_on = [], {}
+    marks = [i for i, p in enumerate(phases) if p in ("B", "E")]
+    marks.sort(key=lambda i: (times[i] is None, times[i] or 0.0))
+    for i in marks:
+        track = open_on.setdefault((pids[i], tids[i]), [])
+        if phases[i] == "B":
+            track.append(i)
+        elif track:
+            at = track.pop()
+            known = times[at] is not None and times[i] is not None
+            out.append((at, times[at], times[i] - times[at] if known else None))
+    return out + [(i, times[i], durations[i]) for i, p in enumerate(phases) if p == "X"]
+
+
+def trace_document_spans(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """The spans of ``trace_spans``, from whole documents: marks are paired inside the document's row, without a shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            events = batch.column(batch.num_columns - 1)
+            flat = events.flatten()
+            name, ph, pid, tid, ts, dur = (flat.field(n).to_pylist() for n in ("name", "ph", "pid", "tid", "ts", "dur"))
+            owners, rows, at = [], [], 0
+            for i, size in enumerate(events.value_lengths().to_pylist()):
+                part = slice(at, at + (size or 0))
+                for k, start, length in paired_marks(ph[part], pid[part], tid[part], ts[part], dur[part]):
+                    owners.append(i)
+                    rows.append((pid[at + k], tid[at + k], name[at + k], start, length))
+                at = part.stop
+            kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).take(pa.array(owners, pa.int64()))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*kept.schema.names, "pid", "tid", "name", "start", "dur"])
+
+    given = df.select(*keys, F.from_json(text, TRACE_SCHEMA)["traceEvents"].alias("_events"))
+    added = T._parse_datatype_string("pid long, tid long, name string, start double, dur double")
+    return given.mapInArrow(run, T.StructType([*[given.schema[k] for k in keys], *added.fields]))
+
+
+def trace_tracks(spans: DataFrame, keys: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Spans, extent and busy time per track; null tracks are tracks like any other.
+
+    Busy is the time in which at least one span is open: a span adds what it has beyond
+    the greatest end of the spans that start before it, so nested spans count once. Spans
+    without a start or duration count as spans only.
+    """
+    track = [*keys, "pid", "tid"]
+    ended = spans.withColumn("_end", F.col("start") + F.col("dur"))
+    reached = earlier_max(ended, track, ["start", "_end", "name"], "_end", "_reached", bucket_rows)
+    begin = F.greatest(F.col("start"), F.col("_reached"))  # nulls are passed over
+    own = F.when(F.col("_end") > begin, F.col("_end") - begin)
+    return reached.groupBy(*track).agg(
         F.count(F.lit(1)).alias("spans"),
         F.min("start").alias("first"),
-        (F.max(F.col("start") + F.col("dur")) - F.min("start")).alias("extent"),
-        F.sum("dur").alias("busy"),
+        (F.max("_end") - F.min("start")).alias("extent"),
+        F.coalesce(F.sum(own), F.lit(0.0)).alias("busy"),
+    )
+
+
+def trace_top_events(spans: DataFrame, keys: list[str], count: int = 10) -> DataFrame:
+    """The names with the longest total duration of each document, with their spans and longest one.
+
+    Names are summed up before they are ranked; equal totals rank by name.
+    """
+    by_name = spans.groupBy(*keys, "name").agg(
+        F.count(F.lit(1)).alias("spans"), F.sum("dur").alias("total"), F.max("dur").alias("longest")
     )
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("total"), F.asc_nulls_first("name"))
+    return by_name.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)

@@ -1,6 +1,8 @@
 """Operators on small tables, and their behaviour on skewed groups."""
 
+import json
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -61,10 +63,10 @@ def test_positions_with_a_hot_value(spark, partitions):
 
 
 @pytest.mark.parametrize("page, expected", [(1, (0, 7)), (3, (14, 21)), (4, (21, 25)), (99, (21, 25)), (-5, (0, 7))])
-@pytest.mark.parametrize("top_k", [100_000, 0])
-def test_pages(spark, page, expected, top_k):
+@pytest.mark.parametrize("part_rows", [100_000, 4])
+def test_pages(spark, page, expected, part_rows):
     df = spark.range(25).select(F.col("id").alias("i"))
-    got = [r.i for r in ordering.page_slice(df, [ordering.SortKey(F.col("i"))], page, 7, top_k_rows=top_k).collect()]
+    got = [r.i for r in ordering.page_slice(df, [ordering.SortKey(F.col("i"))], page, 7, part_rows=part_rows).collect()]
     assert got == list(range(*expected))
 
 
@@ -102,8 +104,8 @@ def test_directions(spark):
 def test_pages_of_equal_keys_hold_every_row_once(spark):
     df = spark.range(40).select("id", F.lit(1).alias("k"))
     keys = [ordering.SortKey(F.col("k"))]
-    for top_k in (0, 12, 100_000):
-        rows = [r.id for p in range(1, 9) for r in ordering.page_slice(df, keys, p, 5, top_k_rows=top_k).collect()]
+    for part_rows in (3, 12, 100_000):
+        rows = [r.id for p in range(1, 9) for r in ordering.page_slice(df, keys, p, 5, part_rows=part_rows).collect()]
         assert sorted(rows) == list(range(40))
 
 
@@ -121,9 +123,13 @@ def test_instants_are_shown_in_utc(spark, zone):
 
 def test_long_number_literals(spark):
     texts = ["0x" + "f" * 17, "0o" + "7" * 25, "0b" + "1" * 70, "0x", "0b2", "0X1F"]
+    # Rounded once: between doubles, at the middle with and without a rest, far beyond, and too large.
+    texts += ["0x2000000000000181", "0x20000000000001", "0x20000000000003", "0x2000000000000100000000000000000000000001", "0x" + "0" * 99 + "a"]
+    texts += ["0b1" + "0" * 1022 + "1", "0x1" + "0" * 256, "0o" + "17" * 30]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(number_or_null(F.col("t"))).collect()]
-    assert got == [float(16**17 - 1), float(8**25 - 1), float(2**70 - 1), None, None, 31.0]
+    assert got[:6] == [float(16**17 - 1), float(8**25 - 1), float(2**70 - 1), None, None, 31.0]
+    assert got[6:] == [float(int(t, 0)) if len(t) != 259 else None for t in texts[6:]]
 
 
 def test_minify_keeps_every_character(spark):
@@ -176,6 +182,30 @@ def test_node_tables(spark):
     assert nodes_of(spark, "not json").count() == 0
 
 
+def test_a_deep_document_beside_small_ones(spark):
+    deep = '{"a":[' * 200 + "1" + "]}" * 200
+    df = spark.createDataFrame([(0, deep), (1, '{"x":1}'), (2, "[" * 400), (3, None)], "id int, body string")
+    start = time.perf_counter()
+    nodes = nested.node_table(df, ["id"], F.col("body")).collect()
+    pretty = {r.id: r.pretty for r in nested.pretty_json(df, ["id"], F.col("body")).collect()}
+    assert time.perf_counter() - start < 10
+    assert [max((n.depth for n in nodes if n.id == i), default=None) for i in range(4)] == [400, 1, None, None]
+    assert max((n.path for n in nodes if n.id == 0), key=len) == "/a/0" * 200
+    assert json.loads(pretty[0]) == json.loads(deep) and pretty[2] is None and pretty[3] is None
+    assert pretty[0] == json.dumps(json.loads(deep), indent=2)
+
+
+def test_repeated_keys_and_escapes(spark):
+    text = '{"b":{"x":[1,2]},"a\\u0041\\n":"q\\"","b":{"y":1.50,"y":-0},"c":[]}'
+    assert [(r.path, r.primitive, r.ordinal) for r in nodes_of(spark, text).collect()] == [
+        ("", None, 0), ("/aA\n", '"q\\""', 0), ("/b", None, 1), ("/b/y", "0", 0), ("/c", None, 2)
+    ]
+    one = spark.createDataFrame([('[{"z":1,"a":2},5,{"m":[1],"z":null}]',), ('{"q":1,"c":"x"}',), ("7",), ("x",)], "t string")
+    assert [r[0] for r in one.select(nested.json_to_csv(F.col("t"))).collect()] == [
+        '"z","a","m"\n"1","2",""\n"","","[1]"', '"q","c"\n"1","x"', "", None
+    ]
+
+
 def test_deep_tree_search(spark):
     def tree(depth):
         return '{"name":"leaf","value":%d}' % depth if depth == 0 else '{"children":[%s,%s]}' % (tree(depth - 1), tree(depth - 1))
@@ -194,11 +224,11 @@ def test_conversions(spark):
     df = spark.createDataFrame([(1, doc)], "id int, body string")
     body = F.col("body")
     assert nested.pretty_json(df, ["id"], body).first().pretty == (
-        '{\n  "a": "q\\"<",\n  "b": [\n    1,\n    {\n      "x": null\n    }\n  ],\n  "e": [],\n  "f": {}\n}'
+        '{\n  "b": [\n    1,\n    {\n      "x": null\n    }\n  ],\n  "a": "q\\"<",\n  "e": [],\n  "f": {}\n}'
     )
-    assert nested.json_to_yaml(df, ["id"], body).first().yaml == 'a: "q\\"<"\nb: \n  - 1\n  - \n    x: null\ne: \n\nf: \n'
+    assert nested.json_to_yaml(df, ["id"], body).first().yaml == 'b: \n  - 1\n  - \n    x: null\na: "q\\"<"\ne: \n\nf: \n'
     assert nested.json_to_xml(df, ["id"], body).first().xml == (
-        "<root><a>q&quot;&lt;</a><b><item>1</item><item><x></x></item></b><e></e><f></f></root>"
+        "<root><b><item>1</item><item><x></x></item></b><a>q&quot;&lt;</a><e></e><f></f></root>"
     )
     canonical = df.select(nested.canonical_json(body).alias("c")).withColumn("again", nested.canonical_json(F.col("c"))).first()
     assert canonical.c == canonical.again == '{"a":"q\\"<","b":[1,{"x":null}],"e":[],"f":{}}'

@@ -103,6 +103,36 @@ def test_trace_pairs(spark):
     for bucket_rows in (1_000_000, 3):
         got = sorted((r.name, r.start, r.dur) for r in web.trace_spans(events, ["doc"], bucket_rows).collect())
         assert got == [("a", 0.0, 5.0), ("b", 1.0, 1.0), ("c", 3.0, 1.0), ("d", 7.0, 2.0)]
+    more = docs(spark, '{"traceEvents":[%s]}' % items, '{"traceEvents":[]}', "{", '{"traceEvents":null}')
+    got = sorted((r.doc, r.name, r.start, r.dur) for r in web.trace_document_spans(more, ["doc"], F.col("body")).collect())
+    assert [g[1:] for g in got] == [("a", 0.0, 5.0), ("b", 1.0, 1.0), ("c", 3.0, 1.0), ("d", 7.0, 2.0)]
+
+
+def test_busy_time_is_a_union(spark):
+    rows = [(1, None, "a", 0.0, 10.0), (1, None, "b", 2.0, 3.0), (1, None, "c", 8.0, 4.0), (1, None, "d", 20.0, 1.0), (1, None, "e", None, 5.0)]
+    rows += [(2, 7, "x", float(i), 1.5) for i in range(0, 40, 2)]
+    spans = spark.createDataFrame([(0, *r) for r in rows], "d int, pid long, tid long, name string, start double, dur double")
+    for bucket_rows in (1_000_000, 4):
+        got = {r.pid: (r.spans, r.first, r.extent, r.busy) for r in web.trace_tracks(spans, ["d"], bucket_rows).collect()}
+        assert got == {1: (5, 0.0, 21.0, 13.0), 2: (20, 0.0, 39.5, 30.0)}
+    top = [(r.d, r.name, r["rank"], r.total) for r in web.trace_top_events(spans, ["d"], 2).orderBy("rank").collect()]
+    assert top == [(0, "x", 1, 30.0), (0, "a", 2, 10.0)]
+
+
+def test_suites_and_components_of_any_depth(spark):
+    deep = "<testsuite name='a'>" + "<testsuite name='b'>" * 200 + "<testcase name='t'><![CDATA[<x>]]><failure/></testcase>" + "</testsuite>" * 201
+    broken = "<testsuites><testsuite name='s'><testcase name='u'/></wrong></testsuite><testsuite name='lost'><testcase name='v'></testsuites>"
+    got = sorted((r.suite, r.name, r.outcome, r.suite_path.count("/")) for r in reports.junit_cases(docs(spark, deep, broken, "", None), ["doc"], F.col("body")).collect())
+    assert got == [("b", "t", "failure", 201), ("s", "u", "passed", 1)]
+    inner = '{"bom-ref":"z"}'
+    for i in range(100):
+        inner = '{"bom-ref":"c%d","components":[%s]}' % (i, inner)
+    text = '{"metadata":{"component":{"bom-ref":"main"}},"components":[%s],"dependencies":[{"ref":"main","dependsOn":["z","c99","no"]}]}' % inner
+    d = docs(spark, text).withColumnRenamed("doc", "d")
+    parts = reports.sbom_components(d, ["d"], F.col("body"))
+    assert parts.count() == 102 and parts.where("ref = 'z'").first().path == "/components/0" * 101
+    edges = reports.sbom_dependencies(d, ["d"], F.col("body"))
+    assert [r.depends_on for r in reports.sbom_dangling(parts, edges, ["d"]).collect()] == ["no"]
 
 
 def test_har_empty_and_broken(spark):

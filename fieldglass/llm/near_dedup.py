@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldglass.llm import words
 from fieldglass.llm.linking import link, overlap_of, pack_grams, shared_buckets
@@ -158,6 +159,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return placed.join(named, "group").select("doc_id", "class_id", "class_size")
 
 
+def _hashable(field: T.StructField) -> Column:
+    """A column as hashes take it: maps and variants, alone or inside others, as JSON."""
+    name = F.col(f"`{field.name}`")
+    whole = field.dataType.simpleString()
+    return F.to_json(F.struct(name)) if "map<" in whole or "variant" in whole else name
+
+
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents without all but one of each class: the one with the smallest id.
 
@@ -165,7 +173,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     equal in every column count once.
     """
     rows, groups = near_groups(docs, least)
-    mark = F.xxhash64(*[F.struct(F.col(f"`{c}`").isNull(), F.col(f"`{c}`")) for c in docs.columns])
+    mark = F.xxhash64(*[F.struct(F.col(f"`{f.name}`").isNull(), _hashable(f)) for f in docs.schema.fields])
     marked = docs.withColumn(MARK, mark)
     own = marked.select(
         F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("item"), MARK

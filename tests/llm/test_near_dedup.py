@@ -106,3 +106,10 @@ def test_keep_one(docs):
 def test_no_words_no_registers():
     h, o, w = bags([b"", b"?"])
     assert len(h) == 0 and np.isinf(registers(h, o, w, 2)).all()
+
+
+def test_map_columns(spark, docs):
+    df = docs(story(1), story(1), story(2)).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))
+    df = df.withColumn("s", F.struct(F.array(F.col("m")).alias("inner")))
+    kept = keep_one(df)
+    assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == [0, 2]

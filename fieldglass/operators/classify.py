@@ -180,63 +180,71 @@ def archive_magic_of(hexed: Column) -> Column:
     )
 
 
-def _arrow_message(h: Column) -> Column:
-    """A schema message opens an Arrow stream, with or without the continuation mark."""
-
-    def body(prefix: int, length: Column) -> Column:
-        end = F.least(F.length(h) / 2, prefix + length)
-        sound = (length >= 16) & (length <= 16 * 1024 * 1024)
-
-        def in_table(table: Column) -> Column:
-            return let(table - i32le(h, table), lambda vtable: in_vtable(table, vtable))
-
-        def in_vtable(table: Column, vtable: Column) -> Column:
-            fits = (table >= prefix + 4) & (table + 4 <= end) & (vtable >= prefix + 4) & (vtable + 8 <= end)
-            return fits & let(
-                u16le(h, vtable + 6),
-                lambda field: (field >= 4) & (table + field < end) & (u8(h, table + field) == 1),
-            )
-
-        return sound & let(prefix + u32le(h, prefix), in_table)
-
-    marked = digits(h, 0, 4) == "FFFFFFFF"
-    found = F.when(marked, body(8, u32le(h, 4))).otherwise(body(4, u32le(h, 0)))
-    return F.coalesce(found, F.lit(False))
-
-
-def _font_directory(h: Column, size: Column, woff: bool) -> Column:
-    """A font's table directory: printable unique tags, tables inside the file."""
-    head, stride = (44, 20) if woff else (12, 16)
-
-    def directory(count: Column) -> Column:
-        ends = head + count * stride
-        seen = F.least(count, F.floor((F.length(h) / 2 - head) / stride))
-        sound = (count > 0) & (count <= 4096) & (ends <= size) & (seen > 0)
-        entries = F.transform(F.sequence(F.lit(0), (seen - 1).cast("int")), lambda i: entry(i * stride + head))
-        return F.when(sound, let(entries, lambda e: F.forall(e, lambda t: fits(t, ends)) & unique(e)))
-
-    def entry(at: Column) -> Column:
-        return F.struct(
-            digits(h, at, 4).alias("tag"),
-            u32be(h, at + (4 if woff else 8)).alias("start"),
-            u32be(h, at + (8 if woff else 12)).alias("stored"),
-            u32be(h, at + 12).alias("full"),
+# Fixed values of the Arrow columnar format: the header type of a schema, the newest metadata version.
+ARROW_SCHEMA, ARROW_VERSION = 1, 4
+
+
+def _flatbuffer_field(h: Column, table: Column, slot: int) -> Column:
+    """Where a field of a FlatBuffers table lies; null where the table does not hold it.
+
+    A table begins with the distance back to its list of field offsets; that list begins
+    with its own size and the table's.
+    """
+
+    def place(listed: Column) -> Column:
+        offset = F.when(u16le(h, listed) >= 6 + 2 * slot, u16le(h, listed + 4 + 2 * slot))
+        return F.when(offset > 0, table + offset)
+
+    return let(F.when(i32le(h, table) <= table, table - i32le(h, table)), place)
+
+
+def _arrow_message(h: Column, size: Column) -> Column:
+    """An encapsulated message with a schema, which opens an Arrow stream.
+
+    Metadata follow their length, padded so that they end on a multiple of eight bytes;
+    newer writers put a continuation mark in front.
+    """
+
+    def schema_from(start: Column) -> Column:
+        metadata = u32le(h, start - 4)
+        framed = (metadata > 0) & ((start + metadata) % 8 == 0) & (start + metadata <= size)
+        told = lambda message: (u8(h, _flatbuffer_field(h, message, 1)) == ARROW_SCHEMA) & F.coalesce(
+            u16le(h, _flatbuffer_field(h, message, 0)) <= ARROW_VERSION, F.lit(True)
         )
+        return framed & let(start + u32le(h, start), told)
+
+    return F.coalesce(let(F.when(h.startswith("FFFFFFFF"), 8).otherwise(4), schema_from), F.lit(False))
+
+
+def _font_tables(h: Column, header: int, record: int, count: Column, sound) -> Column:
+    """Whether the records behind a font's header are in order of their tags and ``sound``.
+
+    Tags are four printable characters in ascending order, none twice; as many records
+    are read as the head of the file holds.
+    """
+    area = F.substring(h, F.lit(header * 2 + 1), (count * record * 2).cast("int"))
+    records = F.regexp_extract_all(area, F.lit("[0-9A-F]{%d}" % (record * 2)), F.lit(0))
+
+    def checked(rows: Column) -> Column:
+        tags = F.transform(rows, lambda r: F.substring(r, 1, 8))
+        ordered = tags == F.array_sort(F.array_distinct(tags))
+        readable = F.forall(tags, lambda t: t.rlike("^([2-6][0-9A-F]|7[0-9A-E]){4}$"))
+        return (F.size(rows) > 0) & ordered & readable & F.forall(rows, sound)
+
+    return let(records, checked)
+
 
-    def fits(t: Column, ends: Column) -> Column:
-        printable = F.decode(F.unhex(t["tag"]), "ISO-8859-1").rlike(r"^[\x20-\x7e]{4}$")
-        inside = (t["start"] >= ends) & (t["start"] + t["stored"] <= size)
-        return printable & inside & (t["stored"] <= t["full"]) & ((t["stored"] > 0) | (t["full"] == 0))
+def _sfnt_font(h: Column, size: Column) -> Column:
+    """A TrueType or OpenType font: each table ends inside the file."""
+    inside = lambda r: u32be(r, 8) + u32be(r, 12) <= size
+    return F.coalesce(_font_tables(h, 12, 16, u16be(h, 4), inside), F.lit(False))
 
-    def unique(entries: Column) -> Column:
-        tags = F.transform(entries, lambda t: t["tag"])
-        return F.size(F.array_distinct(tags)) == F.size(tags)
 
-    listed = let(u16be(h, 12 if woff else 4), directory)
-    if woff:
-        flavors = ["00010000", _ascii("OTTO"), _ascii("true")]
-        listed = F.when((u32be(h, 8) == size) & (u16be(h, 14) == 0) & digits(h, 4, 4).isin(flavors), listed)
-    return F.coalesce(listed, F.lit(False))
+def _woff_font(h: Column, size: Column) -> Column:
+    """A WOFF font: it knows its length, and no stored table is longer than the table itself."""
+    sound = lambda r: (u32be(r, 4) + u32be(r, 8) <= size) & (u32be(r, 8) <= u32be(r, 12))
+    header = (u32be(h, 8) == size) & (u16be(h, 14) == 0) & (u32be(h, 16) % 4 == 0)
+    return F.coalesce(header & _font_tables(h, 44, 20, u16be(h, 12), sound), F.lit(False))
 
 
 def signature(name: Column, head: Column, tail: Column, size: Column) -> Column:
@@ -278,10 +286,10 @@ def signature_rules(
             & (u32le(h, 12) >= 4) & (u32le(h, 12) % 4 == 0) & (u32le(h, 12) + 20 <= size),
         ),
         ("arrow", "Arrow file", word("ARROW1")),
-        ("arrow", "Arrow schema message", _arrow_message(h)),
+        ("arrow", "Arrow schema message", _arrow_message(h, size)),
         ("font", "TrueType header", at(0, "00010000")),
-        ("font", "font directory", (word("true") | word("OTTO")) & _font_directory(h, size, False)),
-        ("font", "WOFF directory", word("wOFF") & _font_directory(h, size, True)),
+        ("font", "font directory", (word("true") | word("OTTO")) & _sfnt_font(h, size)),
+        ("font", "WOFF directory", word("wOFF") & _woff_font(h, size)),
         ("pdf", "PDF header", word("%PDF-")),
         ("psd", "PSD signature", word("8BPS")),
         ("image", "PNG signature", at(0, "89504E470D0A1A0A")),

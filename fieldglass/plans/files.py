@@ -35,8 +35,28 @@ def file_signature(spark, sf):
     return classify.classify_files(files).select("name", "kind", "reason", "by_signature")
 
 
+
+def _stream_head(**options) -> str:
+    """The schema message that opens an Arrow stream, as a writer of the format makes it."""
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    schema = pa.schema([("key", pa.int64()), ("label", pa.string())])
+    pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(**options)).close()
+    return sink.getvalue().to_pybytes().hex().upper()
+
+
+def _font_head(tags: str) -> str:
+    """A font's header with tables of no length."""
+    records = "".join(t.encode().hex() + "00" * 4 + "0000001C" + "00" * 4 for t in tags.split())
+    return ("4F54544F" + f"{len(tags.split()):04X}" + "00" * 6 + records).upper()
+
+
 # Contents by remainder of the document key: (name, leading bytes, kind, ...).
 _CONTENTS = [
+    ("y.bin", _stream_head(), "arrow", None, "audio"),
+    ("z.bin", _stream_head(use_legacy_format=True), "arrow", None, "binary"),
+    ("aa.bin", _font_head("CFF0 cmap"), "font", None, "binary"),
     ("a.bin", "89504E470D0A1A0A", "image", None, "image"),
     ("b.bin", "FFD8FF", "image", None, "image"),
     ("c.zip", "377ABCAF271C", "archive", "sevenZip", "binary"),

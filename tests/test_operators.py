@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -284,7 +285,18 @@ def test_file_signatures(spark):
     ustar = bytearray(512)
     ustar[257:262] = b"ustar"
     font = b"OTTO" + bytes([0, 1]) + bytes(6) + b"CFF " + bytes(4) + (28).to_bytes(4, "big") + (4).to_bytes(4, "big") + b"data"
+    word = lambda n: n.to_bytes(4, "big")
+    record = lambda tag, at, stored, full: tag + word(at) + word(stored) + word(full) + bytes(4)
+    woff = b"wOFF" + word(0x10000) + word(88) + bytes([0, 2, 0, 0]) + word(60) + bytes(24)
+    woff += record(b"cmap", 84, 2, 4) + record(b"glyf", 86, 2, 9) + b"data"
+    schema = pa.schema([("a", pa.int8()), ("b", pa.list_(pa.string()))]).serialize().to_pybytes()
     cases = [
+        ("stream", schema + b"more", "arrow"),
+        ("cut stream", schema[:-8], "audio"),
+        ("batch", pa.record_batch({"a": [1]}).serialize().to_pybytes(), "audio"),
+        ("woff", woff, "font"),
+        ("cut woff", woff[:-1], "unknown"),
+        ("unordered", font[:4] + bytes([0, 2]) + bytes(6) + (b"cmap" + bytes(12)) + (b"CFF " + bytes(12)), "unknown"),
         ("a.tar", bytes(ustar), "archive"),
         ("plain.txt", b"true story, OTTO", "text"),
         ("f", font, "font"),

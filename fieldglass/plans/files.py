@@ -278,30 +278,32 @@ def delimiter_sniff(spark, sf):
 # ------------------------------------------------------------------ line files
 
 
-def _numbered(spark, sf, whole_file_bytes: int):
+def _numbered(spark, sf, files: int):
+    """The lines of events written to so many files, in the order of their keys."""
     folder = new_folder(spark, "lines")
-    shapes.event_lines(spark, sf).select("raw").write.text(folder)
-    numbered = lines.numbered_lines(spark, folder, whole_file_bytes)
-    per_file = numbered.groupBy("path").agg(
-        F.count(F.lit(1)).alias("lines"), F.countDistinct("line_no").alias("places"), F.max("line_no").alias("last")
-    )
-    return per_file.agg(
-        F.sum("lines").alias("lines"), F.sum("places").alias("places"), F.sum("last").alias("last_places")
-    )
+    events = shapes.event_lines(spark, sf).withColumn("file", F.pmod("event_id", F.lit(files)))
+    written = events.repartition("file").sortWithinPartitions("file", "event_id").select("file", "raw")
+    written.write.partitionBy("file").text(folder)
+    numbered = lines.numbered_lines(spark, folder)
+    return numbered.select(F.regexp_extract("path", r"file=([0-9]+)", 1).cast("long").alias("file"), "line_no", "raw")
 
 
-_NUMBERED_SQL = "SELECT count(*) AS lines, count(*) AS places, count(*) AS last_places FROM events"
+def _numbered_sql(files: int) -> str:
+    return (
+        f"SELECT event_id % {files} AS file, row_number() OVER (PARTITION BY event_id % {files} ORDER BY event_id) AS line_no, raw "
+        f"FROM {shapes.EVENT_LINES_SQL} e"
+    )
 
 
-@query("numbered_lines", _NUMBERED_SQL)
+@query("numbered_lines", _numbered_sql(7))
 def numbered_lines(spark, sf):
-    return _numbered(spark, sf, lines.WHOLE_FILE_BYTES)
+    return _numbered(spark, sf, 7)
 
 
-@query("numbered_lines_split", _NUMBERED_SQL)
+@query("numbered_lines_split", _numbered_sql(1))
 def numbered_lines_split(spark, sf):
-    """The same through file splits, as for files too large for one row."""
-    return _numbered(spark, sf, 0)
+    """One file, which is read in as many splits as its size asks for."""
+    return _numbered(spark, sf, 1)
 
 
 # -------------------------------------------------------------------- columnar

@@ -94,6 +94,33 @@ def read_parquet_columns(spark: SparkSession, path: str, columns: list[str] | No
     return table.select(*columns) if columns else table
 
 
+def read_parquet_window(
+    spark: SparkSession, path: str, columns: list[str], start: int, size: int, pos: str = "pos"
+) -> DataFrame:
+    """Rows ``start`` to ``start + size - 1`` of the files in order of their paths, as stored, with their place.
+
+    Rows are counted per file from the footers, which also gives each file its offset;
+    files outside the window are not opened, and nothing is sorted or shuffled. An empty window
+    has no rows.
+    """
+    # No column is read for the counts.
+    counts = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    wanted, before = [], 0
+    for row in sorted(counts.collect(), key=lambda r: r["file"]):
+        first, last = max(start - before, 0), min(start + size - before, row["n"])
+        if first < last:
+            wanted.append((row["file"], before, first, last))
+        before += row["n"]
+    table = spark.read.parquet(path)
+    file, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    inside, offset = F.lit(False), F.lit(None).cast("long")
+    for name, rows_before, first, last in wanted:
+        inside = inside | ((file == name) & (at >= first) & (at < last))
+        offset = F.when(file == name, F.lit(rows_before).cast("long")).otherwise(offset)
+    kept = table.where(file.isin([w[0] for w in wanted]) & inside) if wanted else table.limit(0)
+    return kept.select(*columns, (offset + at).alias(pos))
+
+
 def read_arrow(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
     """Arrow IPC files and streams as a table; one task per file, batch by batch."""
     files = (

@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions.formatting import utf8_text
-from fieldglass.sources.scratch import use_checkpoints
-
-# Files up to this size are read whole, one row per file.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
 
 def split_lines(text: Column) -> Column:
@@ -26,41 +22,25 @@ def document_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     )
 
 
-def largest_file(spark: SparkSession, path: str | list[str]) -> int:
-    """Size of the largest file, from the listing alone."""
-    files = spark.read.format("binaryFile").load(path).select("length")
-    return files.agg(F.max("length")).first()[0] or 0
-
-
-def numbered_lines(spark: SparkSession, path: str | list[str], whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, line_no, raw)`` of text files of any size, line numbers from 1.
 
-    Small files are split inside their row. Larger ones are read in splits:
-    each line gets its place within its split, the splits are pinned by a
-    checkpoint, and the line counts of the splits before are added, so one
-    huge file is spread over as many tasks as it has splits.
+    Files are read in splits, so one huge file is spread over many tasks. A row's id grows by one
+    along its split; the least id and the number of lines of each split give the line number
+    its first line has. Only those two numbers of each split are summed up and joined back; a split is read
+    by one task and packed the same way in both scans, which depend on the sizes of the files alone.
     """
-    if largest_file(spark, path) <= whole_file_bytes:
-        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-        return document_lines(whole, ["path"], "value")
-    use_checkpoints(spark)
-    pieces = (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_seq"),
-            F.col("value").alias("raw"),
-        )
-        .withColumn("_at", F.row_number().over(Window.partitionBy("path", "_block").orderBy("_seq")))
-        .drop("_seq")
-        .checkpoint()
+    ids = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+        F.col("value").alias("raw"),
     )
-    counts = pieces.groupBy("path", "_block").agg(F.max("_at").alias("_n"))
+    splits = ids.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("path", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return pieces.join(starts, ["path", "_block"]).select(
-        "path", (F.col("_start") + F.col("_at")).cast("long").alias("line_no"), "raw"
+    starts = splits.select("path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return ids.join(starts, ["path", "_block"]).select(
+        "path", (F.col("_id") + F.col("_shift") + 1).cast("long").alias("line_no"), "raw"
     )
 
 

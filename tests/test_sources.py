@@ -64,10 +64,10 @@ def test_csv_wider_than_expected(spark, tmp_path):
 def test_line_numbers(spark, tmp_path):
     write(tmp_path, "a.jsonl", "one\r\n\r\nthree\n")
     write(tmp_path, "b.jsonl", "".join(f"{i}\n" for i in range(2000)))
-    for limit in (lines.WHOLE_FILE_BYTES, 0):
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    for limit in ("128MB", "1000", "37"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
         try:
-            got = lines.numbered_lines(spark, str(tmp_path), limit)
+            got = lines.numbered_lines(spark, str(tmp_path))
             rows = sorted((r.path[-7:], r.line_no, r.raw) for r in got.collect())
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", "128MB")
@@ -226,3 +226,17 @@ def test_stream(spark, tmp_path):
     )
     q.awaitTermination(60)
     assert [(r.raw, r.kind) for r in spark.read.parquet(str(target)).collect()] == [('{"a":"Needle"}', "valid")]
+
+
+def test_parquet_window_over_files(spark, tmp_path):
+    folder = str(tmp_path / "t.parquet")
+    spark.range(100, 0, -1).select("id", (F.col("id") % 7).alias("m")).repartition(5).write.parquet(folder)
+    files = sorted(str(p) for p in (tmp_path / "t.parquet").glob("part-*"))
+    import pyarrow.parquet as pq
+
+    stored = [r for f in files for r in pq.read_table(f)["id"].to_pylist()]
+    for start, size in ((0, 5), (13, 50), (95, 40), (0, 1000), (200, 3), (7, 0)):
+        got = columnar.read_parquet_window(spark, folder, ["id"], start, size)
+        assert sorted((r.pos, r.id) for r in got.collect()) == list(enumerate(stored))[start : start + size]
+    one = columnar.read_parquet_window(spark, folder, ["m"], 13, 2)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()

@@ -653,6 +653,13 @@ def _preview_kind(ext: Column, magic: Column, content: Column) -> Column:
     )
 
 
+def name_mismatches(classified: DataFrame) -> DataFrame:
+    """The files whose content says another kind than their name; files without a known extension have none."""
+    return classified.where(
+        F.col("by_signature") & F.col("ext_kind").isNotNull() & (F.col("ext_kind") != F.col("kind"))
+    ).withColumnRenamed("ext_kind", "named_kind")
+
+
 def corpus_report(classified: DataFrame) -> DataFrame:
     """Files, bytes, byte share and name/content disagreements per kind."""
     by_kind = classified.groupBy("kind").agg(

@@ -150,6 +150,23 @@ def corpus_report(spark, sf):
     return report.select("kind", "files", "bytes", F.round("byte_share", 6).alias("byte_share"))
 
 
+@query(
+    "name_mismatches",
+    "SELECT doc_id, ['b.pdf', 'c.csv'][doc_id % 4] AS name, ['pdf', 'csv'][doc_id % 4] AS named_kind, ['image', 'pdf'][doc_id % 4] AS kind, "
+    "['PNG signature', 'PDF header'][doc_id % 4] AS reason FROM documents WHERE doc_id % 4 IN (1, 2)",
+)
+def name_mismatches(spark, sf):
+    """An image named as one, an image named as a page, pages named as a table, and an image without a known name."""
+    k = (F.col("doc_id") % 4).cast("int")
+    names = F.array(*[F.lit(n) for n in ("a.jpeg", "b.pdf", "c.csv", "e.xyz")])
+    heads = F.array(*[F.unhex(F.lit(h)) for h in ("FFD8FF", "89504E470D0A1A0A", "255044462D312E37", "89504E470D0A1A0A")])
+    files = table(spark, sf, "documents").select(
+        "doc_id", F.get(names, k).alias("name"), F.concat(F.get(heads, k), F.encode("text", "UTF-8")).alias("content")
+    )
+    found = classify.classify_files(files.withColumn("size", F.length("content")))
+    return classify.name_mismatches(found).select("doc_id", "name", "named_kind", "kind", "reason")
+
+
 _EXTENSIONS = [(e, k) for k, es in classify.EXTENSION_KINDS.items() for e in es]
 
 

@@ -337,6 +337,50 @@ def kml_points(spark, sf):
     return reports.kml_points(docs, KEYS, F.col("body")).select("doc_id", "idx", "lat", "lon", "ele")
 
 
+_PLACE_SQL = "event_id % 90 + 0.5::DOUBLE AS lat, user_id % 180 + 0.25::DOUBLE AS lon"
+
+
+@query(
+    "gpx_places",
+    "SELECT doc_id, kind, CASE WHEN kind = 'route' THEN 0 END AS route, CASE WHEN kind = 'route' THEN 'r' END AS route_name, "
+    "CAST(row_number() OVER (PARTITION BY doc_id, kind ORDER BY event_id) - 1 AS INTEGER) AS idx, name, lat, lon, at_us FROM ("
+    f"SELECT event_id // 100 AS doc_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'waypoint' ELSE 'route' END AS kind, concat('p', event_id) AS name, {_PLACE_SQL}, "
+    "CASE WHEN event_id % 2 = 0 THEN epoch_us(date_trunc('second', ts)) END AS at_us FROM events) e",
+)
+def gpx_places(spark, sf):
+    """Even events as waypoints with a time, odd ones as points of a route."""
+    place = lambda tag: F.expr(
+        f"concat('<{tag} lat=\"', cast(event_id % 90 as string), '.5\" lon=\"', cast(user_id % 180 as string), '.25\"><name>p', event_id, '</name>', "
+        "if(event_id % 2 = 0, concat('<time>', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\"), '</time>'), ''), "
+        f"'</{tag}>')"
+    )
+    events = table(spark, sf, "events")
+    doc = F.floor(F.col("event_id") / 100)
+    ways = joined(events.where("event_id % 2 = 0"), doc, "event_id", place("wpt"), "", "ways")
+    stops = joined(events.where("event_id % 2 = 1"), doc, "event_id", place("rtept"), "", "stops")
+    both = ways.join(stops, "doc_id", "full")
+    body = F.concat(
+        F.lit('<gpx xmlns="http://www.topografix.com/GPX/1/1">'), F.coalesce("ways", F.lit("")), F.lit("<rte><name>r</name>"), F.coalesce("stops", F.lit("")), F.lit("</rte></gpx>")
+    )
+    return reports.gpx_places(both.select("doc_id", body.alias("body")), KEYS, F.col("body")).drop("ele")
+
+
+@query(
+    "kml_places",
+    f"SELECT event_id // 100 AS doc_id, CAST(row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id) - 1 AS INTEGER) AS idx, "
+    f"concat('a & ', event_id) AS name, {_PLACE_SQL}, CAST(event_id % 37 AS DOUBLE) AS ele, epoch_us(date_trunc('second', ts)) AS at_us FROM events",
+)
+def kml_places(spark, sf):
+    """Places with a time stamp or, for odd events, a time span."""
+    time = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    item = F.expr(
+        f"concat('<Placemark><name>a &amp; ', event_id, '</name>', if(event_id % 2 = 0, concat('<TimeStamp><when>', {time}, '</when></TimeStamp>'), "
+        f"concat('<TimeSpan><begin>', {time}, '</begin></TimeSpan>')), '<Point><coordinates> ', user_id % 180, '.25,', event_id % 90, '.5,', "
+        "event_id % 37, ' </coordinates></Point></Placemark>')"
+    )
+    return reports.kml_places(_event_docs(spark, sf, item, "<kml>", "</kml>", ""), KEYS, F.col("body"))
+
+
 @query(
     "geojson_features",
     "SELECT c_custkey // 50 AS doc_id, CAST(row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) - 1 AS INTEGER) AS idx, "

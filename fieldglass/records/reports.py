@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.functions.binding import let
+from fieldglass.functions.formatting import unescape_xml
 from fieldglass.functions.json_text import strict_json
 from fieldglass.functions.json_walk import walk as walk_json
 from fieldglass.functions.xml_walk import attribute
@@ -233,6 +234,52 @@ def gpx_points(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     )
 
 
+_PLACE = "_lat: double, _lon: double, ele: double, time: string, name: string"
+GPX_PLACES = f"wpt array<struct<{_PLACE}>>, rte array<struct<name: string, rtept: array<struct<{_PLACE}>>>>"
+
+
+def gpx_places(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """Waypoints and the points of routes, in order: ``kind``, the route's number and name, the point's name and place."""
+    read = df.select(*keys, F.from_xml(text, GPX_PLACES).alias("_d"))
+    ways = read.select(*keys, F.lit("waypoint").alias("kind"), F.lit(None).cast("int").alias("route"), F.lit(None).cast("string").alias("route_name"), F.posexplode("_d.wpt").alias("idx", "_p"))
+    routes = read.select(*keys, F.lit("route").alias("kind"), F.posexplode("_d.rte").alias("route", "_r"))
+    stops = routes.select(*keys, "kind", "route", F.col("_r.name").alias("route_name"), F.posexplode("_r.rtept").alias("idx", "_p"))
+    return ways.unionByName(stops).select(
+        *keys,
+        "kind",
+        "route",
+        "route_name",
+        "idx",
+        F.col("_p.name").alias("name"),
+        F.col("_p._lat").alias("lat"),
+        F.col("_p._lon").alias("lon"),
+        F.col("_p.ele").alias("ele"),
+        F.unix_micros(F.try_to_timestamp("_p.time")).alias("at_us"),
+    )
+
+
+def kml_places(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
+    """The points of a map document's places, in order, with the name and time of the place.
+
+    A place is a ``Placemark``; its time is that of its time stamp, or the begin of its span.
+    """
+    marks = F.regexp_extract_all(text, F.lit(r"(?s)<Placemark\b[^>]*>(.*?)</Placemark>"), F.lit(1))
+    rows = df.select(*keys, F.posexplode(marks).alias("idx", "_m"))
+    inside = lambda tag: F.regexp_extract("_m", rf"(?s)<{tag}\b[^>]*>\s*(.*?)\s*</{tag}>", 1)
+    spot = F.regexp_extract("_m", r"(?s)<Point\b[^>]*>.*?<coordinates>\s*(.*?)\s*</coordinates>", 1)
+    when = F.when(inside("when") != "", inside("when")).otherwise(inside("begin"))
+    part = lambda i: F.get(F.split("_spot", ","), F.lit(i)).try_cast("double")
+    return rows.withColumn("_spot", spot).where("_spot <> ''").select(
+        *keys,
+        "idx",
+        unescape_xml(inside("name")).alias("name"),
+        part(1).alias("lat"),
+        part(0).alias("lon"),
+        part(2).alias("ele"),
+        F.unix_micros(F.try_to_timestamp(when)).alias("at_us"),
+    )
+
+
 def kml_points(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """Points of the line strings of a map document, one track per line string."""
     lines = F.regexp_extract_all(text, F.lit(r"(?s)<LineString\b[^>]*>.*?<coordinates>\s*(.*?)\s*</coordinates>"), 1)

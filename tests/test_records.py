@@ -196,4 +196,4 @@ def test_dialects_do_not_depend_on_nested_members(spark):
 def test_json_table(spark):
     text = '[{"b":1,"a":"x"},{"a":null,"c":{"d":[1]}},7]'
     got = docs(spark, text).select(nested.json_to_csv(F.col("body"))).first()[0]
-    assert got == '"a","b","c"\n"x","1",""\n"","","{""d"":[1]}"'
+    assert got == '"b","a","c"\n"1","x",""\n"","","{""d"":[1]}"'

@@ -1,11 +1,16 @@
 """Token counts by a two-tier lookup inside the map side.
 
-First tier: one pass over all texts counts the words that follow a space, each
-task keeping a bounded summary, and the most frequent ones are given their
-number of tokens; this table has a fixed size and is broadcast. Second tier:
-pre-tokens that the table does not hold are encoded by the tokenizer library and
-kept in a cache of the worker. No pre-token is shuffled; the only rows that move
-are the bounded summaries. What the table holds changes the speed, never a count.
+The tokenizer starts a pre-token at every space that stands before a character
+that is no white space, so a text falls into pieces there whose tokens do not
+depend on each other: a word with its marks and what white space follows.
+
+First tier: one pass over all texts counts the pieces, each task keeping a
+bounded summary; the most frequent ones are given their number of tokens, and this table
+of a fixed size is broadcast. Second tier: pieces that the table does not hold are
+encoded by the tokenizer library and kept in a cache of the worker. No piece is
+shuffled: a task hands on its summary as one value, and summaries are merged whole, in two
+levels, so the driver gets one table however many tasks there are. What the
+table holds changes the speed, never a count.
 
 A null text is empty: no bytes, no tokens. Special strings inside a text count
 as the library counts them. Rows are counted one by one, repeated or not; an
@@ -14,85 +19,128 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.llm import words
 from fieldglass.llm.register import query, table
 from fieldglass.llm.tokens import SPECIAL, VOCABULARY, kept, library
 
 #: Entries of the broadcast table.
-TABLE_WORDS = 30_000
-#: Distinct words a task keeps while it counts, and those that it hands on.
-SUMMARY_WORDS, HANDED_ON = 200_000, 60_000
-#: Longer words are left to the caches.
-WORD_BYTES = 40
-#: Pre-tokens a worker's cache holds before it starts anew.
-CACHE_WORDS = 400_000
+TABLE_PIECES = 30_000
+#: Distinct pieces a task keeps while it counts, and those that it hands on.
+SUMMARY_PIECES, HANDED_ON = 200_000, 60_000
+#: Tasks that merge summaries before the last one does.
+MERGERS = 64
+#: Longer pieces are encoded each time; they enter neither table nor cache.
+PIECE_CHARS = 40
+#: Pieces a worker's cache holds before it starts anew.
+CACHE_PIECES = 400_000
+#: Characters of a text that are cut into pieces at once.
+STRETCH = 1 << 20
 LIMIT = 512
+#: Python's white space holds all that the tokenizer's pattern takes for it, so no cut is wrong.
+CUT = re.compile(r" (?=\S)")
 
 
-def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The most frequent space-led words of one task, with their counts there."""
-    import numpy as np
-
-    seen: dict[bytes, int] = {}
-    for batch in batches:
-        for _, data in words.chunks(batch["text"]):
-            joined, starts, ends, _ = words.word_spans(data)
-            led = (starts > 0) & (joined[starts - 1] == 32) & (ends - starts <= WORD_BYTES)
-            starts, ends = starts[led], ends[led]
-            if not len(starts):
-                continue
-            _, at, n = np.unique(words.span_hashes(joined, starts, ends), return_index=True, return_counts=True)
-            whole = joined.tobytes()
-            for i, k in zip(at[n > 1], n[n > 1], strict=True):
-                word = whole[starts[i] : ends[i]]
-                seen[word] = seen.get(word, 0) + int(k)
-        if len(seen) > SUMMARY_WORDS:
-            top = sorted(seen.items(), key=lambda kv: -kv[1])[: SUMMARY_WORDS // 2]
-            seen = dict(top)
-    top = sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:HANDED_ON]
-    if top:
-        yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w, _ in top], "n": [n for _, n in top]})
+def stretches(text: str) -> Iterator[str]:
+    """A text in parts of about ``STRETCH`` characters, cut where pieces begin."""
+    at = 0
+    while len(text) - at > STRETCH:
+        found = CUT.search(text, at + STRETCH)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
 
 
-def frequent_words(docs: DataFrame, size: int = TABLE_WORDS) -> list[str]:
-    """The words most often led by a space, at most ``size`` of them."""
-    found = docs.select("text").mapInPandas(_frequent, "word string, n long")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r["word"] for r in top.collect()]
+def _heaviest(seen: Counter, size: int) -> Counter:
+    if len(seen) <= size:
+        return seen
+    return Counter(dict(sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:size]))
 
 
-def _splitter():
-    def make():
-        import public_tokenizers
-        import regex
+def _packed(seen: Counter) -> Iterator[pd.DataFrame]:
+    top = _heaviest(seen, HANDED_ON)
+    if top:
+        yield pd.DataFrame({"pieces": [list(top)], "counts": [list(top.values())]})
 
-        return regex.compile(public_tokenizers.PATTERN)
 
-    return kept(("splitter",), make)
+def _summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row: the most frequent pieces of one task, without their space, and their counts there."""
+    seen: Counter = Counter()
+    for batch in batches:
+        for text in batch["text"]:
+            for part in stretches(text or ""):
+                seen.update([p for p in CUT.split(part)[1:] if len(p) <= PIECE_CHARS])
+                if len(seen) > SUMMARY_PIECES:
+                    seen = _heaviest(seen, SUMMARY_PIECES // 2)
+    yield from _packed(seen)
 
 
-def lengths_of(words: list[str]) -> dict[str, int]:
-    """Token numbers of space-led words that are one pre-token each."""
-    split = _splitter()
-    whole = [" " + w for w in words if split.fullmatch(" " + w) and SPECIAL not in w]
-    coded = library().encode_batch(whole, add_special_tokens=False)
-    return {w: len(c.ids) for w, c in zip(whole, coded, strict=True)}
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row: the summaries that reach a task, one after the other, as one."""
+    seen: Counter = Counter()
+    for batch in batches:
+        for pieces, counts in zip(batch["pieces"], batch["counts"], strict=True):
+            for piece, n in zip(pieces, counts, strict=True):
+                seen[piece] += int(n)
+            if len(seen) > SUMMARY_PIECES:
+                seen = _heaviest(seen, SUMMARY_PIECES // 2)
+    yield from _packed(seen)
+
+
+def frequent_pieces(docs: DataFrame, size: int = TABLE_PIECES) -> list[str]:
+    """The pieces most often led by a space, at most ``size`` of them."""
+    shape = "pieces array<string>, counts array<long>"
+    found = docs.select("text").mapInPandas(_summary, shape)
+    # Whole summaries move, dealt by turns; one task merges those of the mergers.
+    for tasks in (MERGERS, 1):
+        found = found.repartition(tasks).mapInPandas(_merged, shape)
+    only = found.select(F.slice(F.arrays_zip("pieces", "counts"), 1, size)["pieces"].alias("pieces")).first()
+    return only["pieces"] if only else []
+
+
+def lengths_of(pieces: list[str]) -> dict[str, int]:
+    """Token numbers of pieces, each led by a space."""
+    coded = library().encode_batch([" " + p for p in pieces], add_special_tokens=False)
+    return {p: len(c.ids) for p, c in zip(pieces, coded, strict=True)}
+
+
+def tokens_in(text: str, first: dict[str, int], cache: dict[str, int]) -> int:
+    """Tokens of a text without special strings."""
+    total = 0
+    for part in stretches(text):
+        head, *pieces = CUT.split(part)
+        if head:
+            total += len(library().encode(head, add_special_tokens=False).ids)
+        counts = list(map(first.get, pieces))
+        if None in counts:
+            left = [p for p, n in zip(pieces, counts, strict=True) if n is None]
+            counts = [n for n in counts if n is not None]
+            new = [p for p in dict.fromkeys(left) if p not in cache]
+            lengths = lengths_of(new)
+            if len(cache) + len(new) > CACHE_PIECES:
+                lengths.update((p, cache[p]) for p in left if p in cache)
+                cache.clear()
+            cache.update((p, n) for p, n in lengths.items() if len(p) <= PIECE_CHARS)
+            counts += [lengths[p] if p in lengths else cache[p] for p in left]
+        total += sum(counts)
+    return total
 
 
 def count_tokens(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every document."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(lengths_of(frequent_words(docs)))
+    plain = [p for p in frequent_pieces(docs) if SPECIAL not in p]
+    shared = spark.sparkContext.broadcast(lengths_of(plain))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = _splitter()
-        coder = library()
         first = shared.value
         cache: dict[str, int] = kept(("lengths", VOCABULARY), dict)
         for batch in batches:
@@ -100,24 +148,10 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             for text in batch["text"]:
                 text = text or ""
                 if SPECIAL in text:
-                    rows.append((len(text.encode()), len(coder.encode(text, add_special_tokens=False).ids)))
-                    continue
-                total, misses = 0, []
-                for part in split.findall(text):
-                    n = first.get(part) or cache.get(part)
-                    if n:
-                        total += n
-                    else:
-                        misses.append(part)
-                if misses:
-                    new = list(dict.fromkeys(misses))
-                    if len(cache) + len(new) > CACHE_WORDS:
-                        cache.clear()
-                    coded = [len(c.ids) for c in coder.encode_batch(new, add_special_tokens=False)]
-                    lengths = dict(zip(new, coded, strict=True))
-                    cache.update(lengths)
-                    total += sum(map(lengths.__getitem__, misses))
-                rows.append((len(text.encode()), total))
+                    n = len(library().encode(text, add_special_tokens=False).ids)
+                else:
+                    n = tokens_in(text, first, cache)
+                rows.append((len(text.encode()), n))
             made = pd.DataFrame(rows, columns=["n_bytes", "n_tokens"])
             made.insert(0, "doc_id", batch["doc_id"].to_numpy())
             made["over_limit"] = made["n_tokens"] > limit

@@ -3,9 +3,9 @@
 Records are ordered by a hash of their text. A sample drawn in proportion to
 size gives splitters that cut the order into ranges of about equal bytes; a key
 that alone fills a range gets a range of its own. The exact bytes and rows of
-every range are then counted, overfull ranges are subdivided, and the ranges are
-dealt to the shards, largest first. Equal texts stay in one shard unless their
-range is overfull.
+every range are then counted, overfull ranges are subdivided by a second hash of the
+key, and the parts are dealt to the shards, largest first. Equal texts stay in one
+shard unless they alone are more than a part may hold: only such a key is cut by row.
 
 Size is the UTF-8 length of the text plus one. Null texts count as empty; null
 ids are kept; repeated rows are placed one by one; an empty table gives no rows.
@@ -32,7 +32,8 @@ SAMPLES_PER_RANGE = 16
 OVERFULL_BYTES, OVERFULL_ROWS = 4, 16
 #: An overfull range is cut into cells of about one part in so many of a shard.
 CELLS_PER_SHARD = 32
-#: No cell is planned over more rows than this, whatever the table's size.
+#: No cell is planned over more rows than this, whatever the table's size, so that
+#: one task can number the rows of a cell.
 CELL_ROWS = 1_000_000
 #: Bits of the key by which ranges are looked up.
 LOOKUP_BITS = 12
@@ -77,7 +78,9 @@ def deal(cells: list[tuple[int, int, int, int]], shards: int) -> list[dict]:
     return out
 
 
-def shard_by_bytes(records: DataFrame, text_col: str = "text", id_col: str = "doc_id", shards: int = SHARDS) -> DataFrame:
+def shard_by_bytes(
+    records: DataFrame, text_col: str = "text", id_col: str = "doc_id", shards: int = SHARDS, most_rows: int = CELL_ROWS
+) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` for every record."""
     spark = records.sparkSession
     text = whole_text(text_col)
@@ -118,21 +121,38 @@ def shard_by_bytes(records: DataFrame, text_col: str = "text", id_col: str = "do
     )
     filled = ranged.groupBy("_range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     cell_bytes = max(1, total / (shards * CELLS_PER_SHARD))
-    cell_rows = max(1, min(CELL_ROWS, rows / (shards * CELLS_PER_SHARD)))
+    cell_rows = max(1, min(most_rows, rows / (shards * CELLS_PER_SHARD)))
     over_bytes = total / (shards * OVERFULL_BYTES)
-    over_rows = min(CELL_ROWS, rows / (shards * OVERFULL_ROWS))
+    over_rows = min(most_rows, rows / (shards * OVERFULL_ROWS))
+    overfull = {r["_range"]: [r["b"], r["n"]] for r in filled if r["b"] > over_bytes or r["n"] > over_rows}
+
+    def pieces(size: int, count: int) -> int:
+        return max(1, round(size / cell_bytes), round(count / cell_rows))
+
+    # A key is heavy only if it alone is overfull, so heavy keys are few.
+    heavy = []
+    if overfull:
+        listed = literal_table(spark, [{"_range": r} for r in overfull], "_range:int")
+        counted = ranged.join(F.broadcast(listed), "_range").groupBy("_range", "_key")
+        alone = counted.agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+        heavy = alone.where((F.col("b") > over_bytes) | (F.col("n") > over_rows)).collect()
+    own, at = [], 0
+    for r in sorted(heavy, key=lambda r: r["_key"]):
+        overfull[r["_range"]][0] -= r["b"]
+        overfull[r["_range"]][1] -= r["n"]
+        count = pieces(r["b"], r["n"])
+        own.append({"_key": r["_key"], "_from": at, "_pieces": count})
+        at += count
     parts = [
-        {
-            "_range": r["_range"],
-            "_parts": max(round(r["b"] / cell_bytes), round(r["n"] / cell_rows))
-            if r["b"] > over_bytes or r["n"] > over_rows
-            else 1,
-        }
-        for r in filled
+        {"_range": r["_range"], "_parts": pieces(*overfull[r["_range"]]) if r["_range"] in overfull else 1} for r in filled
     ]
-    subdivided = ranged.join(
-        F.broadcast(literal_table(spark, parts, "_range:int,_parts:int")), "_range"
-    ).withColumn("_part", F.pmod("_spread", F.col("_parts")).cast("int"))
+    by_key = F.pmod(F.xxhash64("_key", F.lit(29)), F.col("_parts"))
+    by_row = -1 - F.col("_from") - F.pmod("_spread", F.col("_pieces"))
+    subdivided = (
+        ranged.join(F.broadcast(literal_table(spark, parts, "_range:int,_parts:int")), "_range")
+        .join(F.broadcast(literal_table(spark, own, "_key:bigint,_from:int,_pieces:int")), "_key", "left")
+        .withColumn("_part", F.coalesce(by_row, by_key).cast("int"))
+    )
     cells = subdivided.groupBy("_range", "_part").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     dealt = literal_table(
         spark,

@@ -7,8 +7,8 @@ from fieldglass.llm.sharding import HIGHEST, LOWEST, deal, shard_by_bytes, split
 from helpers import story
 
 
-def shards(df):
-    return [r.asDict() for r in shard_by_bytes(df).collect()]
+def shards(df, **how):
+    return [r.asDict() for r in shard_by_bytes(df, **how).collect()]
 
 
 def balanced(rows, largest):
@@ -49,6 +49,18 @@ def test_small_groups_stay_together(docs):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_overfull_ranges_are_cut_by_key(docs):
+    texts = [story(i // 2, 30) for i in range(2000)] + [story(5000, 40)] * 60
+    rows = shards(docs(*texts), most_rows=5)
+    assert len(rows) == len(texts)
+    balanced(rows, 2000)
+    where = {}
+    for r in rows:
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert {len(s) for t, s in where.items() if t != texts[-1]} == {1}
+    assert len(where[texts[-1]]) > 1
+
+
 def test_empty(docs):
     assert shards(docs("a").where(F.lit(False))) == []
 

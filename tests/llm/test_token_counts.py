@@ -1,8 +1,11 @@
+import os
+
 from fieldglass.llm.token_counts import STRETCH, count_tokens, frequent_pieces, stretches
 from fieldglass.llm.tokens import library
 from helpers import story
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.01"
 TEXTS = [
     "", None, " ", "\n\n  x\n", "a  b   c", "don't they'll I've", "x <|endoftext|> y", "<|endoftext|>", "naïve 東京 1234 ½ Ⅷ",
     "a\u00a0b \u2028 c", "!!! ??? ...", "word " * 700, "\tif x:\n\t\treturn\n", "e\u0301 \U0001f600\U0001f600", "z" * 30000,
@@ -29,6 +32,13 @@ def test_white_space_of_all_kinds(docs):
     assert got == {i: len(library().encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
+def test_same_as_the_library_on_given_texts(spark):
+    texts = spark.read.parquet(os.path.join(SF, "documents.parquet"))
+    whole = {r["doc_id"]: r["text"] or "" for r in texts.collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(texts).collect()}
+    assert got == {i: len(library().encode(t, add_special_tokens=False).ids) for i, t in whole.items()}
+
+
 def test_long_texts_in_stretches(docs):
     text = story(5, 2000) * 120 + " " * 3 + "y1" * (STRETCH // 2 + 5)
     assert len(text) > 2 * STRETCH and "".join(stretches(text)) == text

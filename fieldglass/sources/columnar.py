@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +86,13 @@ def footer_profile(spark: SparkSession, path: str | list[str], pattern: str = "*
     return files.repartition(slots, "path").mapInPandas(_read_footers, FOOTER_SCHEMA)
 
 
+def entry_name(path: Column, folder: str) -> Column:
+    """The name of the entry of ``folder`` in which a file lies: the file's own, or that of the folder that holds its parts."""
+    inner = posixpath.normpath(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder)).strip("/")
+    below = rf"(?:^|/|:)\Q{inner}\E/+([^/]+)"
+    return F.regexp_extract(path, below, 1)
+
+
 def footer_columns(footers: DataFrame) -> DataFrame:
     return footers.select("path", F.inline("columns"))
 

@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass.plans import files
 from fieldglass.records import packets
 from fieldglass.sources import archives, captures, columnar, delimited, lines
 from fieldglass.streaming.lines import search_lines, stream_lines, with_line_kind
@@ -240,3 +241,21 @@ def test_parquet_window_over_files(spark, tmp_path):
         assert sorted((r.pos, r.id) for r in got.collect()) == list(enumerate(stored))[start : start + size]
     one = columnar.read_parquet_window(spark, folder, ["m"], 13, 2)
     assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def folder_of_tables(spark, tmp_path):
+    """A table stored as one file, and one stored as a folder of three parts."""
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "made"))
+    (part,) = (tmp_path / "made").glob("*.parquet")
+    root = tmp_path / "tables"
+    root.mkdir()
+    part.rename(root / "orders.parquet")
+    spark.range(0, 40, 1, 3).write.parquet(str(root / "region.parquet"))
+    return str(root)
+
+
+def test_inventory_of_tables_in_parts(spark, folder_of_tables):
+    for root in (folder_of_tables, f"file:{folder_of_tables}/"):
+        found = files.file_inventory(spark, root).orderBy("name").collect()
+        assert [tuple(r) for r in found] == [(n, ".parquet", True, "parquet") for n in ("orders.parquet", "region.parquet")]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions.cells import trimmed
 from fieldglass.functions.formatting import unescape_xml
-from fieldglass.functions.xml_walk import walk as walk_xml
+from fieldglass.functions.xml_walk import element_rows
 from fieldglass.sources.lines import document_lines
 
 def _word(i: int | Column) -> Column:
@@ -361,8 +361,8 @@ def arxml_elements(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     included, and the element's own, as references spell it.
     """
     kinds = ["AR-PACKAGE", *ARXML_KINDS]
-    named = F.filter(walk_xml(text, name_tag="SHORT-NAME"), lambda e: e["tag"].isin(kinds) & e["name"].isNotNull())
-    return df.select(*keys, F.explode(named).alias("_e")).select(
+    named = element_rows(df, keys, text, kinds, name_tag="SHORT-NAME").where("element.name IS NOT NULL")
+    return named.withColumnRenamed("element", "_e").select(
         *keys,
         F.col("_e.tag").alias("kind"),
         F.col("_e.name").alias("name"),

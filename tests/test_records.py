@@ -3,10 +3,41 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass.functions.pieces import text_pieces
 from fieldglass.operators import classify, integrity, nested, tensors
 from fieldglass.records import engineering, reports, web
 
 
+def task_memory(spark, df):
+    """MB that a Python worker grows by over the rows of a frame, as seen from outside."""
+    import os
+    import threading
+
+    def workers():
+        found = {}
+        for pid in filter(str.isdigit, os.listdir("/proc")):
+            try:
+                with open(f"/proc/{pid}/cmdline") as command, open(f"/proc/{pid}/statm") as pages:
+                    if "pyspark.daemon" in command.read():
+                        found[pid] = int(pages.read().split()[1]) * 4096 / 1e6
+            except OSError:
+                pass
+        return found
+
+    start, peak, done = workers(), [0.0], threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            peak[0] = max(peak[0], max((mb - start.get(pid, 100) for pid, mb in workers().items()), default=0))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    df.write.format("noop").mode("overwrite").save()
+    done.set()
+    watcher.join()
+    return peak[0]
+
+
 def docs(spark, *texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc int, body string")
 
@@ -197,3 +228,23 @@ def test_json_table(spark):
     text = '[{"b":1,"a":"x"},{"a":null,"c":{"d":[1]}},7]'
     got = docs(spark, text).select(nested.json_to_csv(F.col("body"))).first()[0]
     assert got == '"b","a","c"\n"1","x",""\n"","","{""d"":[1]}"'
+
+
+
+def test_batches_are_cut_by_size():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(6)), "t": ["aaaa", None, "bb", "c" * 50, "", "ddd"]})
+    cut = [p.column(0).to_pylist() for p in text_pieces(batch, most=6)]
+    assert cut == [[0, 1, 2], [3], [4, 5]]
+    assert list(text_pieces(batch.slice(0, 0))) == []
+
+
+def test_suites_of_a_large_batch_in_bounded_memory(spark):
+    """A thousand reports of 25 KB come in one batch; all their elements at once would take over 500 MB."""
+    cases = "".join(f"<testcase name='{i}' time='1'></testcase>" for i in range(600))
+    given = spark.range(0, 1000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("<testsuite name='s'>" + cases), "id", F.lit("</testsuite>")).alias("body")
+    )
+    peak = task_memory(spark, reports.junit_cases(given, ["doc_id"], F.col("body")))
+    assert peak < 250

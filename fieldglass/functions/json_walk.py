@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldglass.functions.json_text import strict_json
+from fieldglass.functions.pieces import PIECE_BYTES, byte_sizes, pieces, text_pieces
 
 # A key with its colon, a string, a bracket, or another scalar; commas carry nothing.
 TOKEN = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?+|[\[\]{}]|[^\s\[\]{},:"]++', re.DOTALL)
@@ -93,6 +94,14 @@ def _without(records: list[list], dropped: list[int]) -> list[list]:
 
 
 def _walked(texts):
+    """The records of a column of texts; only a slice of them is held as Python objects."""
+    import pyarrow as pa
+
+    parts = [_walked_piece(p) for p in pieces(texts, byte_sizes(texts), PIECE_BYTES)]
+    return pa.concat_arrays(parts) if len(parts) > 1 else parts[0] if parts else _walked_piece(texts)
+
+
+def _walked_piece(texts, keep=None):
     import pyarrow as pa
 
     kinds = [pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
@@ -101,7 +110,8 @@ def _walked(texts):
     for text in texts.to_pylist():
         if text is not None:
             try:
-                rows += records_of(text)
+                found = records_of(text)
+                rows += found if keep is None else [r for r in found if keep(r)]
             except (IndexError, ValueError):  # not valid; its records are not used
                 pass
         offsets.append(len(rows))
@@ -125,7 +135,7 @@ def value_rows(df: DataFrame, text: str, depth: int | None = None) -> DataFrame:
         import pyarrow as pa
 
         kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in text_pieces(whole)):
             owners, rows = [], []
             for i, one in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if one is None:
@@ -146,6 +156,22 @@ def value_rows(df: DataFrame, text: str, depth: int | None = None) -> DataFrame:
     return given.mapInArrow(run, T.StructType([*others, *added]))
 
 
+def with_records(df: DataFrame, text: str, name: str, keep=None) -> DataFrame:
+    """Add the records of each document as an array of ``RECORD``, those for which ``keep(record)`` is true; null for invalid texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for piece in text_pieces(batch):
+                made = _walked_piece(piece.column(piece.num_columns - 1), keep)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], made], names=[*piece.schema.names[:-1], name])
+
+    given = df.withColumn("_valid", F.when(strict_json(F.col(text)).isNotNull(), F.col(text)))
+    record = T.StructField(name, T._parse_datatype_string(f"array<{RECORD}>"))
+    return given.mapInArrow(run, T.StructType([*df.schema.fields, record]))
+
+
 def walk(text: Column) -> Column:
     """The records of a document as an array of ``RECORD``; null for invalid texts.
 

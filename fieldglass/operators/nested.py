@@ -13,7 +13,7 @@ from fieldglass.functions.binding import let
 from fieldglass.functions.cells import number_text
 from fieldglass.functions.formatting import escape_xml, quote_csv
 from fieldglass.functions.json_text import json_kind, nesting_depth, strict_json
-from fieldglass.functions.json_walk import token_kind, value_rows, walk
+from fieldglass.functions.json_walk import token_kind, value_rows, walk, with_records
 
 
 def max_depth(df: DataFrame, text: Column) -> int:
@@ -98,8 +98,9 @@ def minified_json(text: Column) -> Column:
 
 def _assembled(df: DataFrame, keys: list[str], text: Column, piece, name: str) -> DataFrame:
     """Build one text per document from ``piece(record)``, one after another."""
-    parts = F.transform(walk(text), lambda r: let(token_kind(r["token"]), lambda kind: piece(r, kind)))
-    return df.select(*keys, F.array_join(parts, "").alias(name))
+    read = with_records(df.select(*keys, text.alias("_body")), "_body", "_records")
+    parts = F.transform("_records", lambda r: let(token_kind(r["token"]), lambda kind: piece(r, kind)))
+    return read.select(*keys, F.array_join(parts, "").alias(name))
 
 
 def _quoted(text: Column) -> Column:

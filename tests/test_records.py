@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass.functions.json_walk import with_records
 from fieldglass.functions.pieces import text_pieces
 from fieldglass.operators import classify, integrity, nested, tensors
 from fieldglass.records import engineering, reports, web
@@ -248,3 +249,15 @@ def test_suites_of_a_large_batch_in_bounded_memory(spark):
     )
     peak = task_memory(spark, reports.junit_cases(given, ["doc_id"], F.col("body")))
     assert peak < 250
+
+
+def test_components_of_a_large_batch_in_bounded_memory(spark):
+    """A thousand bills of 30 KB come in one batch."""
+    inner = ",".join(f'{{"name":"c{i}","version":"1","purl":"p"}}' for i in range(700))
+    given = spark.range(0, 1000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit('{"n":'), "id", F.lit(',"components":[' + inner + "]}")).alias("body")
+    )
+    read = with_records(given, "body", "found", lambda r: not r[0] and r[1].count("/") == 2).select("doc_id", F.size("found").alias("n"))
+    assert read.where("n = 700").count() == 1000
+    assert task_memory(spark, read) < 250
+    assert task_memory(spark, nested.node_table(given, ["doc_id"], F.col("body")).agg(F.count("path"))) < 250

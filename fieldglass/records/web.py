@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldglass.functions.pieces import PIECE_ITEMS, pieces
 from fieldglass.operators.ordering import BUCKET_ROWS, earlier_max, previous_in_group, running_sum
 
 HAR_SCHEMA = (
@@ -147,25 +148,30 @@ def paired_marks(phases, pids, tids, times, durations) -> list[tuple[int, float
 def trace_document_spans(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """The spans of ``trace_spans``, from whole documents: marks are paired inside the document's row, without a shuffle."""
 
-    def run(batches):
+    def spans_of(batch):
         import pyarrow as pa
 
-        for batch in batches:
-            events = batch.column(batch.num_columns - 1)
-            flat = events.flatten()
-            name, ph, pid, tid, ts, dur = (flat.field(n).to_pylist() for n in ("name", "ph", "pid", "tid", "ts", "dur"))
-            owners, rows, at = [], [], 0
-            for i, size in enumerate(events.value_lengths().to_pylist()):
-                part = slice(at, at + (size or 0))
-                for k, start, length in paired_marks(ph[part], pid[part], tid[part], ts[part], dur[part]):
-                    owners.append(i)
-                    rows.append((pid[at + k], tid[at + k], name[at + k], start, length))
-                at = part.stop
-            kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).take(pa.array(owners, pa.int64()))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*kept.schema.names, "pid", "tid", "name", "start", "dur"])
+        events = batch.column(batch.num_columns - 1)
+        flat = events.flatten()
+        name, ph, pid, tid, ts, dur = (flat.field(n).to_pylist() for n in ("name", "ph", "pid", "tid", "ts", "dur"))
+        owners, rows, at = [], [], 0
+        for i, size in enumerate(events.value_lengths().to_pylist()):
+            part = slice(at, at + (size or 0))
+            for k, start, length in paired_marks(ph[part], pid[part], tid[part], ts[part], dur[part]):
+                owners.append(i)
+                rows.append((pid[at + k], tid[at + k], name[at + k], start, length))
+            at = part.stop
+        kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).take(pa.array(owners, pa.int64()))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64()]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*kept.schema.names, "pid", "tid", "name", "start", "dur"])
+
+    def run(batches):
+        for whole in batches:
+            counts = [n or 0 for n in whole.column(whole.num_columns - 1).value_lengths().to_pylist()]
+            for batch in pieces(whole, counts, PIECE_ITEMS):
+                yield spans_of(batch)
 
     given = df.select(*keys, F.from_json(text, TRACE_SCHEMA)["traceEvents"].alias("_events"))
     added = T._parse_datatype_string("pid long, tid long, name string, start double, dur double")

@@ -261,3 +261,15 @@ def test_components_of_a_large_batch_in_bounded_memory(spark):
     assert read.where("n = 700").count() == 1000
     assert task_memory(spark, read) < 250
     assert task_memory(spark, nested.node_table(given, ["doc_id"], F.col("body")).agg(F.count("path"))) < 250
+
+
+def test_traces_of_a_large_batch_in_bounded_memory(spark):
+    """Two thousand traces of 400 events come in one batch; their spans at once would take over 300 MB."""
+    pair = '{"name":"a","ph":"B","pid":1,"tid":1,"ts":%d},{"ph":"E","pid":1,"tid":1,"ts":%d}'
+    events = ",".join(pair % (10 * i, 10 * i + 4) for i in range(200))
+    given = spark.range(0, 2000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit('{"n":'), "id", F.lit(',"traceEvents":[' + events + "]}")).alias("body")
+    )
+    spans = web.trace_document_spans(given, ["doc_id"], F.col("body"))
+    assert spans.where("dur = 4").count() == 400_000
+    assert task_memory(spark, spans) < 250

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldglass.functions.pieces import text_pieces
+
 MEMBER_SCHEMA = "archive string, entry_path string, size long, is_directory boolean, problem string"
 
 # What an archive may hold to count as safe.
@@ -47,17 +49,21 @@ def _problem(content: bytes) -> str | None:
     return None if start + size == at else "directory inconsistent"
 
 
-def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["archive", "entry_path", "size", "is_directory", "problem"]
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
+    names = ["archive", "entry_path", "size", "is_directory", "problem"]
     for batch in batches:
-        rows = []
-        for archive, content in zip(batch["archive"], batch["content"], strict=True):
-            problem = _problem(bytes(content))
-            try:
-                rows += [(archive, *m, problem) for m in _members(bytes(content))]
-            except Exception as error:  # an unreadable archive is a result, not a failed job
-                rows.append((archive, None, None, None, problem or f"unreadable: {type(error).__name__}"))
-        yield pd.DataFrame(rows, columns=columns)
+        for piece in text_pieces(batch):
+            rows = []
+            for archive, content in zip(*piece.columns, strict=True):
+                archive, data = archive.as_py(), content.as_py() or b""
+                problem = _problem(data)
+                try:
+                    rows += [(archive, *m, problem) for m in _members(data)]
+                except Exception as error:  # an unreadable archive is a result, not a failed job
+                    rows.append((archive, None, None, None, problem or f"unreadable: {type(error).__name__}"))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def list_members(archives: DataFrame) -> DataFrame:
@@ -65,7 +71,7 @@ def list_members(archives: DataFrame) -> DataFrame:
 
     An archive that cannot be read gives one row with its ``problem``.
     """
-    return archives.select("archive", "content").mapInPandas(_list, MEMBER_SCHEMA)
+    return archives.select("archive", "content").mapInArrow(_list, MEMBER_SCHEMA)
 
 
 def archive_files(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:

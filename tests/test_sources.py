@@ -271,3 +271,17 @@ def test_footers_of_tables_in_parts(spark, folder_of_tables):
     assert [tuple(r) for r in found] == [("orders.parquet", 5, True), ("region.parquet", 40, True)]
     types = files.parquet_column_types(spark, folder_of_tables).orderBy("name").collect()
     assert [tuple(r) for r in types] == [(n, 0, "id", "INT64") for n in ("orders.parquet", "region.parquet")]
+
+
+def test_archives_of_a_batch_are_listed_in_slices():
+    import pyarrow as pa
+
+    stream = io.BytesIO()
+    with zipfile.ZipFile(stream, "w") as z:
+        for i in range(100):
+            z.writestr(f"{i}.txt", "x" * 5000)
+    data = stream.getvalue()
+    batch = pa.RecordBatch.from_pydict({"archive": [str(i) for i in range(20)], "content": [data] * 20})
+    listed = list(archives._list(iter([batch])))
+    assert len(listed) >= 9 and sum(b.num_rows for b in listed) == 2000
+    assert {b.column(0)[i].as_py() for b in listed for i in range(b.num_rows)} == {str(i) for i in range(20)}

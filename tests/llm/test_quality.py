@@ -57,3 +57,17 @@ def test_no_labels_and_no_documents(spark, docs):
     assert Q.score_documents(docs("a").where(F.lit(False)), model).collect() == []
     one = Q.learn(docs(*texts(20)), spark.createDataFrame([(i, 1, 0) for i in range(20)], LABELS))
     assert [round(r["score"], 9) for r in Q.score_documents(docs("a"), one).collect()] == [0.7]
+
+
+def test_every_labelled_row_is_learnt_from(spark, docs):
+    """One row more among many, and cells of any number, go into the model; how cells fall does not matter for the order of rows."""
+    df = docs(*texts(300))
+    rows = [(i, int(bool(i % 4)), 0) for i in range(300)]
+    model = lambda some, size: Q.learn(df, spark.createDataFrame(some, LABELS), size)
+    whole, again = model(rows, 40), model(rows[::-1], 40)
+    assert np.array_equal(whole["weights"], again["weights"]) and whole["threshold"] == again["threshold"]
+    learnt = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2]
+    want = Q.features([texts(300)[i] for i in learnt]).mean(axis=0)
+    assert np.allclose(whole["centre"], want)
+    right = sum((s >= Q.THRESHOLD) == bool(i % 4) for i, s in enumerate(Q.score(Q.features(texts(300)), whole)))
+    assert right / 300 > 0.95

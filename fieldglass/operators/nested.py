@@ -59,14 +59,13 @@ def node_table(df: DataFrame, keys: list[str], text: Column, depth: int | None =
     )
 
 
-def search_nodes(nodes: DataFrame, query: str) -> DataFrame:
-    """Nodes whose key or scalar text holds the trimmed query; none when it is blank."""
-    needle = F.lit(query.strip().lower())
-    if not query.strip():
-        return nodes.where(F.lit(False))
-    return nodes.where(
-        F.contains(F.lower("key"), needle) | F.coalesce(F.contains(F.lower("primitive"), needle), F.lit(False))
-    )
+def search_nodes(nodes: DataFrame, *queries: str) -> DataFrame:
+    """Nodes whose key or scalar text holds one of the trimmed queries, in one pass; none when all are blank."""
+    key, primitive = F.lower("key"), F.lower("primitive")
+    held = F.lit(False)
+    for needle in (F.lit(q.strip().lower()) for q in queries if q.strip()):
+        held = held | F.contains(key, needle) | F.coalesce(F.contains(primitive, needle), F.lit(False))
+    return nodes.where(held)
 
 
 def match_ancestors(matches: DataFrame, keys: list[str]) -> DataFrame:

@@ -76,8 +76,7 @@ def json_search(spark, sf):
 )
 def json_match_ancestors(spark, sf):
     nodes = _order_nodes(spark, sf)
-    matches = nested.search_nodes(nodes, "low").unionByName(nested.search_nodes(nodes, "qty"))
-    return nested.match_ancestors(matches, ["o_orderkey"])
+    return nested.match_ancestors(nested.search_nodes(nodes, "low", "qty"), ["o_orderkey"])
 
 
 @query(

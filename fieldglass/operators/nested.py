@@ -6,6 +6,8 @@ node table is one scan without any shuffle, with one plan for documents of any d
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from fieldglass.functions.binding import let
 from fieldglass.functions.cells import number_text
 from fieldglass.functions.formatting import escape_xml, quote_csv
 from fieldglass.functions.json_text import json_kind, nesting_depth, strict_json
-from fieldglass.functions.json_walk import token_kind, value_rows, walk, with_records
+from fieldglass.functions.json_walk import framed_scalars, token_kind, value_rows, walk, with_records
 
 
 def max_depth(df: DataFrame, text: Column) -> int:
@@ -138,35 +140,31 @@ def json_to_yaml(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
 
 
 def json_to_xml(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """Elements named by key (``item`` inside arrays), ``root`` outermost."""
-
-    def named(depth: Column, parent_kind: Column, key: Column) -> Column:
-        return (
-            F.when(depth == 0, "root")
-            .when(parent_kind == "array", "item")
-            .otherwise(F.regexp_replace(key, r"[^A-Za-z0-9_.-]", "_"))
-        )
-
-    def last_step(path: Column) -> Column:
-        step = F.substring_index(path, "/", -1)
-        return F.replace(F.replace(step, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+    """Elements named by key (``item`` inside arrays), ``root`` outermost.
 
-    def piece(r: Column, kind: Column) -> Column:
-        name = named(r["depth"], r["parent_kind"], F.coalesce(r["key"], last_step(r["path"])))
-        plain = (
-            F.when(kind == "null", "")
-            .when(kind == "string", _spelled(r["token"]))
-            .otherwise(_scalar(r["token"], kind))
-        )
-        open_tag = F.concat(F.lit("<"), name, F.lit(">"))
-        close_tag = F.concat(F.lit("</"), name, F.lit(">"))
-        return (
-            F.when(r["closes"], close_tag)
-            .when(kind.isin("object", "array"), open_tag)
-            .otherwise(F.concat(open_tag, escape_xml(plain), close_tag))
-        )
+    Tags depend on a document's shape alone, so they are spelled once for all documents
+    of a shape; the scalars that need a conversion get it here.
+    """
 
-    return _assembled(df, keys, text, piece, "xml")
+    def tags(r: list, container: bool) -> tuple[str, str]:
+        closes, path, _, key, parent_kind, depth = r[:6]
+        if depth == 0:
+            name = "root"
+        elif parent_kind == "array":
+            name = "item"
+        else:
+            step = path.rsplit("/", 1)[-1].replace("~1", "/").replace("~0", "~") if key is None else key
+            name = re.sub("[^A-Za-z0-9_.-]", "_", step)
+        return ("" if closes else f"<{name}>", f"</{name}>" if closes or not container else "")
+
+    def spelled(token: Column) -> Column:
+        kind = token_kind(token)
+        return escape_xml(F.when(kind == "string", _spelled(token)).otherwise(_scalar(token, kind)))
+
+    read = framed_scalars(df.select(*keys, text.alias("_body")), "_body", tags)
+    last = F.element_at("_before", -1)
+    between = F.zip_with("_before", F.transform("_scalars", spelled), lambda b, s: F.concat(b, F.coalesce(s, F.lit(""))))
+    return read.select(*keys, F.when(F.size("_scalars") == 0, last).otherwise(F.array_join(between, "")).alias("xml"))
 
 
 def json_to_csv(text: Column) -> Column:

@@ -33,7 +33,8 @@ def har_requests(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     first = F.array_min(F.transform(F.col("_e"), lambda e: _epoch_ms(e["startedDateTime"])))
     unfolded = (
         df.select(*keys, entries.alias("_e"))
-        .select(*keys, first.alias("_first"), F.posexplode("_e").alias("idx", "_entry"))
+        .select(*keys, "_e", first.alias("_first"))
+        .select(*keys, "_first", F.posexplode("_e").alias("idx", "_entry"))
         .withColumn("started_ms", _epoch_ms(F.col("_entry.startedDateTime")))
     )
     status = F.col("_entry.response.status")

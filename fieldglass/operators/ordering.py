@@ -17,7 +17,8 @@ from fieldglass.functions.cells import (
     trimmed,
 )
 from fieldglass.operators.profile import column_types
-from fieldglass.operators.splits import SortKey, Splits, numbers, split_evenly, split_large_groups
+from fieldglass.operators.splits import MOST_PARTS, SortKey, Splits, numbers, split_evenly, split_large_groups
+from fieldglass.sources.scratch import new_folder
 
 PAGE_SIZE = 200
 # Rows per load step of columnar and line-delimited files.
@@ -94,14 +95,39 @@ def with_positions(
 ) -> DataFrame:
     """Add each row's 0-based place in the global order.
 
-    The order is cut into parts at literal split points (``splits``); a row's part
-    depends on its keys alone. A row's place is its place in its part and the rows of
-    the parts before.
+    The order is dealt over ranges of the keys, each range is sorted and written to one
+    file below the shared folder, and a row's place is its place in its file and the
+    rows of the files before. Written files stay as they are, whatever is computed
+    again. Rows that a file cannot hold are placed by literal split points
+    (``splits``) and a window over each part.
     """
-    placed, plain, starts = _in_parts(df, keys, None, part_rows, partitions)
-    within = Window.partitionBy("_part").orderBy(*[k.forward() for k in plain])
-    place = F.get(numbers(starts), F.col("_part")) + F.row_number().over(within) - 1
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(name))
+    if not _writable(df.schema):
+        placed, plain, starts = _in_parts(df, keys, None, part_rows, partitions)
+        within = Window.partitionBy("_part").orderBy(*[k.forward() for k in plain])
+        place = F.get(numbers(starts), F.col("_part")) + F.row_number().over(within) - 1
+        return placed.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(name))
+    parts = min(MOST_PARTS, partitions or max(1, -(-df.count() // part_rows)))
+    keyed, plain = _keyed(df, keys)
+    order = [k.forward() for k in plain]
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    folder = new_folder(df.sparkSession, "positions")
+    ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*kept)
+    # One file a range, named by its number.
+    ranged.write.option("maxRecordsPerFile", 0).parquet(folder)
+    written = df.sparkSession.read.schema(df.schema).parquet(folder)
+    part = F.substring("_metadata.file_name", 6, 5).cast("int")
+    counts = {r["p"]: r["n"] for r in written.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts = [0]
+    for p in range(max(counts, default=0)):
+        starts.append(starts[-1] + counts.get(p, 0))
+    return written.select(*kept, (F.get(numbers(starts), part) + F.col("_metadata.row_index")).alias(name))
+
+
+def _writable(schema: T.StructType) -> bool:
+    """Whether a file can hold the columns: told apart by name in any case, none of a type without values."""
+    names = {f.name.lower() for f in schema}
+    text = schema.simpleString()
+    return len(names) == len(schema) and "_metadata" not in names and not any(t in text for t in ("void", "interval"))
 
 
 def page_count(total: int, size: int) -> int:

@@ -94,6 +94,17 @@ def test_dbc(spark):
     assert (total.messages, total.extended, total.max_dlc, total.signals) == (2, 1, 32, 3)
 
 
+def test_dbc_totals_take_one_pass_and_no_window(spark):
+    given = docs(spark, PUMP_STATION, "", "CM_ BO_ 5 \"no message\";", PUMP_STATION.replace("BO_ 77", "BO_ 2047"))
+    lines = engineering.dbc_lines(given, ["doc"], "body")
+    want = engineering.dbc_summary(engineering.dbc_messages(lines, ["doc"]), engineering.dbc_signals(lines, ["doc"]), ["doc"])
+    got = engineering.dbc_totals(given, ["doc"], "body")
+    assert got.columns == want.columns and len(got.collect()) == 2
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Generate") == 1
+
+
 def test_a2l_blocks(spark):
     text = '/begin PROJECT Mill "grain"\n  /begin GROUP Rollers "r"\n/end GROUP\n/begin MEASUREMENT Gap ""'
     got = [(r.kind, r.name, r.line) for r in engineering.a2l_blocks(docs(spark, text), ["doc"], "body").collect()]

@@ -188,10 +188,35 @@ def _several(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return stage(placed.join(several.select("band"), "band"), "open-buckets")
 
 
-def link(shared: DataFrame, grams: DataFrame, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """``item, group`` of all items that a chain of links joins to another."""
-    tested = shared.where("item <> centre").select(*_pair(F.col("item"), F.col("centre"))).distinct()
-    edges = stage(verified(tested, grams, alike), "links")
+def _nearest_first(shared: DataFrame, grams: DataFrame, alike: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The links of items with the centres of their buckets, each item first with the centre that it meets most often.
+
+    Other centres are compared only where they are left in another group than the item.
+    """
+    met = shared.where("item <> centre").groupBy("item", "centre").agg(F.count("*").alias("n"))
+    nearest = met.groupBy("item").agg(F.max(F.struct("n", "centre"))["centre"].alias("centre"))
+    edges = stage(verified(nearest.select(*_pair(F.col("item"), F.col("centre"))).distinct(), grams, alike), "links")
+    groups = connected(edges)
+    theirs = groups.select(F.col("item").alias("centre"), F.col("group").alias("_theirs"))
+    rest = (
+        met.join(groups, "item", "left")
+        .join(theirs, "centre", "left")
+        .where(F.coalesce("group", "item") != F.coalesce("_theirs", "centre"))
+    )
+    return edges.unionByName(stage(verified(rest.select(*_pair(F.col("item"), F.col("centre"))).distinct(), grams, alike), "links"))
+
+
+def link(shared: DataFrame, grams: DataFrame, alike: Callable[[bytes, bytes], bool], nearest_first: bool = False) -> DataFrame:
+    """``item, group`` of all items that a chain of links joins to another.
+
+    ``nearest_first`` is for items of many buckets, whose centres would be compared with
+    most of them again and again.
+    """
+    if nearest_first:
+        edges = _nearest_first(shared, grams, alike)
+    else:
+        tested = shared.where("item <> centre").select(*_pair(F.col("item"), F.col("centre"))).distinct()
+        edges = stage(verified(tested, grams, alike), "links")
     groups = connected(edges)
     shared = _several(shared.drop("centre"), groups)
     large = shared.where(F.col("n") > ALL_PAIRS)

@@ -246,7 +246,7 @@ def image_classes(media: DataFrame) -> DataFrame:
         .mapInPandas(_described, "item long, bands array<long>, grams binary"),
         "corners",
     )
-    groups = link(shared_buckets(found.select("item", "bands")), found.select("item", "grams"), same_scene)
+    groups = link(shared_buckets(found.select("item", "bands")), found.select("item", "grams"), same_scene, nearest_first=True)
     counted = found.select("item", (F.octet_length("grams") / _RECORD.itemsize).cast("int").alias("corners"))
     rows = stage(
         given.select("media_id", "item")

@@ -1,7 +1,8 @@
 import random
 
 import numpy as np
-from fieldglass.llm.linking import jaccard, link, overlap_of, pack_grams, shared_buckets, unpack_grams
+from fieldglass.llm import linking
+from fieldglass.llm.linking import jaccard, link, overlap_of, pack_grams, shared_buckets, unpack_grams, verified
 
 
 def gram_sets(families, seed):
@@ -59,3 +60,24 @@ def test_last_pair_of_a_bucket_without_other_links(spark):
     want = brute(sets, buckets)
     assert len(set(want.values())) == len(sets) - 1
     assert found(spark, sets, buckets) == want
+
+
+def test_copies_with_many_buckets_are_compared_with_few_centres(spark, monkeypatch):
+    """A family of copies that meet in many small buckets, beside pairs that meet in one; no link is lost."""
+    sets = gram_sets([[0.97] * 60] + [[0.97] * 2] * 5 + [[1.0]] * 5, 3)
+    draw = random.Random(3)
+    buckets = [{draw.randrange(40) for _ in range(12)} | {99} for _ in sets]
+    compared = []
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(linking, "verified", counted)
+    rows = [(i, sorted(buckets[i]), bytearray(x)) for i, x in enumerate(sets)]
+    items = spark.createDataFrame(rows, "item long, bands array<long>, grams binary")
+    groups = link(shared_buckets(items.select("item", "bands")), items.select("item", "grams"), overlap_of(0.8), nearest_first=True)
+    got = {i: i for i in range(len(sets))} | {r["item"]: r["group"] for r in groups.collect()}
+    assert got == brute(sets, buckets)
+    # One comparison an item at first, not one for each centre that it meets.
+    assert compared[0] <= len(sets)

@@ -109,3 +109,25 @@ def test_repeat_inside_long_lines(docs):
     got = found(docs(*texts.items()))
     at = {i: texts[i].lower().replace("i̇", "i").index(shared) for i in (0, 1)}
     assert got == {(i, at[i], at[i] + len(shared), 0, 2, i == 1) for i in (0, 1)}
+
+
+def test_runs_of_copies_are_unfolded_once(spark, docs, monkeypatch):
+    """Copies of a text, whole and with other surroundings: what is written grows with the kinds, not with the copies."""
+    from fieldglass.llm import paragraph_dedup
+
+    written = {}
+    stage = paragraph_dedup.stage
+
+    def counted(df, label, *more):
+        out = stage(df, label, *more)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(paragraph_dedup, "stage", counted)
+    shared = "\n".join(story(60 + i, 20) for i in range(10))
+    texts = {i: shared for i in range(30)} | {30: story(80, 30) + "\n" + shared, 31: story(81, 15) + " " + shared + "\n" + story(82, 20)}
+    got = found(docs(*texts.items()))
+    assert all(any(g[0] == i and g[1] <= a and b <= g[2] for g in got) for i, a, b in repeated_windows(texts))
+    assert {g[5] for g in got if g[0] == 0} == {False} and {g[5] for g in got if g[0] > 0} == {True}
+    # 151 runs in each of 32 texts.
+    assert written["runs"] < 4 * 151

@@ -9,11 +9,10 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 4096
+BATCH_ROWS, BATCH_BYTES = 4096, 1 << 22
 
 # Capture magics with byte order and unit of the time fraction.
 MAGICS = {
@@ -27,20 +26,31 @@ RECORD_SCHEMA = (
     "record_offset long, link_type int, packet binary"
 )
 BLOCK_SCHEMA = (
-    "capture string, n long, block_type long, block_len long, block_offset long, section int, little_endian boolean, body binary"
+    "capture string, n long, block_type long, block_len long, block_offset long, section int, little_endian boolean, link_type int, body binary"
 )
 SECTION_HEADER = 0x0A0D0D0A
 
 
-def _batched(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    held = []
+def _batched(rows: Iterator[tuple], schema: str):
+    """Rows of one capture after another in Arrow batches of bounded rows and bytes; the last column holds the bytes."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    names, types = zip(*[field.split() for field in schema.split(", ")], strict=True)
+
+    def batch(held: list[tuple]):
+        columns = [pa.array(values, kinds[kind]) for values, kind in zip(zip(*held, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    held, size = [], 0
     for row in rows:
         held.append(row)
-        if len(held) == BATCH_ROWS:
-            yield pd.DataFrame(held, columns=columns)
-            held = []
+        size += len(row[-1])
+        if len(held) == BATCH_ROWS or size > BATCH_BYTES:
+            yield batch(held)
+            held, size = [], 0
     if held:
-        yield pd.DataFrame(held, columns=columns)
+        yield batch(held)
 
 
 def _records(capture: str, content: bytes) -> Iterator[tuple]:
@@ -61,8 +71,9 @@ def _records(capture: str, content: bytes) -> Iterator[tuple]:
         at = start + captured
 
 
-def _blocks(capture: str, content: bytes) -> Iterator[tuple]:
-    at, n, section, order = 0, 0, 0, "<"
+def _walked(content: bytes) -> Iterator[tuple]:
+    """Section, byte order, kind, size and place of each block."""
+    at, section, order = 0, 0, "<"
     while at + 12 <= len(content):
         if content[at : at + 4] == b"\x0a\x0d\x0d\x0a":
             section += 1
@@ -70,30 +81,48 @@ def _blocks(capture: str, content: bytes) -> Iterator[tuple]:
         kind, size = struct.unpack_from(order + "2I", content, at)
         if size < 12 or at + size > len(content):
             return
-        n += 1
-        yield capture, n, kind, size, at, section, order == "<", content[at + 8 : at + size - 4]
+        yield section, order, kind, size, at
         at += size
 
 
+def _blocks(capture: str, content: bytes) -> Iterator[tuple]:
+    # A section's interfaces are numbered first: a packet may stand before the interface it names.
+    links: dict[int, list[int]] = {}
+    for section, order, kind, size, at in _walked(content):
+        if kind == 1 and size >= 20:
+            links.setdefault(section, []).append(struct.unpack_from(order + "H", content, at + 8)[0])
+    for n, (section, order, kind, size, at) in enumerate(_walked(content), 1):
+        link = None
+        if (kind == 6 and size >= 32) or (kind == 3 and size >= 16):
+            number = struct.unpack_from(order + "I", content, at + 8)[0] if kind == 6 else 0
+            known = links.get(section, ())
+            link = known[number] if number < len(known) else None
+        yield capture, n, kind, size, at, section, order == "<", link, content[at + 8 : at + size - 4]
+
+
 def _walker(walk, schema: str):
-    columns = [field.split()[0] for field in schema.split(", ")]
+    def run(batches):
+        def rows():
+            for batch in batches:
+                for capture, content in zip(batch.column("capture"), batch.column("content"), strict=True):
+                    yield from walk(capture.as_py(), content.as_py())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for capture, content in zip(batch["capture"], batch["content"], strict=True):
-                yield from _batched(walk(capture, bytes(content)), columns)
+        yield from _batched(rows(), schema)
 
     return run
 
 
 def pcap_records(captures: DataFrame) -> DataFrame:
     """Records of classic captures given as ``(capture, content)``."""
-    return captures.select("capture", "content").mapInPandas(_walker(_records, RECORD_SCHEMA), RECORD_SCHEMA)
+    return captures.select("capture", "content").mapInArrow(_walker(_records, RECORD_SCHEMA), RECORD_SCHEMA)
 
 
 def pcapng_blocks(captures: DataFrame) -> DataFrame:
-    """Blocks of next-generation captures given as ``(capture, content)``."""
-    return captures.select("capture", "content").mapInPandas(_walker(_blocks, BLOCK_SCHEMA), BLOCK_SCHEMA)
+    """Blocks of next-generation captures given as ``(capture, content)``.
+
+    ``link_type`` of a packet block is that of the interface it names, null if the section has no such interface.
+    """
+    return captures.select("capture", "content").mapInArrow(_walker(_blocks, BLOCK_SCHEMA), BLOCK_SCHEMA)
 
 
 def truncated_captures(captures: DataFrame, records: DataFrame) -> DataFrame:

@@ -214,6 +214,21 @@ def test_pcapng(spark, order, magic):
     assert {r.kind: r.n for r in packets.block_counts(blocks).collect()} == {"Section Header": 2, "Interface Description": 2, "Enhanced Packet": 2}
 
 
+def test_pcapng_walked_once(spark):
+    """A packet before its interface still finds it, and no join is needed for that."""
+    block = lambda kind, body: struct.pack("<2I", kind, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
+    section = struct.pack("<2I", 0x0A0D0D0A, 28) + b"\x4d\x3c\x2b\x1a" + struct.pack("<2Hq", 1, 0, -1) + struct.pack("<I", 28)
+    packet = lambda n: block(6, struct.pack("<5I", n, 0, 7, 20, 20) + ipv4(1, b""))
+    content = section + packet(0) + packet(1) + block(1, struct.pack("<2HI", 101, 0, 0)) + section + packet(0)
+    df = spark.createDataFrame([(f"g{i}", bytearray(content)) for i in range(3)], "capture string, content binary")
+    found = packets.pcapng_packets(captures.pcapng_blocks(df))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan") == 1
+    assert sorted((r.capture, r.n, r.link_type) for r in found.collect()) == [
+        (f"g{i}", n, link) for i in range(3) for n, link in ((2, 101), (3, 1), (6, 1))
+    ]
+
+
 def test_stream(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     source.mkdir()

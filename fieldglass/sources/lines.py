@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,12 @@ def document_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     )
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str], whole: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(path, line_no, raw)`` of text files of any size, line numbers from 1.
 
+    A file may be stored in parts, which follow each other by name (a longer number is a later part):
+    ``whole`` gives the path of the file that a part belongs to.
+
     Files are read in splits, so one huge file is spread over many tasks. A row's id grows by one
     along its split; the least id and the number of lines of each split give the line number
     its first line has. Only those two numbers of each split are summed up and joined back; a split is read
@@ -37,10 +42,11 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("value").alias("raw"),
     )
     splits = ids.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    file = whole(F.col("path")) if whole else F.col("path")
+    before = Window.partitionBy(file).orderBy(F.length("path"), "path", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("path", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     return ids.join(starts, ["path", "_block"]).select(
-        "path", (F.col("_id") + F.col("_shift") + 1).cast("long").alias("line_no"), "raw"
+        file.alias("path"), (F.col("_id") + F.col("_shift") + 1).cast("long").alias("line_no"), "raw"
     )
 
 

@@ -76,6 +76,45 @@ def test_line_numbers(spark, tmp_path):
         assert rows[3:] == sorted(("b.jsonl", i + 1, str(i)) for i in range(2000))
 
 
+def test_line_numbers_of_parts(spark, tmp_path):
+    for name in ("a", "b"):
+        folder = tmp_path / f"{name}.txt"
+        folder.mkdir()
+        for part, first in ((99999, 0), (100000, 40)):
+            write(folder, f"part-{part:05d}", "".join(f"{name}{i}\n" for i in range(first, first + 40)))
+    got = lines.numbered_lines(spark, str(tmp_path / "*.txt"), lambda path: F.regexp_extract(path, "([^/]+)/[^/]*$", 1))
+    assert sorted((r.path, r.line_no, r.raw) for r in got.collect()) == sorted(
+        (f"{name}.txt", i + 1, f"{name}{i}") for name in ("a", "b") for i in range(80)
+    )
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    """The parts of a file share its lines, so no task sorts all of them."""
+    from fieldglass.plans import files as plan
+
+    spark.range(4000).selectExpr(
+        "id AS event_id", "timestamp_seconds(id) AS ts", "id % 7 AS user_id", "'x' AS event_type", "1.5D AS value", "'{}' AS props"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    original = plan.new_folder
+
+    def folder(session, label):
+        seen.append(str(tmp_path / "lines"))
+        return seen[-1]
+
+    plan.new_folder = folder
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = plan.numbered_lines_split(spark, str(tmp_path))
+        assert sorted(r.line_no for r in got.collect()) == list(range(1, 4001))
+    finally:
+        plan.new_folder = original
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    parts = list((tmp_path / "lines" / "file=0").glob("part-*"))
+    assert len(parts) == 8 and max(p.stat().st_size for p in parts) < 0.3 * sum(p.stat().st_size for p in parts)
+
+
 def test_decoding(spark):
     contents = [b"\xef\xbb\xbfa\xc3\xa9", "é".encode("utf-16"), b"\xfe\xff" + "é".encode("utf-16-be"), b"ok\xff"]
     df = spark.createDataFrame([(bytearray(c),) for c in contents], "c binary")

@@ -268,6 +268,17 @@ def test_pcapng_walked_once(spark):
     ]
 
 
+def test_small_captures_share_batches():
+    import pyarrow as pa
+
+    head = b"\xd4\xc3\xb2\xa1" + bytes(16) + struct.pack("<I", 1)
+    content = head + b"".join(struct.pack("<4I", i, 0, 5, 5) + b"abcde" for i in range(3))
+    given = pa.RecordBatch.from_pydict({"capture": [f"c{i}" for i in range(50)], "content": [content] * 50})
+    made = list(captures._walker(captures._records, captures.RECORD_SCHEMA)(iter([given])))
+    assert [b.num_rows for b in made] == [150]
+    assert made[0].column("capture").to_pylist() == [f"c{i}" for i in range(50) for _ in range(3)]
+
+
 def test_stream(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     source.mkdir()

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.plans import files
+from fieldglass.plans import records as documents
 from fieldglass.records import headers, packets
 from fieldglass.sources import archives, captures, columnar, delimited, lines
 from fieldglass.streaming.lines import search_lines, stream_lines, with_line_kind
@@ -292,6 +293,17 @@ def test_dissection_is_compiled(spark, capsys):
     assert sizes and max(sizes) < 8000
 
 
+@pytest.mark.parametrize("make", [documents.pcap_docs, documents.pcapng_docs])
+def test_records_are_written_before_they_are_gathered(spark, tmp_path, make):
+    """The aggregate only gathers: what it works out itself is interpreted, not compiled."""
+    spark.range(250).selectExpr("id AS event_id", "id % 7 AS user_id", "'view' AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    docs = make(spark, str(tmp_path))
+    plan = docs._jdf.queryExecution().executedPlan().toString().splitlines()
+    gathered = [line for line in plan if "collect_list" in line]
+    assert gathered and not any("hex(" in line for line in gathered)
+    assert sorted(r.capture[1:] for r in docs.collect()) == ["0", "1", "2"]
+
+
 def test_header_numbers_of_a_slice():
     """Numbers come from each value's own bytes, in slices and beside null and empty values too."""
     import numpy as np

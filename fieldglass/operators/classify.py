@@ -16,6 +16,7 @@ from fieldglass.functions.cells import WHITESPACE
 from fieldglass.functions.formatting import extension_of, looks_like_text, utf8_text
 from fieldglass.functions.json_text import json_kind, strict_json
 from fieldglass.functions.octets import digits, i32le, u8, u16be, u16le, u32be, u32le
+from fieldglass.sources.contents import fill_contents, opens_in_parts, read_files, with_ends
 from fieldglass.sources.delimited import sniff_delimiter
 
 HEAD_BYTES = 64 * 1024
@@ -367,20 +368,8 @@ def signature_rules(
     return rules
 
 
-def read_files(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
-    """``(path, name, size, content)`` of files."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-    )
-    return files.select(
-        "path",
-        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
-        F.col("length").alias("size"),
-        "content",
-    )
+# Kinds by extension that the text may narrow down.
+DIALECT_NAMES = ("json", "xml")
 
 
 def classify_files(files: DataFrame) -> DataFrame:
@@ -390,14 +379,42 @@ def classify_files(files: DataFrame) -> DataFrame:
     look at the first 64 KiB; texts are read whole. The only join is with the
     small extension table, so contents are dropped in the task that read them.
     """
-    name, content, size = F.col("name"), F.col("content"), F.col("size")
-    named = with_extension_kind(files, name)
-    found = signature(name, F.substring(content, 1, HEAD_BYTES), F.substring(content, -4, 4), size)
+    content, size = F.col("content"), F.col("size")
+    found = signature(F.col("name"), F.substring(content, 1, HEAD_BYTES), F.substring(content, -4, 4), size)
+    return _verdict(with_extension_kind(files, F.col("name")).withColumn("_found", F.when(size > 0, found)))
+
+
+def classify_stored(
+    spark: SparkSession, path: str | list[str], pattern: str = "*", name: Column | None = None
+) -> DataFrame:
+    """``classify_files`` of the files in a folder, whose ``name`` may be derived from their ``path``.
+
+    Of a file that its ends or its name decide, only the ends are read, so its size costs nothing and has no
+    limit. A file that its text decides is read whole in the same task. In a store that Arrow cannot open, Spark
+    reads all files whole.
+    """
+    files = read_files(spark, path, pattern)
+    if name is not None:
+        files = files.withColumn("name", name)
+    if not opens_in_parts(files):
+        return classify_files(files)
+    head, size, ext = F.col("head"), F.col("size"), F.col("ext_kind")
+    ended = with_extension_kind(with_ends(files.drop("content"), HEAD_BYTES), F.col("name"))
+    found = ended.withColumn("_found", F.when(size > 0, signature(F.col("name"), head, F.col("tail"), size)))
+    by_text = F.col("_found").isNull() & (ext.isin(*DIALECT_NAMES) | (ext.isNull() & looks_like_text(head)))
+    asked = found.withColumn("_by_text", F.coalesce(by_text, F.lit(False)))
+    held = asked.withColumn("content", F.when(F.col("_by_text") & (size <= HEAD_BYTES), head))
+    unread = held.withColumn("unread", F.col("_by_text") & (size > HEAD_BYTES))
+    return _verdict(fill_contents(unread.drop("head", "tail", "_by_text")))
+
+
+def _verdict(files: DataFrame) -> DataFrame:
+    """The kind by ``_found``, else by the name and the content."""
+    content, size = F.col("content"), F.col("size")
     text = F.when(looks_like_text(content), text_kind(utf8_text(content)))
-    dialect = F.when(F.col("ext_kind").isin("json", "xml"), document_dialect(utf8_text(content)))
+    dialect = F.when(F.col("ext_kind").isin(*DIALECT_NAMES), document_dialect(utf8_text(content)))
     return (
-        named.withColumn("_found", F.when(size > 0, found))
-        .withColumn("kind", F.coalesce(F.col("_found.kind"), dialect, F.col("ext_kind"), text, F.lit("unknown")))
+        files.withColumn("kind", F.coalesce(F.col("_found.kind"), dialect, F.col("ext_kind"), text, F.lit("unknown")))
         .withColumn(
             "reason",
             F.coalesce(

@@ -9,10 +9,11 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from fieldglass.operators import classify
 from fieldglass.plans import files
 from fieldglass.plans import records as documents
 from fieldglass.records import headers, packets
-from fieldglass.sources import archives, captures, columnar, delimited, lines
+from fieldglass.sources import archives, captures, columnar, contents, delimited, lines
 from fieldglass.streaming.lines import search_lines, stream_lines, with_line_kind
 
 
@@ -371,6 +372,72 @@ def test_signatures_of_tables_in_parts(spark, folder_of_tables):
     assert [tuple(r) for r in found] == [(n, "parquet", "Parquet magic at both ends", True) for n in ("orders.parquet", "region.parquet")]
 
 
+def write_sparse(path, size, head, tail=b""):
+    """A file whose middle takes no room on the disk."""
+    with open(path, "wb") as handle:
+        handle.write(head)
+        handle.seek(size - len(tail))
+        handle.write(tail)
+        handle.truncate(size)
+
+
+def test_signatures_of_files_that_no_task_could_hold(spark, tmp_path):
+    size = 3 << 30
+    write_sparse(tmp_path / "orders.parquet", size, b"PAR1", b"PAR1")
+    write_sparse(tmp_path / "region.parquet", size, b"PAR1")
+    found = files.file_signature(spark, str(tmp_path)).orderBy("name").collect()
+    assert [tuple(r) for r in found] == [
+        ("orders.parquet", "parquet", "Parquet magic at both ends", True),
+        ("region.parquet", "parquet", "extension", False),
+    ]
+    write_sparse(tmp_path / "picture", size, bytes.fromhex("89504E470D0A1A0A"))
+    write_sparse(tmp_path / "table.csv", size, b"a,b\n1,2\n")
+    write_sparse(tmp_path / "noise", size, b"a,b\n")
+    found = classify.classify_stored(spark, str(tmp_path), name=F.regexp_extract("path", "[^/]*$", 0))
+    assert {(r.name, r.kind, r.size) for r in found.where("name NOT LIKE '%.parquet'").collect()} == {
+        ("picture", "image", size), ("table.csv", "csv", size), ("noise", "unknown", size),
+    }
+
+
+@pytest.fixture
+def odd_files(tmp_path):
+    long = b'{"traceEvents":[' + b"0," * 60000 + b"0]}"
+    rows = "".join(f"{i};{i * 3}\n" for i in range(20000)).encode()
+    made = {
+        "a b%20+.json": b'{"version":"2.1.0","runs":[]}', "#ü?.svg": b"\xef\xbb\xbf<svg/>", "long": long, "long.json": long, "long.csv": long,
+        "rows": rows, "cut": long[:-1], "ab": b"ab", "late.xml": b" " * 70000 + b"<mxfile/>",
+        "m.tar": bytes(257) + b"ustar" + bytes(70000), "zip": b"PK\x03\x04" + bytes(40000) + b"word/document.xml",
+        "far.zip": b"PK\x03\x04" + bytes(70000) + b"word/document.xml", "noise": bytes([1, 2, 3]), "pdf.json": b"%PDF-1.7",
+        "sub/page": b"<html><body>", "PAR1.parquet": b"PAR1" + bytes(8) + b"PAR1", "PAR.parquet": b"PAR1PAR1",
+    }
+    for name, data in made.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    return str(tmp_path), len(made)
+
+
+def test_stored_files_are_what_their_whole_contents_are(spark, odd_files):
+    root, n = odd_files
+    columns = ["path", "name", "size", "kind", "reason", "by_signature", "ext_kind"]
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    whole = rows(classify.classify_files(contents.read_files(spark, root)))
+    found = classify.classify_stored(spark, root)
+    assert rows(found) == whole and len(whole) == n
+    assert {r.name: r.kind for r in found.collect()}.items() >= {
+        "long": "trace", "long.json": "trace", "long.csv": "csv", "rows": "csv", "cut": "csv", "late.xml": "drawio", "far.zip": "archive",
+    }.items()
+
+
+def test_stored_files_where_only_spark_reads(spark, odd_files):
+    root, n = odd_files
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{root}")
+    remote = "viewfs://store/in"
+    assert contents.opens_in_parts(contents.read_files(spark, root))
+    assert not contents.opens_in_parts(contents.read_files(spark, remote))
+    kinds = lambda path: sorted(map(str, classify.classify_stored(spark, path).select("name", "kind", "reason").collect()))
+    assert kinds(remote) == kinds(root) and len(kinds(root)) == n
+
+
 def test_footers_of_tables_in_parts(spark, folder_of_tables):
     found = files.parquet_footer_profile(spark, folder_of_tables).orderBy("name").collect()
     assert [tuple(r) for r in found] == [("orders.parquet", 5, True), ("region.parquet", 40, True)]
